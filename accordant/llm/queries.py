@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from accordant.llm import chat_format, sharding
+from accordant.llm import byte_bpe, chat_format, media, sharding
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_query,
+    "op6_media_columns": media.op6_query,
     "op9_sharding": sharding.op9_query,
     "op10_chat_formatting": chat_format.op10_query,
 }
