@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from accordant.llm import byte_bpe, chat_format, media, sharding, token_store, warc
+from accordant.llm import byte_bpe, chat_format, media, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_query,
     "op3_warc_segments": warc.op3_query,
+    "op4_simhash": simhash.op4_query,
     "op5_token_store": token_store.op5_query,
     "op6_media_columns": media.op6_query,
     "op9_sharding": sharding.op9_query,
