@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from accordant.llm import byte_bpe, chat_format, media, sharding, simhash, token_store, warc
+from accordant.llm import byte_bpe, chat_format, language_id, media, quality, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_simhash": simhash.op4_query,
     "op5_token_store": token_store.op5_query,
     "op6_media_columns": media.op6_query,
+    "op7_quality": quality.op7_query,
+    "op8_language_id": language_id.op8_query,
     "op9_sharding": sharding.op9_query,
     "op10_chat_formatting": chat_format.op10_query,
 }
