@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from accordant.llm import byte_bpe, chat_format, language_id, media, quality, sharding, simhash, token_store, warc
+from accordant.llm import byte_bpe, chat_format, decontaminate, language_id, media, quality, sharding, simhash, token_store, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_query,
     "op2_byte_bpe": byte_bpe.op2_query,
     "op3_warc_segments": warc.op3_query,
     "op4_simhash": simhash.op4_query,
