@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from accordant.llm.common import filesystem, slices, table, workspace, write_file
 
@@ -156,33 +157,84 @@ class Shard:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def tokenizer(path: str) -> tuple[Tokenizer, dict[str, list[int]]]:
-    return Tokenizer.from_file(path), {}
+class Encoder:
+    """Ids of whole texts by a tokenizer whose white space only parts words, with a memory of words.
 
+    The tokenizer normalises a text, drops white space, splits the rest into
+    pre-tokens and merges the bytes of each, so a text's ids are those of its
+    parts between spaces or line ends, one after another. Parts of plain Latin
+    letters, digits and marks are split here by the same rule and only new
+    pre-tokens go to the library's merges, many at once: every pre-token ends
+    in just one id that ends a word. Any other part goes to the whole
+    tokenizer.
+    """
 
-def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndarray]:
-    """Ids of whole texts, each with ``end_id`` after it.
+    #: Characters whose normal form is their own and whose lower case is one such character.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+    #: The tokenizer's own pre-tokens (a fixed value), written for these characters.
+    PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+    TOGETHER = 200
+
+    def __init__(self, path: str, dtype: str):
+        self.dtype = dtype
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Byte-level letters: printable bytes stand for themselves, the others for letters from 256 on.
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+        self.parts: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _merge(self, new: list[str]) -> None:
+        for at in range(0, len(new), self.TOGETHER):
+            some = new[at : at + self.TOGETHER]
+            mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                raw, width = ids.tobytes(), ids.itemsize
+                for w, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    self.pre_tokens[w] = raw[a * width : b * width]
+            else:
+                for w in some:
+                    self.pre_tokens[w] = self._bytes(self.whole.encode(w, add_special_tokens=False).ids)
+
+    def _learn(self, new: set[str]) -> None:
+        split = {}
+        for w in new:
+            if self.PLAIN.fullmatch(w) and "<|" not in w:
+                split[w] = self.PRE_TOKEN.findall(w.lower())
+            else:
+                self.parts[w] = self._bytes(self.whole.encode(w, add_special_tokens=False).ids)
+        self._merge(list({x for xs in split.values() for x in xs if x not in self.pre_tokens}))
+        for w, xs in split.items():
+            self.parts[w] = self.pre_tokens[xs[0]] if len(xs) == 1 else b"".join([self.pre_tokens[x] for x in xs])
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
+        """Ids of each text and ``end_id``, as bytes."""
+        for known in (self.parts, self.pre_tokens):
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        known = self.parts
+        new = {w for ws in split for w in ws if w not in known}
+        if new:
+            self._learn(new)
+        end = self._bytes([end_id])
+        return [b"".join([known[w] for w in ws]) + end for ws in split]
 
-    This tokenizer drops white space before its merges, so a text's ids are
-    those of its parts between spaces or line ends, one after another; each
-    distinct part is encoded once.
-    """
-    tok, known = tokenizer(path)
-    if len(known) > REMEMBERED_WORDS:
-        known.clear()
-    parts = [x.replace("\n", " ").split(" ") for x in texts]
-    new = list({w for ws in parts for w in ws if w not in known})
-    for word, encoding in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-        known[word] = encoding.ids
-    out = []
-    for ws in parts:
-        ids: list[int] = []
-        for w in ws:
-            ids += known[w]
-        ids.append(end_id)
-        out.append(np.array(ids, np.uint32))
-    return out
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> Encoder:
+    """One a Python worker."""
+    return Encoder(path, dtype)
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None) -> list[dict]:
@@ -197,6 +249,7 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     path = tokenizer_path or default_tokenizer()
     wide = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), END_ID + 1) > 65_536
     dtype = "<u4" if wide else "<u2"
+    width = np.dtype(dtype).itemsize
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(NO_KEY))).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
@@ -206,9 +259,9 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
         keys, lengths, ids = [], [], []
         for batch in slices(batches):
             keys.append(batch.column(0).to_numpy())
-            for x in encode_texts(batch.column(1).to_pylist(), path):
-                lengths.append(len(x))
-                ids.append(x.astype(dtype).tobytes())
+            for x in encoder(path, dtype).encode(batch.column(1).to_pylist()):
+                lengths.append(len(x) // width)
+                ids.append(x)
         if keys:
             part = TaskContext.get().partitionId()
             name = f"shard-{part:06d}.tok"

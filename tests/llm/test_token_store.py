@@ -9,13 +9,21 @@ from tokenizers import Tokenizer
 from accordant.llm import token_store as ts
 from accordant.llm.common import workspace
 
+ENC = ts.Encoder(ts.default_tokenizer(), "<u2")
 TOK = Tokenizer.from_file(ts.default_tokenizer())
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([*"aB'sSİΣς é\u0301\u200b\u3000\t\n\x1c<|>12.日", "<|endoftext|>"]), max_size=60).map("".join))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"aB'sSİΣς éÉßẞÿŸſ²½×÷ªµIıŉ!_0rRelL é\u0301\u200b\u3000\t\n\x1c<|>12.日", "<|endoftext|>"]), max_size=60).map("".join))
 def test_words_give_the_whole_texts_ids(text):
-    assert ts.encode_texts([text], ts.default_tokenizer())[0].tolist() == [*TOK.encode(text, add_special_tokens=False).ids, 1]
+    assert np.frombuffer(ENC.encode([text])[0], '<u2').tolist() == [*TOK.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_every_plain_character_and_pairs_of_them():
+    chars = [chr(c) for c in range(0x180)]
+    texts = chars + [a + b for a in chars[::5] for b in chars[::3]] + ["i'll we've I'M x's'", "a_b__c", "x<|endoftext|>y", "1234,5"]
+    for text, ids in zip(texts, ENC.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*TOK.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
