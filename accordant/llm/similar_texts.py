@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.common import slices, written
@@ -184,3 +184,17 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = distinct.select("fp", "_least").join(joined.select(F.col("node").alias("fp"), F.col("component").alias("_root")), "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
     least = heads.groupBy("_root").agg(F.min("_least").alias("component"))
     return seen.select(key, "fp").join(heads.join(least, "_root").select("fp", "component"), "fp").select(key, "fp", "component")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
+    """Pipeline stage: of each class of near copies the document with the smallest id stays.
+
+    Of repeated rows with that id one stays. Documents without an id can't be
+    told apart and stay.
+    """
+    found = similar_classes(docs.filter(F.col("doc_id").isNotNull()))
+    keep = found.filter(F.col("doc_id") == F.col("component")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    kept = docs.join(keep.select("doc_id", F.lit(True).alias("_kept")), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("doc_id")
+    once = kept.withColumn("_nr", F.row_number().over(order)).filter("_nr = 1").select(*docs.columns)
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()))

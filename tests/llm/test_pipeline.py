@@ -4,8 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accordant.llm import byte_bpe, decontaminate, language_id, quality, simhash
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from accordant.llm import byte_bpe, decontaminate, language_id, quality, similar_texts, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,13 +22,16 @@ def test_run_equals_a_plain_version(spark):
     # quality: by the scores of trees from the same rows
     trees = quality.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     left = {k: t for k, t in left.items() if trees.score(quality.matrix([t]))[0] >= 0.5}
-    # near copies: the smallest id of each component stays
-    prints = {k: plain_fingerprint(t) for k, t in left.items()}
-    classes = plain_components(prints.values())
+    # near copies: the smallest id of each class stays, by all pairs
+    hashes = {k: simhash.shingle_hashes(t, 5) for k, t in left.items()}
+    prints = {k: simhash.fingerprint(h) for k, h in hashes.items()}
+    sketches = {k: similar_texts.sketch(h) for k, h in hashes.items()}
     heads = {}
     for k in sorted(left):
-        heads.setdefault(classes[prints[k]], k)
-    left = {k: left[k] for k in heads.values()}
+        linked = {heads[o] for o in heads if (d := (prints[o] ^ prints[k]).bit_count()) <= 3 or (d <= similar_texts.RADIUS and similar_texts.estimate(sketches[o], sketches[k]) >= similar_texts.SIMILARITY - similar_texts.SLACK)}
+        head = min({k, *linked})
+        heads = {o: head if h in linked else h for o, h in heads.items()} | {k: head}
+    left = {k: left[k] for k in set(heads.values())}
     # decontamination: one text at a time
     block = next(decontaminate.blocks(spark.read.parquet(f"{SF}/benchmark.parquet")))
     left = {k: t for k, t in left.items() if not block.matches(t, decontaminate.Canonical(block.words))}

@@ -87,10 +87,3 @@ def test_query_on_hard_rows(spark):
             least[classes[p]] = min(k, least.get(classes[p], k))
     assert got == sorted(((k, p, least[classes[p]]) for (k, _), p in zip(rows, prints, strict=True)), key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-
-
-def test_one_of_each_stays(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    docs = spark.createDataFrame([(2, text, "a"), (1, text, "b"), (1, text, "b"), (3, "quite another text", "c"), (None, text, "d")], "doc_id long, text string, source string")
-    assert sorted(str(r.doc_id) for r in simhash.keep_one_of_each(spark, docs).collect()) == ["1", "3", "None"]
-    assert simhash.keep_one_of_each(spark, docs).columns == docs.columns

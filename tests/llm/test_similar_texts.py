@@ -70,3 +70,10 @@ def test_near_copies_are_one_class_and_others_are_not(spark, shard_rows, monkeyp
     found = [d for d in close if classes[d] != d or d == first[truth[d]]]
     assert len(close) > 40 and len(found) >= 0.95 * len(close)
     assert st.similar_classes(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_stays(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(2, text, "a"), (1, text, "b"), (1, text, "b"), (3, "quite another text", "c"), (None, text, "d")], "doc_id long, text string, source string")
+    assert sorted(str(r.doc_id) for r in st.keep_one_of_each(spark, docs).collect()) == ["1", "3", "None"]
+    assert st.keep_one_of_each(spark, docs).columns == docs.columns
