@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.llm import byte_bpe, decontaminate, language_id, quality, simhash
+from accordant.llm import byte_bpe, decontaminate, language_id, quality, similar_texts
 from accordant.llm.common import table, workspace
 
 
@@ -20,7 +20,7 @@ def _encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id.keep_known),
     ("quality", quality.keep_good),
-    ("simhash_dedup", simhash.keep_one_of_each),
+    ("simhash_dedup", similar_texts.keep_one_of_each),
     ("decontamination", decontaminate.drop_contaminated),
     ("byte_bpe", _encoded),
 ]
