@@ -134,6 +134,8 @@ def identified(pages: DataFrame, page: str = "page_id", url: str = "url", html:
     ).withColumn("digest", F.sha2("payload", 256))
     order = F.struct(F.col("_page").isNull().alias("none"), F.coalesce("_page", F.lit(0)).alias("page"), F.col("_row").alias("row"))
     repeated = rows.filter(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("digest", "_first")
+    # Written first, so that its size is known when the join is planned: a small table is broadcast and pages aren't shuffled.
+    repeated = written(repeated, "warc-repeated")
     name = lambda page_col, row_col: F.concat(F.lit("urn:page:"), F.coalesce(page_col.cast("string"), F.lit("")), F.lit(":"), row_col.cast("string"))
     first_name: Column = name(F.when(~F.col("_first.none"), F.col("_first.page")), F.col("_first.row"))
     joined = rows.join(repeated, "digest", "left")
