@@ -1,0 +1,57 @@
+import json
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from accordant import cli
+from accordant.streaming.lifecycle import RECEIPTS, Lane, LifecycleLimits, Position, verified
+
+P = Position("s", "e1", "cam", 0, 1, 100)
+
+
+def kinds(receipts):
+    return [json.loads(r["transition"])["kind"] if r else None for r in receipts]
+
+
+def test_admission():
+    lane, seen = Lane("p"), []
+    offer = lambda p: lane.offer(p, {"f": p.sequence}, lambda reset: seen.append(reset) or {"reset": reset})
+    out = [offer(P), offer(replace(P, sequence=2, timestamp_ms=200)), offer(replace(P, sequence=2, timestamp_ms=300)), offer(replace(P, sequence=5, timestamp_ms=300)), offer(replace(P, sequence=6, timestamp_ms=20_000)), offer(replace(P, generation=1, sequence=1, timestamp_ms=20_100))]
+    assert kinds(out) == ["start", "continue", "rejected", "reset", "reset", "reset"] and seen == [True, False, True, True, True]
+    assert json.loads(out[4]["transition"])["reasons"][0]["kind"] == "time_gap"
+    assert kinds([lane.control("timeout", replace(P, generation=2, sequence=1, timestamp_ms=20_200)), lane.control("rollover", replace(P, epoch_id="e2", generation=0, sequence=0, timestamp_ms=20_300))]) == ["timeout", "rollover"]
+    assert kinds([lane.control("rollover", replace(P, epoch_id="e1")), offer(replace(P, epoch_id="e2", sequence=1, timestamp_ms=30_000))]) == ["fault", None]
+    for change, why in (({"session_id": "t"}, "identity_changed"), ({"clock": "wall"}, "clock_changed"), ({"epoch_id": "e9"}, "epoch_changed_without_rollover"), ({"generation": 2}, "generation_skipped")):
+        lane = Lane("p", LifecycleLimits())
+        lane.offer(P, {}, lambda reset: {})
+        lane.offer(replace(P, sequence=2, timestamp_ms=200, **change), {}, lambda reset: {})
+        assert lane.fault == why
+
+
+def test_receipts_verify_as_a_table(spark):
+    rows = []
+    for stream in ("cam", "mic"):
+        lane = Lane("p")
+        for i in range(6):
+            r = lane.offer(replace(P, stream_id=stream, sequence=i + 1, timestamp_ms=100 * i + 100), {"i": i}, lambda reset: {"r": reset})
+            rows.append(("p", stream, *(r[k] for k in ("index", "previous_digest", "position", "transition", "frame_digest", "assessment_digest", "digest"))))
+    log = spark.createDataFrame(rows, RECEIPTS)
+    assert verified(log).filter("fault IS NOT NULL").count() == 0
+    forged = log.withColumn("frame_digest", F.when((F.col("stream_id") == "cam") & (F.col("index") == 3), "00").otherwise(F.col("frame_digest")))
+    assert [(r.stream_id, r["index"], r.fault) for r in verified(forged).filter("fault IS NOT NULL").collect()] == [("cam", 3, "digest")]
+    gone = log.filter("NOT (stream_id = 'mic' AND index = 2)")
+    assert {(r["index"], r.fault) for r in verified(gone).filter("fault IS NOT NULL").collect()} == {(3, "index"), (4, "index"), (5, "index")}
+
+
+def test_replay_of_three_tracks(spark, tmp_path, capsys):
+    # interleaved tracks; one has a single channel
+    lines = [{"track_id": t, "timestamp_ms": 100 * s, "seq": s, "modality": m, "nis": 3.0, "dof": 3} for s in (1, 2) for t, mods in ((20, ("radar", "visual")), (10, ("visual",)), (30, ("radar", "visual"))) for m in mods]
+    (tmp_path / "r.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    cli.main(["replay", str(tmp_path / "r.jsonl"), "--tracks", "1"])
+    out = capsys.readouterr().out
+    assert "track 10: baseline insufficient, default insufficient" in out and "no positive alarm frames; insufficient-evidence 2 frame(s), first seq 1, last seq 2" in out
+    assert "2 more track(s): 0 with alarms, 2 with insufficient evidence" in out
+
+
+def test_sparkline():
+    assert cli.sparkline([]) == "" and cli.sparkline([1, 1]) == "▁▁" and cli.sparkline([0, 1]) == "▁█" and len(cli.sparkline(list(range(1000)))) == 48
