@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accordant.llm.common import slices, table
+from accordant.llm.common import bound_batches, slices, table
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -103,19 +103,27 @@ def encode(docs: DataFrame, key: list[str], text: str = "text", ranks_path: str
     out, so they can't clash. Texts of up to ``chunk`` characters are one
     chunk and need no shuffle; only pieces of longer ones are shuffled.
     """
+    return _encoded(docs, key, text, ranks_path, pattern, chunk, overlap, None, "ids binary")
+
+
+def _encoded(docs: DataFrame, key: list[str], text: str, ranks_path: str | None, pattern: str | None, chunk: int, overlap: int, then: Callable | None, result: str) -> DataFrame:
+    """``then`` turns batches of keys and ids into ``result``; for texts of one chunk in the same Python worker that encodes them."""
     ranks_path, pattern = (a or b for a, b in zip((ranks_path, pattern), default_vocabulary(), strict=True))
     own = [f"_k{i}" for i in range(len(key))]
     rows = docs.select(*(F.col(k).alias(o) for k, o in zip(key, own, strict=True)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = ", ".join(f"{o} {types[o]}" for o in own)
     run = lambda b: encode_column(b, ranks_path, pattern)
-    short = rows.filter(F.length("_text") <= chunk).mapInArrow(run, f"{head}, ids binary")
+    both = run if then is None else lambda b: then(run(b), ranks_path, pattern)
+    short = rows.filter(F.length("_text") <= chunk).mapInArrow(both, f"{head}, {result}")
     long_rows = rows.filter(F.length("_text") > chunk).withColumn("_row", F.monotonically_increasing_id())
     pieces = chunked_pieces(long_rows, [*own, "_row"], "_text", pattern, chunk, overlap)
     parts = pieces.repartition(*own, "_row", "_no").mapInArrow(run, f"{head}, _row bigint, _no int, ids binary")
     # hex, as Spark joins strings but not binaries of an array; these are long texts only
     joined = parts.groupBy(*own, "_row").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_no", F.hex("ids").alias("h")))), lambda x: x["h"]), "")).alias("ids")).drop("_row")
-    return short.unionByName(joined).select(*(F.col(o).alias(k) for k, o in zip(key, own, strict=True)), "ids")
+    if then is not None:
+        joined = joined.mapInArrow(lambda b: then(b, ranks_path, pattern), f"{head}, {result}")
+    return short.unionByName(joined).withColumnsRenamed(dict(zip(own, key, strict=True)))
 
 
 def decode_bytes(ids: bytes, enc: tiktoken.Encoding) -> bytes:
@@ -135,9 +143,8 @@ def digests(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) ->
 
 def encode_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    ranks_path, pattern = default_vocabulary()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return encode(docs, ["doc_id"]).mapInArrow(lambda b: digests(b, ranks_path, pattern), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    bound_batches(docs.sparkSession)
+    return _encoded(docs, ["doc_id"], "text", None, None, CHUNK_CHARS, OVERLAP_CHARS, digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:

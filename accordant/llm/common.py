@@ -19,11 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_ROWS = 256
 
 
+#: Rows of an Arrow batch at most: a batch is in the JVM and in Python at once.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data, read by Spark alone."""
+    """A table of the test data, read by Spark alone. Bounds the session's Arrow batches, as texts may be long."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +57,7 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table in the shared folder: computed once, and safe when executors are lost."""
+    bound_batches(df.sparkSession)
     path = workspace(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

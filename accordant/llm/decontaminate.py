@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm.common import table
+from accordant.llm.common import bound_batches, table
 
 WINDOW = 5
 COVERAGE = 0.5
@@ -36,7 +36,7 @@ COVERAGE = 0.5
 LITERALS = 2
 BLOCK_BYTES = 16 << 20
 #: Tokens whose canonical form a worker remembers at most; the memory is then emptied.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 BITMAP_BITS = 22
 
 #: Units (fixed values).
@@ -219,6 +219,7 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", bloc
 
 def matches(spark: SparkSession, block: Block, text: Column, item_type: str = "bigint", coverage: float = COVERAGE) -> Column:
     """The items of a block that each text holds. A null or empty text holds none."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(block)
 
     @F.pandas_udf(MATCH.format(item_type))

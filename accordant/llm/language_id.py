@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm.common import slices, table
+from accordant.llm.common import bound_batches, slices, table
 
 BUCKETS = 1 << 16
 TRAIN_DOCUMENTS = 2_000
@@ -36,7 +36,7 @@ MOST_LANGUAGES = 500
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Letters of a group of texts that are scored at once; a longer text is a group of its own.
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 18
 UNKNOWN = "und"
 
 #: Scripts by ranges of code points (fixed values); other letters are of script 0.
@@ -247,6 +247,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct(lang_pred, score) of a text column. The model's size has a bound, so it is broadcast."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm.common import table
+from accordant.llm.common import bound_batches, table
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS = 80, 4, 64
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
 def scores(spark: SparkSession, trees: Trees, text: Column) -> Column:
     """Score (0 to 1) of a text column. Null and empty texts have one too."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
