@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,6 +26,8 @@ MIN_REVISIT_BYTES = 100
 SEGMENT_BYTES = 16_384
 #: Bytes of a frame of the chunked transfer encoding.
 FRAME_BYTES = 8_192
+#: Compressed bytes that are looked at together when archives are read.
+FEED_BYTES = 4_096
 #: Bytes of payload after which a task begins another archive file.
 ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -96,13 +98,17 @@ def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     if raw[:2] != b"\x1f\x8b":
         yield from _parse_plain(raw)
         return
-    while raw:
-        opened = zlib.decompressobj(31)
-        plain = opened.decompress(raw) + opened.flush()
-        if not opened.eof:
-            raise ValueError("an archive ends inside a record")
-        raw = opened.unused_data
-        yield from _parse_plain(plain)
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        opened, plain = zlib.decompressobj(31), []
+        while not opened.eof:
+            if at >= len(raw):
+                raise ValueError("an archive ends inside a record")
+            fed = view[at : at + FEED_BYTES]
+            plain.append(opened.decompress(fed))
+            at += len(fed)
+        at -= len(opened.unused_data)
+        yield from _parse_plain(b"".join(plain))
 
 
 def _parse_plain(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -175,6 +181,11 @@ RECORD_DDL = "key string, type string, refers_to string, declared string, segmen
 
 def read_records(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """A row a record; ``segment`` is null for records that aren't segmented, and a continuation's key is its origin's."""
+    n = len(names)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(_reader(folder, names), RECORD_DDL)
+
+
+def _reader(folder: str, names: list[str]) -> Callable:
     uris = [f"{folder}/{n}" for n in names]
     bare = lambda x: x[1:-1] if x else None
 
@@ -191,8 +202,7 @@ def read_records(spark: SparkSession, folder: str, names: list[str]) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
 
-    n = len(uris)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, RECORD_DDL)
+    return read
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -213,25 +223,39 @@ def reassembled(records: DataFrame) -> DataFrame:
     return whole.unionByName(checked.select(whole.columns))
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, type, refers_to, declared, segment, total and block: add payload_bytes and payload_digest of records that are whole, and drop their blocks."""
+    for batch in slices(batches):
+        sizes, digests, blocks = [], [], []
+        for key, kind, declared, segment, block in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 6)), strict=True):
+            payload = None if kind == "revisit" or segment is not None else http_payload(block)
+            sizes.append(None if payload is None else len(payload))
+            digests.append(declared if payload is None else hashlib.sha256(payload).hexdigest())
+            blocks.append(None if segment is None else block)
+            if payload is not None and declared and digests[-1] != declared:
+                raise ValueError(f"the payload of {key} hasn't the digest that is declared")
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(blocks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names[:6], "block", "payload_bytes", "payload_digest"])
+
+
+SEEN_DDL = f"{RECORD_DDL}, payload_bytes bigint, payload_digest string"
+SEEN = ("key", "type", "refers_to", "payload_bytes", "payload_digest")
+
+
 def payloads(records: DataFrame) -> DataFrame:
-    """key, type, refers_to, payload_bytes and payload_digest of every record; revisits take these from the response that they refer to.
+    """key, type, refers_to, payload_bytes and payload_digest of whole records; revisits have the digest that they declare.
 
     A payload whose digest isn't the declared one raises an error.
     """
+    ready = records.select("key", "type", "refers_to", "declared", F.lit(None).cast("int").alias("segment"), F.lit(None).cast("long").alias("total"), "block")
+    return ready.mapInArrow(_digested, SEEN_DDL).select(*SEEN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sizes, digests = [], []
-            for key, kind, declared, block in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                payload = None if kind == "revisit" else http_payload(block)
-                sizes.append(None if payload is None else len(payload))
-                digests.append(declared if payload is None else hashlib.sha256(payload).hexdigest())
-                if declared and digests[-1] != declared:
-                    raise ValueError(f"the payload of {key} hasn't the digest that is declared")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["key", "type", "refers_to", "payload_bytes", "payload_digest"])
 
-    seen = records.mapInArrow(run, "key string, type string, refers_to string, payload_bytes bigint, payload_digest string")
-    return seen
+def read_payloads(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``payloads`` of archives that are read once: whole records give their digests there and then, only segments go on to be put together."""
+    n, read = len(names), _reader(folder, names)
+    seen = written(spark.range(0, n, 1, max(1, n)).mapInArrow(lambda b: _digested(read(b)), SEEN_DDL), "warc-records")
+    whole = seen.filter(F.col("segment").isNull()).select(*SEEN)
+    return whole.unionByName(payloads(reassembled(seen.filter(F.col("segment").isNotNull()))))
 
 
 def pages_of(seen: DataFrame) -> DataFrame:
@@ -247,8 +271,7 @@ def pages_of(seen: DataFrame) -> DataFrame:
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "warc")
     names = write_archives(identified(table(spark, sf_dir, "pages")), folder)
-    # Digests only: small, and each archive is read once.
-    return pages_of(written(payloads(reassembled(read_records(spark, folder, names))), "warc-payloads"))
+    return pages_of(read_payloads(spark, folder, names))
 
 
 ORACLE = """
