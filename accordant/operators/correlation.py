@@ -116,30 +116,34 @@ def consensus(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str,
     of the strongest pair), and no channel outside it that reaches the
     threshold with any of its members.
     """
-    mods = canonical(modalities)
-    c = len(mods)
+    c = len(canonical(modalities))
     pairs = list(combinations(range(c), 2))
-    floors = F.array(*(F.lit(x) for x in cfg.floors(c)))
-    out = frames.withColumn("_floor", floors[F.coalesce(F.col("w"), F.lit(0)).cast("int")])
+    number = lambda x: f"{x!r}D"
+    any_of = lambda xs: " OR ".join(f"({x})" for x in xs)
+    floors = ", ".join(map(number, cfg.floors(c)))
+    out = frames.withColumn("_floor", F.expr(f"array({floors})[CAST(coalesce(w, 0) AS INT)]"))
+    # One parsed expression a column: many small Column calls would take longer to build than to run.
     for a in range(axes):
-        r = {p: F.col(f"r_{a}_{p[0]}_{p[1]}") for p in pairs}
         if c < 3:
             out = out.withColumns({f"corr_{a}": F.lit("insufficient"), f"mask_{a}": F.lit(0)})
             continue
-        reference = F.greatest(*r.values())
-        out = out.withColumn("_reference", reference).withColumn("_threshold", F.greatest(F.lit(cfg.corr_floor), F.col("_floor"), cfg.decouple_ratio * F.col("_reference")))
-        out = out.withColumns({f"_e_{i}_{j}": r[i, j] >= F.col("_threshold") for i, j in pairs})
-        edge = {p: F.col(f"_e_{p[0]}_{p[1]}") for p in pairs}
-        cliques = {mask: _all([edge[p] for p in combinations([i for i in range(c) if mask >> i & 1], 2)] or [F.lit(True)]) for mask in range(1, 1 << c)}
-        sizes = {mask: F.when(holds, mask.bit_count()).otherwise(0) for mask, holds in cliques.items()}
-        out = out.withColumn("_largest", F.greatest(*sizes.values()))
-        best = {mask: holds & (F.col("_largest") == mask.bit_count()) for mask, holds in cliques.items()}
-        out = out.withColumns({"_ties": sum((b.cast("int") for b in best.values()), F.lit(0)), "_clique": F.greatest(*(F.when(b, mask).otherwise(0) for mask, b in best.items()))})
-        member = lambda i: F.col("_clique").bitwiseAND(F.lit(1 << i)) != 0
-        bridged = _any([edge[i, j] & (member(i) != member(j)) for i, j in pairs])
-        unclear = (F.col("_reference") < cfg.corr_floor) | (F.col("_floor") >= 1.0) | (F.col("_reference") < F.col("_threshold")) | ~((2 * F.col("_largest") > c) & (F.col("_ties") == 1)) | bridged
-        missing = _any([x.isNull() for x in r.values()])
-        state = F.when(F.coalesce(F.col("w"), F.lit(0)) < cfg.min_samples, "insufficient").when(missing, "error").when(unclear, "insufficient").when(F.col("_clique") == (1 << c) - 1, "nominal").otherwise("decoupled")
-        out = out.withColumn(f"corr_{a}", state).withColumn(f"mask_{a}", F.when(F.col(f"corr_{a}") == "decoupled", (1 << c) - 1 - F.col("_clique")).otherwise(0).cast("int"))
-        out = out.drop("_reference", "_threshold", "_largest", "_ties", "_clique", *(f"_e_{i}_{j}" for i, j in pairs))
+        r = {p: f"r_{a}_{p[0]}_{p[1]}" for p in pairs}
+        edge = {p: f"_e_{p[0]}_{p[1]}" for p in pairs}
+        cliques = {mask: " AND ".join(edge[p] for p in combinations([i for i in range(c) if mask >> i & 1], 2)) or "true" for mask in range(1, 1 << c)}
+        best = {mask: f"{holds} AND _largest = {mask.bit_count()}" for mask, holds in cliques.items()}
+        bridged = any_of(f"{edge[i, j]} AND (_clique & {1 << i} <> 0) <> (_clique & {1 << j} <> 0)" for i, j in pairs)
+        unclear = any_of((f"_reference < {number(cfg.corr_floor)}", "_floor >= 1.0D", "_reference < _threshold", f"NOT (2 * _largest > {c} AND _ties = 1)", bridged))
+        missing = any_of(f"{x} IS NULL" for x in r.values())
+        steps = (
+            {"_reference": f"greatest({', '.join(r.values())})"},
+            {"_threshold": f"greatest({number(cfg.corr_floor)}, _floor, {number(cfg.decouple_ratio)} * _reference)"},
+            {edge[p]: f"{r[p]} >= _threshold" for p in pairs},
+            {"_largest": f"greatest({', '.join(f'IF({holds}, {mask.bit_count()}, 0)' for mask, holds in cliques.items())})"},
+            {"_ties": " + ".join(f"IF({b}, 1, 0)" for b in best.values()), "_clique": f"greatest({', '.join(f'IF({b}, {mask}, 0)' for mask, b in best.items())})"},
+            {f"corr_{a}": f"CASE WHEN coalesce(w, 0) < {cfg.min_samples} THEN 'insufficient' WHEN {missing} THEN 'error' WHEN {unclear} THEN 'insufficient' WHEN _clique = {(1 << c) - 1} THEN 'nominal' ELSE 'decoupled' END"},
+            {f"mask_{a}": f"IF(corr_{a} = 'decoupled', {(1 << c) - 1} - _clique, 0)"},
+        )
+        for step in steps:
+            out = out.withColumns({name: F.expr(text) for name, text in step.items()})
+        out = out.drop("_reference", "_threshold", "_largest", "_ties", "_clique", *edge.values())
     return out.drop("_floor")

@@ -8,6 +8,8 @@ extreme), so a row costs the same whatever the window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +80,8 @@ def channel_reports(rows: DataFrame, cfg: DetectorConfig, channels: int, dofs: t
     def critical() -> Column:
         out = None
         for d in dofs:
-            values = F.array(*(F.lit(x) for x in critical_values(cfg, channels, d)))[F.col("n").cast("int")]
+            listed = ", ".join("double('infinity')" if math.isinf(x) else f"{x!r}D" for x in critical_values(cfg, channels, d))
+            values = F.expr(f"array({listed})[CAST(n AS INT)]")
             out = F.when(F.col("dof") == d, values) if out is None else out.when(F.col("dof") == d, values)
         return out
 
