@@ -2,12 +2,18 @@
 
 Texts with a Jaccard similarity of 0.8 over five-word shingles have
 fingerprints some ten bits apart. No blocks of 64 bits find such pairs for
-certain, so each fingerprint is dealt to ``TABLES`` shards by samples of
-``SAMPLE_BITS`` of its bits: two fingerprints d bits apart meet with
-probability 1 - (1 - C(64-d, b) / C(64, b))^tables, 0.98 at 8 bits and 0.89 at
-10. Candidates within ``RADIUS`` are verified against sketches of their
-shingle sets, so texts that are unlike never link. Links within 3 bits need no
-sketch and none of them is lost (``simhash.fingerprint_edges``).
+certain, so fingerprints only propose links, and an exact join finds the rest.
+
+Proposals: links within 3 bits (``simhash.fingerprint_edges``), and those of
+fingerprints that meet in one of ``TABLES`` shards by samples of
+``SAMPLE_BITS`` of their bits, lie within ``RADIUS`` and have sketches that
+are alike. Each proposal is verified by the exact similarity of the whole
+shingle sets. Components of what is left keep large groups of copies from
+being compared in pairs below.
+
+The rest: every pair of similarity 0.8 or more of different components, by a
+prefix-filtered join of shingle sets (``missing_pairs``), verified likewise. So
+the classes are just the components of all pairs of similarity 0.8 or more.
 
 Shards are bounded as in ``simhash``. A shard keeps one BK-tree list a
 component: a fingerprint that is verified to be of a component is searched
@@ -20,10 +26,12 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +40,16 @@ from accordant.llm.simhash import SEED, SHARD_ROWS, BKTree, components, fingerpr
 
 WORDS = 5
 SIMILARITY = 0.8
+#: The similarity as a fraction, so that whole sets are judged in integers.
+SHARE = Fraction(SIMILARITY).limit_denominator(1000)
 RADIUS = 14
 SAMPLE_BITS, TABLES = 16, 48
 #: Bins of a sketch; its estimate of a similarity of 0.8 has a standard error of 0.035.
 BINS = 128
-#: What an estimate may be under the similarity: one standard error.
+#: What an estimate may be under the similarity for a link to be proposed: one standard error.
 SLACK = 0.035
+#: Texts of the sample that tells common shingles, in how many a common one is, and the most that are kept.
+SAMPLE_TEXTS, COMMON, MOST_COMMON = 20_000, 3, 200_000
 MASK = (1 << 64) - 1
 
 
@@ -160,15 +172,95 @@ def similar_edges(fps: DataFrame, radius: int = RADIUS, similarity: float = SIMI
     return placed.mapInArrow(lambda b: _verified_edges(b, radius, similarity - SLACK), "a bigint, b bigint").distinct()
 
 
+def least_overlap(n: int) -> int:
+    """Shingles that a set of ``n`` has in common with any set of a similarity of ``SIMILARITY``, at least."""
+    return -(-SHARE.numerator * n // SHARE.denominator)
+
+
+def ordered_prefix(found: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Of distinct sorted shingles the first ones, rare before common: similar sets share one of these."""
+    if not len(found):
+        return found
+    rank = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        rank = np.where(common[at] == found, ranks[at], 0)
+    return found[np.lexsort((found, rank))][: len(found) - least_overlap(len(found)) + 1]
+
+
+def common_shingles(docs: DataFrame, text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a sample of about ``SAMPLE_TEXTS`` texts, and how common. They only order prefixes; any order finds all pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [np.unique(shingle_hashes(x, words, SEED)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
+
+    every = max(1, docs.count() // SAMPLE_TEXTS)
+    sampled = docs.select(F.col(text).alias("_text")).filter(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0).distinct()
+    counts = sampled.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
+    found, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
 def with_sketches(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
+    """Key, ``fp``, ``sketch``, and of the set of shingles: its hash ``sid``, its size ``n`` and its ``prefix``."""
     kind = docs.schema[key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes = [shingle_hashes(x, words, SEED) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(fingerprint(h)) for h in hashes], pa.int64()), pa.array([sketch(h) for h in hashes], pa.binary())], ["_key", "fp", "sketch"])
+            sets = [np.unique(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([signed(fingerprint(h)) for h in hashes], pa.int64()),
+                    pa.array([sketch(h) for h in hashes], pa.binary()),
+                    pa.array([set_id(x) for x in sets], pa.int64()),
+                    pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array([ordered_prefix(x, *shared.value).tobytes() for x in sets], pa.binary()),
+                ],
+                ["_key", "fp", "sketch", "sid", "n", "prefix"],
+            )
+
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, fp bigint, sketch binary, sid bigint, n int, prefix binary").withColumnRenamed("_key", key)
+
+
+def set_id(found: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
+    """Those pairs (a, b) of ``sid`` whose whole shingle sets have the similarity. ``nodes`` has a key (``_least``) of each ``sid``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [np.unique(shingle_hashes(x, words, SEED)) for x in batch.column(1).to_pylist()]
+            same = [s == set_id(x) for s, x in zip(batch.column(0).to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), pa.array([x.tobytes() for x, ok in zip(found, same, strict=True) if ok], pa.binary())], ["sid", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            alike = [jaccard_reaches(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "_least")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    # A key may have several texts: the one of that set counts. Texts without a key meet as null.
+    placed = rows.join(wanted, F.col("_key").eqNullSafe(F.col("_least"))).select("sid", "_text").mapInArrow(sets, "sid bigint, shingles binary")
+    placed = written(placed.groupBy("sid").agg(F.min("shingles").alias("shingles")), "similar-sets")
+    left, right = (placed.select(F.col("sid").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"), "similar-verified")
+
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, fp bigint, sketch binary").withColumnRenamed("_key", key)
+def jaccard_reaches(a: bytes, b: bytes) -> bool:
+    """Whether two sets of distinct shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both * SHARE.denominator >= SHARE.numerator * (len(x) + len(y) - both)
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,12 +270,20 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys are of a class but name none. Repeated rows are kept.
     """
     seen = written(with_sketches(docs, key, text), "similar")
-    distinct = written(seen.groupBy("fp").agg(F.min(key).alias("_least"), F.min("sketch").alias("sketch")), "similar-distinct")
-    near = reduce(DataFrame.unionByName, (fingerprint_edges(distinct.select("fp")), similar_edges(distinct.select("fp", "sketch"))))
-    joined = components(near)
-    heads = distinct.select("fp", "_least").join(joined.select(F.col("node").alias("fp"), F.col("component").alias("_root")), "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
+    # Texts of one shingle set are alike; fingerprints propose links of sets, and only the whole sets decide.
+    distinct = written(seen.groupBy("sid").agg(F.min(key).alias("_least"), *(F.min(c).alias(c) for c in ("fp", "n", "sketch", "prefix"))), "similar-distinct")
+    prints = written(distinct.groupBy("fp").agg(F.min("sid").alias("sid"), F.min("sketch").alias("sketch")), "similar-prints")
+    near = reduce(DataFrame.unionByName, (fingerprint_edges(prints.select("fp")), similar_edges(prints.select("fp", "sketch"))))
+    near = near.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
+    left, right = (prints.select(F.col("fp").alias(f), F.col("sid").alias(c)) for f, c in (("x", "a"), ("y", "b")))
+    proposed = near.join(left, "x").join(right, "y").select("a", "b")
+    twins = distinct.select(F.col("sid").alias("a"), "fp").join(prints.select("fp", F.col("sid").alias("b")), "fp").filter("a <> b").select("a", "b")
+    proposed = written(proposed.unionByName(twins), "similar-proposed")
+    links = verified_pairs(proposed, distinct, docs, key, text)
+    joined = components(links)
+    heads = distinct.select("sid", "_least").join(joined.select(F.col("node").alias("sid"), F.col("component").alias("_root")), "sid", "left").withColumn("_root", F.coalesce("_root", "sid"))
     least = heads.groupBy("_root").agg(F.min("_least").alias("component"))
-    return seen.select(key, "fp").join(heads.join(least, "_root").select("fp", "component"), "fp").select(key, "fp", "component")
+    return seen.select(key, "fp", "sid").join(heads.join(least, "_root").select("sid", "component"), "sid").select(key, "fp", "component")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:

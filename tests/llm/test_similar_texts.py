@@ -77,3 +77,11 @@ def test_one_of_each_stays(spark):
     docs = spark.createDataFrame([(2, text, "a"), (1, text, "b"), (1, text, "b"), (3, "quite another text", "c"), (None, text, "d")], "doc_id long, text string, source string")
     assert sorted(str(r.doc_id) for r in st.keep_one_of_each(spark, docs).collect()) == ["1", "3", "None"]
     assert st.keep_one_of_each(spark, docs).columns == docs.columns
+
+
+def test_texts_below_the_similarity_are_not_linked(spark):
+    """Pairs of sf0.001 whose sketches pass the lowered bar but whose sets don't reach 0.8: 0.715 and 0.797."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id in (37, 56, 106, 185)")
+    assert {r.doc_id: r.component for r in st.similar_classes(docs).collect()} == {d: d for d in (37, 56, 106, 185)}
+    a, b = (np.arange(n, dtype=np.uint64).tobytes() for n in (8, 10))
+    assert st.jaccard_reaches(a, b) and not st.jaccard_reaches(a[:-8], b)
