@@ -263,6 +263,86 @@ def jaccard_reaches(a: bytes, b: bytes) -> bool:
     return both * SHARE.denominator >= SHARE.numerator * (len(x) + len(y) - both)
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        times = [len(x) for x in found]
+        columns = [np.repeat(batch.column(i).to_numpy(), times) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), *map(pa.array, columns)], ["token", "sid", "n", "part"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each shard (rows shard, side, n, sid, part in order of shard and n) of other parts, sides and of sizes that allow the similarity."""
+    names = ["a", "b", "na", "nb"]
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    rows = 0
+    left: list[np.ndarray] | None = None
+
+    def search(group: list[np.ndarray]) -> None:
+        nonlocal rows
+        _, side, n, sid, part = group
+        ends = np.searchsorted(n, n * SHARE.denominator // SHARE.numerator, "right")
+        for i in range(len(n) - 1):
+            j = slice(i + 1, ends[i])
+            ok = (part[j] != part[i]) & ((side[j] < 0) | (side[j] != side[i]))
+            if ok.any():
+                other, size = sid[j][ok], n[j][ok]
+                less = other < sid[i]
+                for k, column in enumerate((np.where(less, other, sid[i]), np.where(less, sid[i], other), np.where(less, size, n[i]), np.where(less, n[i], size))):
+                    out[k].append(column)
+                rows += len(other)
+
+    def drain() -> Iterator[pa.RecordBatch]:
+        nonlocal rows
+        columns = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in out]
+        for x in out:
+            x.clear()
+        for at in range(0, max(1, rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], pa.int64()) for c in columns], names)
+        rows = 0
+
+    def groups(columns: list[np.ndarray], whole: bool) -> list[np.ndarray]:
+        """Searches each shard; gives back the last one, which may go on, if not ``whole``."""
+        cuts = np.concatenate(([0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [len(columns[0])]))
+        stop = len(cuts) - 1 if whole else len(cuts) - 2
+        for g in np.flatnonzero(np.diff(cuts[: stop + 1]) > 1):
+            search([c[cuts[g] : cuts[g + 1]] for c in columns])
+        return [c[cuts[stop] :] for c in columns]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        left = groups(columns if left is None else [np.concatenate(x) for x in zip(left, columns, strict=True)], False)
+        if rows >= 100_000:
+            yield from drain()
+    if left is not None:
+        groups(left, True)
+    yield from drain()
+
+
+def missing_pairs(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): every two ``sid`` of other components (``part``) that may have the similarity; none that has it is left out.
+
+    Sets of similarity t share a shingle of their prefixes, and so many of
+    them that most others fall to their count: the whole prefix that ends
+    first, but for what its set lacks. Shingles of more than ``shard_rows``
+    prefixes are cut into parts, and each pair of parts is a shard.
+    """
+    keyed = nodes.select("sid", "n", "part", "prefix").mapInArrow(_prefix_rows, "token bigint, sid bigint, n int, part bigint")
+    large = written(keyed.groupBy("token").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > shard_rows), "similar-hot")
+    small = keyed.join(large, "token", "left_anti").select(F.col("token").alias("shard"), F.lit(-1).cast("tinyint").alias("side"), "n", "sid", "part")
+    pieces = F.ceil(F.col("_rows") / shard_rows).cast("int")
+    pairs = keyed.join(large, "token").withColumn("_p", F.pmod(F.xxhash64("sid"), pieces).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    side = F.when(F.col("_p") == F.col("_o"), -1).when(F.col("_p") < F.col("_o"), 0).otherwise(1).cast("tinyint")
+    paired = pairs.select(F.xxhash64("token", F.least("_p", "_o"), F.greatest("_p", "_o")).alias("shard"), side.alias("side"), "n", "sid", "part")
+    placed = small.unionByName(paired).repartition(F.col("shard")).sortWithinPartitions("shard", "n")
+    met = placed.mapInArrow(_meeting, "a bigint, b bigint, na bigint, nb bigint").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
+    num, den = F.lit(SHARE.numerator), F.lit(SHARE.denominator)
+    overlap = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den))
+    return met.filter(F.col("_shared") >= overlap + 1 - F.ceil(num * F.greatest("na", "nb") / den)).select("a", "b")
+
+
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: key, fp and ``component``, the smallest key that links lead to.
 
@@ -280,7 +360,10 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     twins = distinct.select(F.col("sid").alias("a"), "fp").join(prints.select("fp", F.col("sid").alias("b")), "fp").filter("a <> b").select("a", "b")
     proposed = written(proposed.unionByName(twins), "similar-proposed")
     links = verified_pairs(proposed, distinct, docs, key, text)
-    joined = components(links)
+    parts = components(links).select(F.col("node").alias("sid"), F.col("component").alias("part"))
+    nodes = distinct.select("sid", "n", "prefix").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    rest = verified_pairs(written(missing_pairs(nodes), "similar-missing"), distinct, docs, key, text)
+    joined = components(links.unionByName(rest))
     heads = distinct.select("sid", "_least").join(joined.select(F.col("node").alias("sid"), F.col("component").alias("_root")), "sid", "left").withColumn("_root", F.coalesce("_root", "sid"))
     least = heads.groupBy("_root").agg(F.min("_least").alias("component"))
     return seen.select(key, "fp", "sid").join(heads.join(least, "_root").select("sid", "component"), "sid").select(key, "fp", "component")

@@ -85,3 +85,29 @@ def test_texts_below_the_similarity_are_not_linked(spark):
     assert {r.doc_id: r.component for r in st.similar_classes(docs).collect()} == {d: d for d in (37, 56, 106, 185)}
     a, b = (np.arange(n, dtype=np.uint64).tobytes() for n in (8, 10))
     assert st.jaccard_reaches(a, b) and not st.jaccard_reaches(a[:-8], b)
+
+
+def exact_classes(texts):
+    sets = {d: frozenset(shingle_hashes(t, 5).tolist()) for d, t in texts.items()}
+    roots = {d: d for d in sets}
+    for d in sorted(sets):
+        linked = {roots[o] for o in sets if o < d and 5 * len(sets[o] & sets[d]) >= 4 * len(sets[o] | sets[d])} | {d}
+        roots = {o: min(linked) if r in linked else r for o, r in roots.items()}
+    return roots
+
+
+@pytest.mark.parametrize("shard_rows", [2, 256])
+def test_classes_are_those_of_all_pairs_by_whole_sets(spark, shard_rows, monkeypatch):
+    """Many pairs just above and just below 0.8: none is lost and none is linked, whatever their fingerprints are."""
+    monkeypatch.setattr(st.missing_pairs, "__defaults__", (shard_rows,))
+    rng = random.Random(11)
+    texts = {}
+    line = [word(rng) for _ in range(12)]
+    for _ in range(60):
+        base = [word(rng) for _ in range(rng.choice((7, 30, 120, 300)))] + rng.choice(([], line))
+        for k in range(4):
+            texts[len(texts)] = " ".join(edited(rng, base, rng.choice((0.01, 0.02, 0.025, 0.03)) if k else 0))
+    want = exact_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component for r in st.similar_classes(docs).collect()} == want
+    assert 20 < sum(d != c for d, c in want.items()) < 170
