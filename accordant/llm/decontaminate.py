@@ -6,7 +6,10 @@ words by their lower-case form. Windows of ``WINDOW`` template tokens of the
 benchmark are put in a hash table, and each document's windows are joined
 with it. Where windows of an item lie on one diagonal (the same distance
 between places in document and item), their slots must be consistent: one value
-of the item always stands for one value of the document. A document holds an
+of the item always stands for one value of the document. Capitals tell names only
+where case means something, so texts and items are also matched in a second
+form, in which names are words like others: copies in upper case, title case
+or lower case are found by it. A document holds an
 item if consistent windows cover at least ``COVERAGE`` of the item's windows,
 whether its values are the item's own or others.
 
@@ -59,6 +62,15 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(NAME.sub("\x02\\g<0>", (text or "").replace("\x02", " ")))
 
 
+def plain(token: str) -> str:
+    return token.lstrip("\x02").lower()
+
+
+def nameless(written: list[str]) -> list[str]:
+    """The tokens with names as words like others."""
+    return [t.lstrip("\x02") for t in written]
+
+
 class Canonical(dict):
     """Ids of tokens as they are written, without regard to their places: a memory that fills itself."""
 
@@ -120,10 +132,16 @@ class Block:
     bitmap: np.ndarray
     width: int
     whole: dict[tuple[int, ...], list[int]]  # items that are shorter than a window
+    owners: np.ndarray  # the row of each item; one with names is there in two forms
 
     @classmethod
     def build(cls, rows: list[tuple[object, str | None]], width: int = WINDOW) -> Block:
         written = [tokens(t) for _, t in rows]
+        owners = list(range(len(rows)))
+        for i in range(len(rows)):
+            if any(t[0] == "\x02" for t in written[i]):
+                written.append(nameless(written[i]))
+                owners.append(i)
         words: dict[str, int] = {}
         for w in sorted(UNITS):
             words[w] = FIRST_WORD + len(words)
@@ -136,7 +154,7 @@ class Block:
         canonical = Canonical(words)
         templates = [template(np.array([canonical[t] for t in toks], np.int64), is_unit) for toks in written]
         hashes, items, places, whole = [], [], [], defaultdict(list)
-        n_windows = np.zeros(len(rows), np.int64)
+        n_windows = np.zeros(len(owners), np.int64)
         for i, ids in enumerate(templates):
             if 0 < len(ids) < width:
                 whole[tuple(ids.tolist())].append(i)
@@ -151,16 +169,33 @@ class Block:
         order = np.argsort(all_hashes, kind="stable")
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[(all_hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        return cls(words, is_unit, [r[0] for r in rows], templates, written, n_windows, all_hashes[order], np.concatenate(items or none)[order], np.concatenate(places or none)[order], bitmap, width, dict(whole))
+        return cls(words, is_unit, [rows[o][0] for o in owners], templates, written, n_windows, all_hashes[order], np.concatenate(items or none)[order], np.concatenate(places or none)[order], bitmap, width, dict(whole), np.array(owners, np.int64))
 
     def matches(self, text: str | None, canonical: Canonical, coverage: float = COVERAGE) -> list[tuple]:
         """(item_id, windows matched, windows of the item, whether a value differs) for each item that the text holds."""
         written = tokens(text)
-        ids = template(np.fromiter(map(canonical.__getitem__, written), np.int64, len(written)), self.is_unit)
+        ids = np.fromiter(map(canonical.__getitem__, written), np.int64, len(written))
+        found = self._matches(written, template(ids, self.is_unit), coverage)
+        named = np.flatnonzero(ids == NAMED)
+        if len(named):
+            for at in named.tolist():
+                written[at] = written[at][1:]
+                ids[at] = canonical[written[at]]
+            found += self._matches(written, template(ids, self.is_unit), coverage)
+        # Of an item's forms the one that is covered best, and of these one without other values.
+        best: dict[int, tuple] = {}
+        for i, matched, windows, changed in found:
+            row = int(self.owners[i])
+            if row not in best or (matched * best[row][2], best[row][3]) > (best[row][1] * windows, changed):
+                best[row] = (self.item_ids[i], matched, windows, changed)
+        return list(best.values())
+
+    def _matches(self, written: list[str], ids: np.ndarray, coverage: float) -> list[tuple]:
+        """``matches`` of one form of a text, with the number of each item's form in place of its id."""
         if len(ids) < self.width:
             found = self.whole.get(tuple(ids.tolist()), []) if (ids >= FIRST_WORD).any() else []
-            same = [w.lower() for w in written]
-            return [(self.item_ids[i], 1, 1, same != [w.lower() for w in self.values[i]]) for i in found]
+            same = [plain(w) for w in written]
+            return [(i, 1, 1, same != [plain(w) for w in self.values[i]]) for i in found]
         hashes = window_hashes(ids, self.width)
         at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
         at = at[telling(ids, self.width)[at]]
@@ -186,7 +221,7 @@ class Block:
                     covered.update(starts)
                     changed |= differs
             if len(covered) >= coverage * self.n_windows[i]:
-                out.append((self.item_ids[i], len(covered), int(self.n_windows[i]), changed))
+                out.append((i, len(covered), int(self.n_windows[i]), changed))
         return out
 
     def _slots(self, item: int, shift: int, starts: list[int], ids: np.ndarray, written: list[str]) -> tuple[bool, bool]:
@@ -197,7 +232,7 @@ class Block:
             if ids[p + shift] != kind:
                 return False, False
             if kind < FIRST_WORD:
-                a, b = self.values[item][p].lower(), written[p + shift].lower()
+                a, b = plain(self.values[item][p]), plain(written[p + shift])
                 if known.setdefault((kind, a), b) != b:
                     return False, False
                 differs |= a != b

@@ -56,3 +56,17 @@ def test_blocks_and_hard_rows(spark, monkeypatch, block_bytes):
     assert sorted(got, key=str) == sorted([(d, i) for d in (1, 1, None, 5) for i in (7, 7, None)], key=str)
     assert dc.contaminated(spark, docs, bench.limit(0)).count() == 0
     assert dc.contaminated(spark, docs.limit(0), bench).count() == 0
+
+
+def test_copies_in_other_cases_are_found(spark):
+    """Upper case, title case and lower case, where capitals tell no names; by brute force over a fixture too."""
+    for copy in (Q.upper(), Q.title(), Q.lower(), Q):
+        assert holds(Q, f"Some text. {copy}. More text.") == [(1, 25, 25, False)]
+        assert holds(copy, f"Some text. {Q}. More text.") == [(1, 25, 25, False)]
+    sf = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").limit(12)
+    items = [r for r in bench.collect() if len(r.text.split()) > 6]
+    texts = [f"Before it. {change(r.text)} And after it." for r in items for change in (str.upper, str.title, str.lower, str.swapcase)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(spark, docs, bench).collect()}
+    assert got == {(d, b.item_id) for d, t in enumerate(texts) for b in bench.collect() if plain(b.text, t)} and len(got) >= len(texts) > 20
