@@ -53,6 +53,10 @@ UPPER = "A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΫА-ЯЁ"
 #: A capital after a word, comma, semicolon or colon and a space, so not at a sentence's beginning.
 NAME = re.compile(rf"(?<=[\w,;:] )[{UPPER}]")
 TOKEN = re.compile(r"\x02?[^\W\d_]+|\d+(?:[.,]\d+)*")
+#: Four letters of a script that is written without spaces.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]{4}")
+#: Tokens by which items without a telling window are looked up.
+LEADING = 3
 OTHER, NUMBER, NAMED, UNIT = 0, 1, 2, 3
 FIRST_WORD = 4
 
@@ -71,6 +75,11 @@ def nameless(written: list[str]) -> list[str]:
     return [t.lstrip("\x02") for t in written]
 
 
+def says_enough(written: list[str]) -> bool:
+    """Whether an item may be looked for inside texts: not one or two words, but where scripts have no spaces a token is a clause."""
+    return len(written) > 2 or any(UNSPACED.search(t) for t in written)
+
+
 class Canonical(dict):
     """Ids of tokens as they are written, without regard to their places: a memory that fills itself."""
 
@@ -133,6 +142,7 @@ class Block:
     width: int
     whole: dict[tuple[int, ...], list[int]]  # items that are shorter than a window
     owners: np.ndarray  # the row of each item; one with names is there in two forms
+    exact: dict[tuple[str, ...], list[tuple[tuple[str, ...], int]]]  # items without a telling window, as written, by their first tokens
 
     @classmethod
     def build(cls, rows: list[tuple[object, str | None]], width: int = WINDOW) -> Block:
@@ -164,18 +174,26 @@ class Block:
             hashes.append(window_hashes(ids, width)[at])
             items.append(np.full(len(at), i))
             places.append(at)
+        exact = defaultdict(list)
+        telling_rows = {o for o, n in zip(owners, n_windows.tolist(), strict=True) if n}
+        for i, toks in enumerate(written[: len(rows)]):
+            if i not in telling_rows and says_enough(toks):
+                own = tuple(map(plain, toks))
+                exact[own[:LEADING]].append((own, i))
         none = [np.zeros(0, np.int64)]
         all_hashes = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(all_hashes, kind="stable")
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[(all_hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        return cls(words, is_unit, [rows[o][0] for o in owners], templates, written, n_windows, all_hashes[order], np.concatenate(items or none)[order], np.concatenate(places or none)[order], bitmap, width, dict(whole), np.array(owners, np.int64))
+        return cls(words, is_unit, [rows[o][0] for o in owners], templates, written, n_windows, all_hashes[order], np.concatenate(items or none)[order], np.concatenate(places or none)[order], bitmap, width, dict(whole), np.array(owners, np.int64), dict(exact))
 
     def matches(self, text: str | None, canonical: Canonical, coverage: float = COVERAGE) -> list[tuple]:
         """(item_id, windows matched, windows of the item, whether a value differs) for each item that the text holds."""
         written = tokens(text)
         ids = np.fromiter(map(canonical.__getitem__, written), np.int64, len(written))
         found = self._matches(written, template(ids, self.is_unit), coverage)
+        if self.exact:
+            found += self._exact(written)
         named = np.flatnonzero(ids == NAMED)
         if len(named):
             for at in named.tolist():
@@ -190,6 +208,17 @@ class Block:
                 best[row] = (self.item_ids[i], matched, windows, changed)
         return list(best.values())
 
+    def _exact(self, written: list[str]) -> list[tuple]:
+        """Items without a telling window whose tokens follow each other in the text just as they are."""
+        own = tuple(map(plain, written))
+        found = set()
+        for length in {len(k) for k in self.exact}:
+            for at in range(len(own) - length + 1):
+                for sequence, i in self.exact.get(own[at : at + length], ()):
+                    if own[at : at + len(sequence)] == sequence:
+                        found.add(i)
+        return [(i, 1, 1, False) for i in sorted(found)]
+
     def _matches(self, written: list[str], ids: np.ndarray, coverage: float) -> list[tuple]:
         """``matches`` of one form of a text, with the number of each item's form in place of its id."""
         if len(ids) < self.width:
@@ -270,8 +299,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
     """(doc_id, item_id, matched_windows, item_windows, reparameterised): a row for each item that a row of ``docs`` holds.
 
     Null ids, ties and repeated rows of either table are kept as they are;
-    other columns are left out. An item without a telling window matches
-    nothing; one shorter than a window matches texts that are just its template.
+    other columns are left out. An item without a telling window, or shorter
+    than one, is held by texts that have its tokens in a row as they are; one
+    or two words of a script with spaces say too little for that. One shorter
+    than a window also matches texts that are just its template.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")

@@ -70,3 +70,9 @@ def test_copies_in_other_cases_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(spark, docs, bench).collect()}
     assert got == {(d, b.item_id) for d, t in enumerate(texts) for b in bench.collect() if plain(b.text, t)} and len(got) >= len(texts) > 20
+
+
+@pytest.mark.parametrize("item", ["What is gravity?", "12 + 34 = 46, 56 + 78 = 134, 9 + 9 = 18", "什么是万有引力定律", "これは何ですか。答えてください。", "5 km 6 km 7 km 8 km"])
+def test_items_without_a_telling_window_are_found_inside_texts(item):
+    assert holds(item, f"Some text goes before. {item} Then more text follows it.") == [(1, 1, 1, False)]
+    assert holds(item, "Some text goes before. Then more 12 + 34 text follows it.") == []
