@@ -25,6 +25,10 @@ MAX_WINDOW = 512
 NEIGHBOURS = 3
 
 
+#: Bounds that share an axis's part of the family alpha: links within the consensus, and links to outsiders.
+BOUND_GROUPS = 2
+
+
 @dataclass(frozen=True)
 class PidConfig:
     window: int = 128
@@ -136,7 +140,7 @@ def consensus(mi: dict[tuple[int, int], float], c: int, threshold: float) -> lis
     return best[0] if len(best) == 1 and 2 * len(best[0]) > c else None
 
 
-def analyse(columns: dict[str, np.ndarray], cfg: PidConfig, axis: int = 0) -> PidReport:
+def analyse(columns: dict[str, np.ndarray], cfg: PidConfig, axis: int = 0, axes: int = 1) -> PidReport:
     """MI consensus of a window. A pair that fails leaves no evidence; an accusation must survive delete-block resampling."""
     mods = canonical(tuple(columns))
     c = len(mods)
@@ -180,8 +184,8 @@ def analyse(columns: dict[str, np.ndarray], cfg: PidConfig, axis: int = 0) -> Pi
             held = min(again[p] - thr for p in combinations(members, 2))
             low = min(thr - again[min(i, j), max(i, j)] for i in outside for j in members)
             worst.append(min(held, low))
-        # One-sided: the share of replicates that contradict the attribution is at most alpha.
-        if sum(x <= 0 for x in worst) > cfg.family_alpha * len(worst):
+        # One-sided: the share of replicates that contradict the attribution is at most alpha, shared by the axes and two groups of bounds.
+        if sum(x <= 0 for x in worst) > cfg.family_alpha / (axes * BOUND_GROUPS) * len(worst):
             return none("resampling contradicts the attribution", ref, threshold)
     return PidReport("decoupled", tuple(mods[i] for i in outside), ref, threshold, "decoupled")
 
@@ -203,7 +207,7 @@ def pid_reports(frames: DataFrame, modalities: tuple[str, ...], cfg: PidConfig |
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        r = analyse({m: pdf[m].to_numpy(float) for m in mods}, cfg, int(key[1]))
+        r = analyse({m: pdf[m].to_numpy(float) for m in mods}, cfg, int(key[1]), axes)
         return pd.DataFrame({"track_id": [key[0]], "axis": [key[1]], "n": [len(pdf)], "pid_verdict": [r.verdict], "pid_channels": [",".join(r.decoupled)], "reference": [r.reference], "threshold": [r.threshold], "note": [r.note]})
 
     return long.groupBy("track_id", "axis").applyInPandas(run, "track_id bigint, axis int, n bigint, pid_verdict string, pid_channels string, reference double, threshold double, note string")

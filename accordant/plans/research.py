@@ -16,7 +16,7 @@ def pid_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MI consensus of each track's newest suffix, by axis."""
     rows = magnitude.generations(views.scenario(spark, sf_dir), DETECTOR)
     wide = magnitude.frames(magnitude.channel_reports(magnitude.channel_windows(rows, DETECTOR), DETECTOR, len(MODS)), MODS, fusion.PROVENANCE)
-    return information.pid_reports(correlation.aligned(wide, DETECTOR, MODS), MODS, information.PidConfig(resamples=20))
+    return information.pid_reports(correlation.aligned(wide, DETECTOR, MODS), MODS, information.PidConfig())
 
 
 def coupling_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def coupling_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parity_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.score_aucs(coupling.parity_scores(spark, trials=10), ("rho", "pairwise", "joint"))
+    return coupling.score_aucs(coupling.parity_scores(spark, trials=20), ("rho", "pairwise", "joint"))
 
 
 def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

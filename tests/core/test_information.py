@@ -72,3 +72,26 @@ def test_reports_of_a_scenario(spark):
     assert len(out) == 6 and all(r.n == 128 for r in out)
     assert {r.pid_channels for r in out if r.pid_verdict == "decoupled"} <= {"acoustic"} and any(r.pid_verdict == "decoupled" for r in out)
     assert F is not None
+
+
+@pytest.mark.parametrize(("axes", "verdict"), [(3, "insufficient"), (1, "decoupled")])
+def test_alpha_is_shared_by_axes_and_bounds(monkeypatch, axes, verdict):
+    """2 of 100 replicates contradict: 0.10 / 2 bears that, 0.10 / (3 axes x 2) doesn't."""
+    plans = [[1.0, 0.0, 0.0]] * 99 + [[1.0, 1.0, 0.0]] * 2
+    values = iter([v for plan in plans for v in plan])
+    monkeypatch.setattr(info, "ksg", lambda x, y: next(values))
+    monkeypatch.setattr(info, "geometry_sound", lambda x, y, cfg: True)
+    rng = np.random.default_rng(3)
+    columns = {m: rng.standard_normal(128) for m in views.CHANNELS[:3]}
+    assert info.analyse(columns, info.PidConfig(), 0, axes).verdict == verdict
+
+
+def test_queries_have_the_operators_settings(monkeypatch):
+    from accordant.plans import research
+
+    seen = []
+    for name in ("magnitude.generations", "magnitude.channel_windows", "magnitude.channel_reports", "magnitude.frames", "correlation.aligned", "views.scenario"):
+        monkeypatch.setattr(f"accordant.plans.research.{name}", lambda *a: None)
+    monkeypatch.setattr(research.information, "pid_reports", lambda frames, mods, cfg: seen.append(cfg))
+    research.pid_reports(None, "")
+    assert seen == [info.PidConfig()]
