@@ -9,13 +9,15 @@ Grammar of a formatted conversation::
 A parser ends a turn at the first ``</s>``, a header at the first
 ``[/INST]``; a body of level 1 is unescaped, one of level 0 is taken as it is.
 Each turn is rendered at level 0, reparsed and compared with its source; where
-these differ it is rendered anew at level 1, in which ``\`` is doubled and each
+these differ, or the text has a control string, it is rendered anew at level 1, in which ``\`` is doubled and each
 control string gets a ``\`` after its first character. Roles are always
 escaped. A turn that still differs raises an error.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,9 @@ def format_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     same = lambda piece: (piece["role"] == F.col("role")) & (piece["text"] == F.col("text"))
     first_turn = lambda rendered: parse_turn(F.element_at(F.split(rendered, r"</s>", 2), 1))
     ends_once = lambda rendered: F.instr(rendered, CLOSE) == F.length(rendered) - len(CLOSE) + 1
+    bare = reduce(lambda x, y: x | y, (F.instr("text", control) > 0 for control in CONTROLS))
     plain, escaped = render(F.col("role"), F.col("text"), 0), render(F.col("role"), F.col("text"), 1)
-    tried = rows.withColumn("_plain", plain).withColumn("level", F.when(same(first_turn(F.col("_plain"))) & ends_once(F.col("_plain")) & (F.instr("text", "<s>[INST]") == 0), 0).otherwise(1))
+    tried = rows.withColumn("_plain", plain).withColumn("level", F.when(same(first_turn(F.col("_plain"))) & ends_once(F.col("_plain")) & ~bare, 0).otherwise(1))
     return tried.withColumn("piece", F.when(F.col("level") == 0, F.col("_plain")).otherwise(escaped)).drop("_plain")
 
 

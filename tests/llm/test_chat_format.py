@@ -54,3 +54,10 @@ def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, rows))
+
+
+def test_each_control_string_is_escaped(spark):
+    turns = spark.createDataFrame([(i, 0, "user", f"a {c} b") for i, c in enumerate(cf.CONTROLS)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in cf.format_conversations(turns).collect()}
+    for i, c in enumerate(cf.CONTROLS):
+        assert got[i].formatted == f"<s>[INST]user:1[/INST]a {c[0]}\\{c[1:]} b</s>" and got[i].turns[0].text == f"a {c} b"
