@@ -1,33 +1,27 @@
-"""SimHash near-duplicates by a similarity of shingle sets, for texts whose fingerprints differ in more bits than a radius of 3.
-
-Texts with a Jaccard similarity of 0.8 over five-word shingles have
-fingerprints some ten bits apart. No blocks of 64 bits find such pairs for
-certain, so fingerprints only propose links, and an exact join finds the rest.
-
-Proposals: links within 3 bits (``simhash.fingerprint_edges``), and those of
-fingerprints that meet in one of ``TABLES`` shards by samples of
-``SAMPLE_BITS`` of their bits, lie within ``RADIUS`` and have sketches that
-are alike. Each proposal is verified by the exact similarity of the whole
-shingle sets. Components of what is left keep large groups of copies from
-being compared in pairs below.
-
-The rest: every pair of similarity 0.8 or more of different components, by a
-prefix-filtered join of shingle sets (``missing_pairs``), verified likewise. So
-the classes are just the components of all pairs of similarity 0.8 or more.
-
-Shards are bounded as in ``simhash``. A shard keeps one BK-tree list a
-component: a fingerprint that is verified to be of a component is searched
-only in the trees of others, so a large group of copies takes a step a member
-and not one a pair. First only fingerprints are dealt; sketches follow for
-those that have a candidate.
+"""Near copies by the similarity of whole shingle sets: all pairs of Jaccard similarity 0.8 or more over five words.
+
+Texts that are that similar have fingerprints some ten bits apart, so links
+within 3 bits are too few for them. The classes are the components of all pairs
+whose whole shingle sets have the similarity, found in two steps:
+
+1. Links that are cheap to find: fingerprints within 3 bits, through the
+   BK-trees of ``simhash``, and texts that agree in a band of their sketches.
+   A band links each of its texts to the least one of them, so a group of any
+   size takes a link a member and not one a pair. Each link is verified by the
+   whole sets; what is left joins most texts of a large group.
+2. The pairs that are still missing: a prefix-filtered join of the sets, between
+   different components only, verified likewise. No pair is left to chance.
+
+Prefixes hold a set's rarest shingles. How common a shingle is, is counted over
+all documents in ``COUNTERS`` hashed counters, so what is broadcast has a fixed
+size; counts only order shingles, and any order finds all pairs.
 """
 
 from __future__ import annotations
 
-import random
+import re
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,141 +29,120 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accordant.llm.common import slices, written
-from accordant.llm.simhash import SEED, SHARD_ROWS, BKTree, components, fingerprint, fingerprint_edges, shingle_hashes, signed
+from accordant.llm.common import fresh, slices, written
+from accordant.llm.simhash import LOWER, SEED, SHARD_ROWS, components, fingerprint, fingerprint_edges, signed
 
 WORDS = 5
 SIMILARITY = 0.8
 #: The similarity as a fraction, so that whole sets are judged in integers.
 SHARE = Fraction(SIMILARITY).limit_denominator(1000)
-RADIUS = 14
-SAMPLE_BITS, TABLES = 16, 48
-#: Bins of a sketch; its estimate of a similarity of 0.8 has a standard error of 0.035.
-BINS = 128
-#: What an estimate may be under the similarity for a link to be proposed: one standard error.
-SLACK = 0.035
-#: Texts of the sample that tells common shingles, in how many a common one is, and the most that are kept.
-SAMPLE_TEXTS, COMMON, MOST_COMMON = 20_000, 3, 200_000
-MASK = (1 << 64) - 1
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """One permutation's minimum in each bin of the hash range, as 1 to 255; 0 for an empty bin."""
-    out = np.zeros(BINS, np.uint8)
-    if len(hashes):
-        h = np.sort(hashes)
-        b = (h >> np.uint64(57)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        out[b[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
-
-
-def estimate(a: bytes, b: bytes) -> float:
-    """Of the bins that either fills, the share that agrees; texts without shingles are alike."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    filled = int(((x | y) > 0).sum())
-    return float(((x == y) & (x > 0)).sum()) / filled if filled else 1.0
-
-
-def samples(tables: int = TABLES, bits: int = SAMPLE_BITS) -> list[int]:
-    """Masks of sampled bits, the same for every input."""
-    rng = random.Random(20)
-    return [sum(1 << b for b in rng.sample(range(64), bits)) for _ in range(tables)]
-
-
-def _near(members: list[int], radius: int) -> list[bool]:
-    """Whether each member has another one within the radius."""
-    n = len(members)
-    if n <= 8:
-        out = [False] * n
-        for i in range(n):
-            for j in range(i):
-                if (members[i] ^ members[j]).bit_count() <= radius:
-                    out[i] = out[j] = True
-        return out
-    x = np.array(members, np.uint64)
-    return ((np.bitwise_count(x[:, None] ^ x[None, :]) <= radius).sum(1) > 1).tolist()
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows whose first column is the shard and lie together, a shard at a time."""
-    shard, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != shard:
-                if rows:
-                    yield shard, rows
-                shard, rows = row[0], []
-            rows.append(row[1:])
-    if rows:
-        yield shard, rows
-
-
-def _with_candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    shards, fps = [], []
-    names = ["shard", "fp"]
-    for shard, rows in _grouped(batches):
-        if len(rows) > 1:
-            found = [f for (f,), near in zip(rows, _near([f & MASK for (f,) in rows], radius), strict=True) if near]
-            shards += [shard] * len(found)
-            fps += found
-        if len(fps) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(fps, pa.int64())], names)
-            shards, fps = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(fps, pa.int64())], names)
-
-
-def verified_forest(members: list[tuple[int, bytes]], radius: int = RADIUS, similarity: float = SIMILARITY - SLACK) -> list[tuple[int, int]]:
-    """Edges that span the verified links among (fingerprint, sketch) members."""
-    parts: list[list[tuple[BKTree, list[bytes]]]] = []  # of each component: its trees, with the sketches of their nodes
-    edges = []
-    for fp, own in members:
-        linked = []
-        for part in parts:
-            hit = next((tree.values[n] for tree, sketches in part for n in tree.within(fp, radius) if estimate(sketches[n], own) >= similarity), None)
-            if hit is not None:
-                linked.append(part)
-                edges.append((hit, fp))
-        if linked:
-            home = linked[0]
-            for other in linked[1:]:
-                home += other
-            merged = {id(p) for p in linked[1:]}
-            parts = [p for p in parts if id(p) not in merged]
-        else:
-            home = [(BKTree(), [])]
-            parts.append(home)
-        tree, sketches = home[0]
-        if tree.add(fp) == len(sketches):
-            sketches.append(own)
-    return edges
-
-
-def _verified_edges(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    for _, rows in _grouped(batches):
-        if len(rows) > 1:
-            out += verified_forest([(f & MASK, s) for f, s in rows], radius, similarity)
-    yield pa.RecordBatch.from_arrays([pa.array([signed(e[i]) for e in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
-def similar_edges(fps: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, tables: int = TABLES, bits: int = SAMPLE_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): verified links that span each shard's components. ``fps`` has distinct ``fp`` and a ``sketch`` of each."""
-    masks = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(signed(m)).cast("long").alias("m")) for i, m in enumerate(samples(tables, bits))))
-    keyed = fps.select("fp", F.explode(masks).alias("x")).select("fp", F.xxhash64("x.t", F.col("fp").bitwiseAND(F.col("x.m"))).alias("shard"))
-    # Shards over the bound: few, found by a count; their members meet in pairs of parts.
-    large = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows)
-    large = written(large, "similar-large")
-    small = keyed.join(large, "shard", "left_anti").repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "fp")
-    active = small.mapInArrow(lambda b: _with_candidates(b, radius), "shard bigint, fp bigint")
-    hot = keyed.join(large, "shard")
-    parts = F.ceil(F.col("n") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    pairs = hot.withColumn("_p", own).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    paired = pairs.select(F.xxhash64("shard", F.least("_p", "_o"), F.greatest("_p", "_o")).alias("shard"), "fp")
-    wanted = written(active.unionByName(paired), "similar-candidates")
-    placed = wanted.join(fps.select("fp", "sketch"), "fp").repartition(F.col("shard")).sortWithinPartitions("shard", "fp").select("shard", "fp", "sketch")
-    return placed.mapInArrow(lambda b: _verified_edges(b, radius, similarity - SLACK), "a bigint, b bigint").distinct()
+#: Bins of a sketch, and bins of each of its bands. Two texts of similarity 0.8 agree in a band with a chance of 0.95.
+BINS, BAND_BINS = 128, 8
+EMPTY = np.uint64(np.iinfo(np.uint64).max)
+#: Blanks between words, the base of word hashes, and bytes of a text that are hashed at once.
+BLANK, BASE, PIECE = re.compile(rb"[\x20\x09-\x0D]"), np.uint64(0x100000001B3), 1 << 20
+IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Hashed counters of how many texts have a shingle, and the rows that they are summed in.
+COUNTERS, COUNTER_ROWS = 1 << 16, 64
+#: Tasks that a component of any size is spread over.
+SALTS = 32
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit values."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word: its bytes as a polynomial in an odd base."""
+    out = []
+    at = 0
+    while at < len(text):
+        # Pieces end after a blank, so that a long text takes bounded memory unless a word is as long.
+        cut = BLANK.search(text, at + PIECE)
+        stop = cut.end() if cut else len(text)
+        b = np.frombuffer(text, np.uint8, stop - at, at)
+        at = stop
+        inside = np.flatnonzero(~IS_BLANK[b])
+        if not len(inside):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], np.diff(inside) > 1)))
+        place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
+        powers = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE, np.uint64))
+        out.append(np.add.reduceat((b[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first))
+    return mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """A hash of each run of ``words`` words, lower-cased (A-Z); of the whole text if it has fewer; none without words."""
+    found = word_hashes((text or "").encode().translate(LOWER))
+    runs = max(1, len(found) - words + 1) if len(found) else 0
+    out = np.full(runs, min(words, len(found)), np.uint64)
+    for i in range(min(words, len(found))):
+        out = mixed(out * BASE + found[i : i + runs])
+    return out
+
+
+def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return np.unique(shingles(text, words))
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Of distinct sorted shingles the least in each bin of the hash range; the largest value for an empty bin."""
+    out = np.full(BINS, EMPTY, np.uint64)
+    b = (found >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else b
+    out[b[first]] = found[first]
+    return out
+
+
+def bands(sketches: np.ndarray) -> list[np.ndarray]:
+    """Of each sketch (a row) a hash of each band that has a shingle, or one for all texts without shingles."""
+    cut = sketches.reshape(len(sketches), -1, BAND_BINS)
+    out = np.broadcast_to(np.arange(cut.shape[1], dtype=np.uint64), cut.shape[:2])
+    for i in range(BAND_BINS):
+        out = mixed(out * BASE + cut[:, :, i])
+    filled = (cut != EMPTY).any(axis=2)
+    return [h[f].view(np.int64) if f.any() else np.zeros(1, np.int64) for h, f in zip(out, filled, strict=True)]
+
+
+def set_id(found: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def counter_of(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
+    """Over all documents: how many have a shingle of each hashed counter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            for t in batch.column(0).to_pylist():
+                np.add.at(total, counter_of(distinct_shingles(t, words)), 1)
+        parts = total.reshape(COUNTER_ROWS, -1)
+        rows = [pa.array(range(COUNTER_ROWS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, ["place", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = totals.setdefault(place, np.zeros(COUNTERS // COUNTER_ROWS, np.int64))
+                own += np.frombuffer(counts, np.int64)
+        rows = [pa.array(totals, pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, ["place", "counts"])
+
+    schema = "place int, counts binary"
+    parts = docs.select(F.col(text).alias("_text")).mapInArrow(count, schema).repartition(F.col("place"))
+    total = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), np.int64)
+    for place, counts in parts.mapInArrow(add, schema).collect():  # COUNTER_ROWS rows
+        total[place] = np.frombuffer(counts, np.int64)
+    return total.reshape(-1)
 
 
 def least_overlap(n: int) -> int:
@@ -177,90 +150,76 @@ def least_overlap(n: int) -> int:
     return -(-SHARE.numerator * n // SHARE.denominator)
 
 
-def ordered_prefix(found: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def ordered_prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Of distinct sorted shingles the first ones, rare before common: similar sets share one of these."""
     if not len(found):
         return found
-    rank = np.zeros(len(found), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        rank = np.where(common[at] == found, ranks[at], 0)
-    return found[np.lexsort((found, rank))][: len(found) - least_overlap(len(found)) + 1]
-
-
-def common_shingles(docs: DataFrame, text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a sample of about ``SAMPLE_TEXTS`` texts, and how common. They only order prefixes; any order finds all pairs."""
+    ranked = np.argsort(counts[counter_of(found)], kind="stable")
+    return found[ranked[: len(found) - least_overlap(len(found)) + 1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [np.unique(shingle_hashes(x, words, SEED)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
-
-    every = max(1, docs.count() // SAMPLE_TEXTS)
-    sampled = docs.select(F.col(text).alias("_text")).filter(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0).distinct()
-    counts = sampled.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
-    found, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(found)
-    return found[order], n[order]
 
-
-def with_sketches(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """Key, ``fp``, ``sketch``, and of the set of shingles: its hash ``sid``, its size ``n`` and its ``prefix``."""
+def with_sets(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
+    """``_key``, ``_mark`` (hash of the text), ``fp``, ``bands``; of the set of shingles: hash ``sid``, size ``n``, ``prefix``."""
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes = [shingle_hashes(x, words, SEED) for x in batch.column(1).to_pylist()]
+            hashes = [shingles(x, words) for x in batch.column(2).to_pylist()]
             sets = [np.unique(h) for h in hashes]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([signed(fingerprint(h)) for h in hashes], pa.int64()),
-                    pa.array([sketch(h) for h in hashes], pa.binary()),
-                    pa.array([set_id(x) for x in sets], pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int32()),
-                    pa.array([ordered_prefix(x, *shared.value).tobytes() for x in sets], pa.binary()),
-                ],
-                ["_key", "fp", "sketch", "sid", "n", "prefix"],
-            )
+            columns = [
+                *batch.columns[:2],
+                pa.array([signed(fingerprint(h)) for h in hashes], pa.int64()),
+                pa.array(bands(np.array([sketch(x) for x in sets])), pa.list_(pa.int64())),
+                pa.array([set_id(x) for x in sets], pa.int64()),
+                pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([ordered_prefix(x, shared.value).tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_mark", "fp", "bands", "sid", "n", "prefix"])
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, fp bigint, sketch binary, sid bigint, n int, prefix binary").withColumnRenamed("_key", key)
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
+    schema = f"_key {kind}, _mark bigint, fp bigint, bands array<bigint>, sid bigint, n int, prefix binary"
+    return rows.mapInArrow(run, schema)
 
 
-def set_id(found: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+def band_edges(nodes: DataFrame) -> DataFrame:
+    """(a, b): each ``sid`` with the least one of each band that they share."""
+    rows = nodes.select("sid", F.explode("bands").alias("band"))
+    least = rows.groupBy("band").agg(F.min("sid").alias("b"), F.max("sid").alias("_most")).filter("b < _most")
+    return rows.join(least.select("band", "b"), "band").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+
+
+def jaccard_reaches(a: bytes, b: bytes) -> bool:
+    """Whether two sets of distinct shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if SHARE.numerator * max(len(x), len(y)) > SHARE.denominator * min(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both * SHARE.denominator >= SHARE.numerator * (len(x) + len(y) - both)
 
 
 def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """Those pairs (a, b) of ``sid`` whose whole shingle sets have the similarity. ``nodes`` has a key (``_least``) of each ``sid``."""
+    """Those pairs (a, b) of ``sid`` whose whole shingle sets have the similarity. ``nodes`` has a row (``_key``, ``_mark``) of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.unique(shingle_hashes(x, words, SEED)) for x in batch.column(1).to_pylist()]
-            same = [s == set_id(x) for s, x in zip(batch.column(0).to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), pa.array([x.tobytes() for x, ok in zip(found, same, strict=True) if ok], pa.binary())], ["sid", "shingles"])
+            found = [distinct_shingles(x, words).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["sid", "shingles"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            alike = [jaccard_reaches(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "_least")
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    # A key may have several texts: the one of that set counts. Texts without a key meet as null.
-    placed = rows.join(wanted, F.col("_key").eqNullSafe(F.col("_least"))).select("sid", "_text").mapInArrow(sets, "sid bigint, shingles binary")
-    placed = written(placed.groupBy("sid").agg(F.min("shingles").alias("shingles")), "similar-sets")
+            two = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard_reaches(x, y) for x, y in two], pa.bool_()))
+
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
+    # Repeated rows give the same set. Rows without a key meet as null.
+    meet = rows["_key"].eqNullSafe(wanted["_key"]) & (rows["_mark"] == wanted["_mark"])
+    placed = rows.join(wanted, meet).select("sid", "_text").mapInArrow(sets, "sid bigint, shingles binary")
+    placed = written(placed.dropDuplicates(["sid"]), "similar-sets")
     left, right = (placed.select(F.col("sid").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint"), "similar-verified")
-
-
-def jaccard_reaches(a: bytes, b: bytes) -> bool:
-    """Whether two sets of distinct shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(x) + len(y) - len(np.union1d(x, y))
-    return both * SHARE.denominator >= SHARE.numerator * (len(x) + len(y) - both)
+    judged = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(judge, "a bigint, b bigint")
+    return written(judged, "similar-verified")
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +227,8 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
         times = [len(x) for x in found]
         columns = [np.repeat(batch.column(i).to_numpy(), times) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), *map(pa.array, columns)], ["token", "sid", "n", "part"])
+        tokens = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+        yield pa.RecordBatch.from_arrays([tokens, *map(pa.array, columns)], ["token", "sid", "n", "part"])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +241,8 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def search(group: list[np.ndarray]) -> None:
         nonlocal rows
         _, side, n, sid, part = group
+        if (part == part[0]).all():
+            return
         ends = np.searchsorted(n, n * SHARE.denominator // SHARE.numerator, "right")
         for i in range(len(n) - 1):
             j = slice(i + 1, ends[i])
@@ -288,8 +250,14 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ok.any():
                 other, size = sid[j][ok], n[j][ok]
                 less = other < sid[i]
-                for k, column in enumerate((np.where(less, other, sid[i]), np.where(less, sid[i], other), np.where(less, size, n[i]), np.where(less, n[i], size))):
-                    out[k].append(column)
+                found = (
+                    np.where(less, other, sid[i]),
+                    np.where(less, sid[i], other),
+                    np.where(less, size, n[i]),
+                    np.where(less, n[i], size),
+                )
+                for column, kept in zip(out, found, strict=True):
+                    column.append(kept)
                 rows += len(other)
 
     def drain() -> Iterator[pa.RecordBatch]:
@@ -313,7 +281,8 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
-        left = groups(columns if left is None else [np.concatenate(x) for x in zip(left, columns, strict=True)], False)
+        whole = columns if left is None else [np.concatenate(x) for x in zip(left, columns, strict=True)]
+        left = groups(whole, False)
         if rows >= 100_000:
             yield from drain()
     if left is not None:
@@ -326,58 +295,88 @@ def missing_pairs(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     Sets of similarity t share a shingle of their prefixes, and so many of
     them that most others fall to their count: the whole prefix that ends
-    first, but for what its set lacks. Shingles of more than ``shard_rows``
-    prefixes are cut into parts, and each pair of parts is a shard.
+    first, but for what its set lacks. Shingles of one prefix, or of prefixes
+    of one component, meet none. Shingles of more than ``shard_rows`` prefixes
+    are cut into parts, and each pair of parts is a shard.
     """
-    keyed = nodes.select("sid", "n", "part", "prefix").mapInArrow(_prefix_rows, "token bigint, sid bigint, n int, part bigint")
-    large = written(keyed.groupBy("token").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > shard_rows), "similar-hot")
-    small = keyed.join(large, "token", "left_anti").select(F.col("token").alias("shard"), F.lit(-1).cast("tinyint").alias("side"), "n", "sid", "part")
+    kept = nodes.select("sid", "n", "part", "prefix")
+    keyed = kept.mapInArrow(_prefix_rows, "token bigint, sid bigint, n int, part bigint")
+    counts = keyed.groupBy("token").agg(F.count("*").alias("_rows"), F.min("part").alias("_least"), F.max("part").alias("_most"))
+    met = written(counts.filter("_least < _most").select("token", "_rows"), "similar-tokens")
+    shared = written(keyed.join(met, "token"), "similar-shared")
+    small = shared.filter(F.col("_rows") <= shard_rows)
+    small = small.select(F.col("token").alias("shard"), F.lit(-1).cast("tinyint").alias("side"), "n", "sid", "part")
     pieces = F.ceil(F.col("_rows") / shard_rows).cast("int")
-    pairs = keyed.join(large, "token").withColumn("_p", F.pmod(F.xxhash64("sid"), pieces).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    hot = shared.filter(F.col("_rows") > shard_rows).withColumn("_p", F.pmod(F.xxhash64("sid"), pieces).cast("int"))
+    pairs = hot.withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
     side = F.when(F.col("_p") == F.col("_o"), -1).when(F.col("_p") < F.col("_o"), 0).otherwise(1).cast("tinyint")
-    paired = pairs.select(F.xxhash64("token", F.least("_p", "_o"), F.greatest("_p", "_o")).alias("shard"), side.alias("side"), "n", "sid", "part")
+    shard = F.xxhash64("token", F.least("_p", "_o"), F.greatest("_p", "_o"))
+    paired = pairs.select(shard.alias("shard"), side.alias("side"), "n", "sid", "part")
     placed = small.unionByName(paired).repartition(F.col("shard")).sortWithinPartitions("shard", "n")
-    met = placed.mapInArrow(_meeting, "a bigint, b bigint, na bigint, nb bigint").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
+    found = placed.mapInArrow(_meeting, "a bigint, b bigint, na bigint, nb bigint")
+    found = found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
     num, den = F.lit(SHARE.numerator), F.lit(SHARE.denominator)
     overlap = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den))
-    return met.filter(F.col("_shared") >= overlap + 1 - F.ceil(num * F.greatest("na", "nb") / den)).select("a", "b")
+    return found.filter(F.col("_shared") >= overlap + 1 - F.ceil(num * F.greatest("na", "nb") / den)).select("a", "b")
+
+
+def set_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key``, ``_mark``, ``fp`` and the class (``root``) of each row of ``docs``."""
+    seen = written(with_sets(docs, key, text), "similar")
+    # Rows of one shingle set are alike, and links are between sets. But for key and mark they agree.
+    same = (F.first(c).alias(c) for c in ("fp", "n", "bands", "prefix"))
+    nodes = seen.groupBy("sid").agg(F.min(F.struct("_key", "_mark")).alias("_row"), *same)
+    nodes = written(nodes.select("sid", "_row.*", "fp", "n", "bands", "prefix"), "similar-nodes")
+    keys = nodes.select("sid", "_key", "_mark")
+    prints = nodes.groupBy("fp").agg(F.min("sid").alias("sid"))
+    near = fingerprint_edges(prints.select("fp"))
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("sid").alias("x")), "a")
+    near = near.join(prints.select(F.col("fp").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
+    twins = nodes.select("fp", F.col("sid").alias("x")).join(prints.withColumnRenamed("sid", "y"), "fp").select("x", "y")
+    near = near.unionByName(twins.filter("x <> y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    proposed = written(near.unionByName(band_edges(nodes)).distinct(), "similar-proposed")
+    links = verified_pairs(proposed, keys, docs, key, text)
+    parts = components(links).select(F.col("node").alias("sid"), F.col("component").alias("part"))
+    parted = nodes.select("sid", "n", "prefix").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    rest = verified_pairs(written(missing_pairs(parted), "similar-missing"), keys, docs, key, text)
+    # What was missing links whole components.
+    left, right = (parts.select(F.col("sid").alias(c), F.col("part").alias(f"_{c}")) for c in ("a", "b"))
+    between = rest.join(left, "a", "left").join(right, "b", "left")
+    roots = components(between.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    roots = roots.select(F.col("node").alias("part"), F.col("component").alias("root"))
+    rows = seen.select("_key", "_mark", "fp", "sid").join(parts, "sid", "left")
+    rows = rows.withColumn("part", F.coalesce("part", "sid")).join(roots, "part", "left")
+    return written(rows.select("_key", "_mark", "fp", F.coalesce("root", "part").alias("root")), "similar-rows")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: key, fp and ``component``, the smallest key that links lead to.
 
     Null, empty and blank texts have fingerprint 0 and are one class. Null
-    keys are of a class but name none. Repeated rows are kept.
+    keys are of a class but name none. Repeated rows are kept. Other columns
+    are left out, whatever their names; a key named fp or component is refused.
     """
-    seen = written(with_sketches(docs, key, text), "similar")
-    # Texts of one shingle set are alike; fingerprints propose links of sets, and only the whole sets decide.
-    distinct = written(seen.groupBy("sid").agg(F.min(key).alias("_least"), *(F.min(c).alias(c) for c in ("fp", "n", "sketch", "prefix"))), "similar-distinct")
-    prints = written(distinct.groupBy("fp").agg(F.min("sid").alias("sid"), F.min("sketch").alias("sketch")), "similar-prints")
-    near = reduce(DataFrame.unionByName, (fingerprint_edges(prints.select("fp")), similar_edges(prints.select("fp", "sketch"))))
-    near = near.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
-    left, right = (prints.select(F.col("fp").alias(f), F.col("sid").alias(c)) for f, c in (("x", "a"), ("y", "b")))
-    proposed = near.join(left, "x").join(right, "y").select("a", "b")
-    twins = distinct.select(F.col("sid").alias("a"), "fp").join(prints.select("fp", F.col("sid").alias("b")), "fp").filter("a <> b").select("a", "b")
-    proposed = written(proposed.unionByName(twins), "similar-proposed")
-    links = verified_pairs(proposed, distinct, docs, key, text)
-    parts = components(links).select(F.col("node").alias("sid"), F.col("component").alias("part"))
-    nodes = distinct.select("sid", "n", "prefix").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    rest = verified_pairs(written(missing_pairs(nodes), "similar-missing"), distinct, docs, key, text)
-    joined = components(links.unionByName(rest))
-    heads = distinct.select("sid", "_least").join(joined.select(F.col("node").alias("sid"), F.col("component").alias("_root")), "sid", "left").withColumn("_root", F.coalesce("_root", "sid"))
-    least = heads.groupBy("_root").agg(F.min("_least").alias("component"))
-    return seen.select(key, "fp", "sid").join(heads.join(least, "_root").select("sid", "component"), "sid").select(key, "fp", "component")
+    if key.lower() in ("fp", "component"):
+        raise ValueError(f"a key can't be named {key}")
+    rows = set_classes(docs, key, text)
+    least = rows.groupBy("root").agg(F.min("_key").alias("component"))
+    # A class may hold a third of all rows: its rows go to SALTS tasks.
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_key", "_mark"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["root", "_salt"]).select(F.col("_key").alias(key), "fp", "component")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
     """Pipeline stage: of each class of near copies the document with the smallest id stays.
 
-    Of repeated rows with that id one stays. Documents without an id can't be
-    told apart and stay.
+    Texts of one id are told apart by a hash: of several in a class one stays,
+    and of repeated rows one. Documents without an id can't be told apart from
+    each other's copies by id and stay.
     """
-    found = similar_classes(docs.filter(F.col("doc_id").isNotNull()))
-    keep = found.filter(F.col("doc_id") == F.col("component")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    kept = docs.join(keep.select("doc_id", F.lit(True).alias("_kept")), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
-    once = kept.withColumn("_nr", F.row_number().over(order)).filter("_nr = 1").select(*docs.columns)
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = set_classes(docs.filter(F.col("doc_id").isNotNull()), "doc_id", "text")
+    keep = rows.groupBy("root").agg(F.min(F.struct("_key", "_mark")).alias("_row"))
+    mark, number = fresh(docs, "_mark"), fresh(docs, "_number")
+    keep = keep.select(F.col("_row._key").alias("doc_id"), F.col("_row._mark").alias(mark))
+    kept = docs.withColumn(mark, F.xxhash64("text")).join(keep, ["doc_id", mark], "left_semi")
+    once = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("doc_id")))
+    return once.filter(F.col(number) == 1).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

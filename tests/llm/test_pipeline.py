@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accordant.llm import byte_bpe, decontaminate, language_id, quality, similar_texts, simhash
+from accordant.llm import byte_bpe, decontaminate, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,12 +23,10 @@ def test_run_equals_a_plain_version(spark):
     trees = quality.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     left = {k: t for k, t in left.items() if trees.score(quality.matrix([t]))[0] >= 0.5}
     # near copies: the smallest id of each class stays, by all pairs
-    hashes = {k: simhash.shingle_hashes(t, 5) for k, t in left.items()}
-    prints = {k: simhash.fingerprint(h) for k, h in hashes.items()}
-    sketches = {k: similar_texts.sketch(h) for k, h in hashes.items()}
+    sets = {k: frozenset(simhash.shingle_hashes(t, 5).tolist()) for k, t in left.items()}
     heads = {}
     for k in sorted(left):
-        linked = {heads[o] for o in heads if (d := (prints[o] ^ prints[k]).bit_count()) <= 3 or (d <= similar_texts.RADIUS and similar_texts.estimate(sketches[o], sketches[k]) >= similar_texts.SIMILARITY - similar_texts.SLACK)}
+        linked = {heads[o] for o in heads if len(sets[o] & sets[k]) >= 0.8 * len(sets[o] | sets[k])}
         head = min({k, *linked})
         heads = {o: head if h in linked else h for o, h in heads.items()} | {k: head}
     left = {k: left[k] for k in set(heads.values())}
