@@ -1,9 +1,6 @@
 """Frame alignment and signed-correlation consensus over the newest contiguous suffix.
 
-Pairwise correlations over the last ``window`` aligned frames come from
-differences of running moments, so that a frame costs the same whatever the
-window; they are taken about each track's first value, which keeps the moments
-small. A column that is constant in the window is an analysis error, never a
+Pairwise correlations are over the last ``window`` aligned frames. A column that is constant in the window is an analysis error, never a
 weak edge.
 """
 
@@ -75,37 +72,26 @@ def _any(xs: list[Column]) -> Column:
 
 
 def pair_correlations(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:
-    """Add ``w`` (aligned samples in the window) and r_<axis>_<i>_<j> for channels i < j; null where degenerate or not aligned."""
+    """Add ``w`` (aligned samples in the window) and r_<axis>_<i>_<j> for channels i < j; null where degenerate or not aligned.
+
+    Each window is summed from its own rows, about their means: nothing of
+    older rows is left in it.
+    """
     mods = canonical(modalities)
-    by = Window.partitionBy("track_id", "generation", "suffix").orderBy("seq")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("track_id", "generation", "suffix").orderBy("seq").rowsBetween(-(cfg.window - 1), 0)
     in_suffix = F.col("place").isNotNull()
     value = lambda m, a: F.when(in_suffix, F.col(f"{m}_p{a}"))
-    base = {f"_x_{m}_{a}": value(m, a) - F.first(value(m, a), ignorenulls=True).over(upto) for m in mods for a in range(axes)}
-    moments: dict[str, Column] = {}
-    for a in range(axes):
-        for m in mods:
-            x = F.col(f"_x_{m}_{a}")
-            moments[f"_s_{m}_{a}"] = F.sum(x).over(upto)
-            moments[f"_q_{m}_{a}"] = F.sum(x * x).over(upto)
-            # Since which place the value hasn't changed: a window inside that is constant.
-            moments[f"_c_{m}_{a}"] = F.max(F.when(F.coalesce(x != F.lag(x).over(by), F.lit(True)), F.col("place"))).over(upto)
-        for m, k in combinations(mods, 2):
-            moments[f"_m_{m}_{k}_{a}"] = F.sum(F.col(f"_x_{m}_{a}") * F.col(f"_x_{k}_{a}")).over(upto)
-    summed = frames.withColumns(base).withColumns(moments)
-    old = lambda c: F.coalesce(F.lag(c, cfg.window).over(by), F.lit(0.0))
-    windowed = summed.withColumns({c: F.col(c) - old(c) for c in moments if not c.startswith("_c_")}).withColumn("w", F.when(in_suffix, F.least(F.col("place"), F.lit(cfg.window))))
-    n = F.col("w").cast("double")
-    varied = lambda m, a: F.col(f"_c_{m}_{a}") > F.col("place") - F.col("w") + 1
-    out = {}
-    for a in range(axes):
-        spread = {m: F.col(f"_q_{m}_{a}") - F.col(f"_s_{m}_{a}") * F.col(f"_s_{m}_{a}") / n for m in mods}
-        for i, j in combinations(range(len(mods)), 2):
-            m, k = mods[i], mods[j]
-            both = F.col(f"_m_{m}_{k}_{a}") - F.col(f"_s_{m}_{a}") * F.col(f"_s_{k}_{a}") / n
-            sound = varied(m, a) & varied(k, a) & (spread[m] > EPSILON * n) & (spread[k] > EPSILON * n)
-            out[f"r_{a}_{i}_{j}"] = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(both, F.sqrt(spread[m]) * F.sqrt(spread[k])))))
-    return windowed.withColumns(out).drop(*base, *moments)
+    spread = {f"_v_{a}_{i}": F.var_pop(value(m, a)).over(own) for a in range(axes) for i, m in enumerate(mods)}
+    pairs = [(a, i, j) for a in range(axes) for i, j in combinations(range(len(mods)), 2)]
+    both = {f"_r_{a}_{i}_{j}": F.covar_pop(value(mods[i], a), value(mods[j], a)).over(own) for a, i, j in pairs}
+    windowed = frames.withColumns(spread | both)
+    out = {"w": F.when(in_suffix, F.least(F.col("place"), F.lit(cfg.window)))}
+    for a, i, j in pairs:
+        varied = [F.col(f"_v_{a}_{k}") > EPSILON for k in (i, j)]
+        r = F.try_divide(F.col(f"_r_{a}_{i}_{j}"), F.sqrt(f"_v_{a}_{i}") * F.sqrt(f"_v_{a}_{j}"))
+        sound = in_suffix & varied[0] & varied[1] & ~F.isnan(r)
+        out[f"r_{a}_{i}_{j}"] = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return windowed.withColumns(out).drop(*spread, *both)
 
 
 def consensus(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:

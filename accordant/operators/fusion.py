@@ -74,12 +74,12 @@ def combine(rows: DataFrame) -> DataFrame:
 def assessed_frames(rows: DataFrame, modalities: tuple[str, ...], detector: DetectorConfig | None = None, corr: CorrelationConfig | None = None, axes: int = 3) -> DataFrame:
     """The whole rolling assessment: one row a (track_id, seq) with every intermediate state.
 
-    One exchange on track_id; all windows and groups have keys that begin with it.
+    All exchanges are by track_id; all windows and groups have keys that begin with it. Rejected rows are no evidence.
     """
     mods = canonical(modalities)
     detector, corr = detector or DetectorConfig(), (corr or CorrelationConfig()).for_axes(axes)
-    keyed = rows.repartition("track_id")
-    reports = magnitude.channel_reports(magnitude.channel_windows(magnitude.generations(keyed, detector), detector), detector, len(mods))
+    sound = magnitude.generations(rows, detector, mods)
+    reports = magnitude.channel_reports(magnitude.channel_windows(sound, detector), detector, len(mods))
     wide = magnitude.frames(reports, mods, PROVENANCE[: 3 + 3])
     judged = magnitude.magnitude_verdict(wide, detector, mods).withColumn("magnitude_mask", mask_of(F.col("magnitude_channels"), mods))
     analysed = correlation.consensus(correlation.pair_correlations(correlation.aligned(judged, detector, mods), corr, mods, axes), corr, mods, axes)

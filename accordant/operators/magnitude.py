@@ -1,9 +1,7 @@
 """Magnitude detector: per-channel chi-square windows, two-sided CUSUM, and the verdict of a frame.
 
-Everything is keyed by a prefix of (track_id, ...), so one exchange on
-``track_id`` serves every window and group. Window sums are differences of
-running sums and the CUSUM is a closed form (running sum less its running
-extreme), so a row costs the same whatever the window.
+Everything is keyed by a prefix of (track_id, ...): one exchange on ``track_id``
+for the pass over sorted rows (``ordering``), one for all windows and groups.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from accordant.config import DetectorConfig
 from accordant.functions.special import chi2_isf
+from accordant.operators import ordering
 from accordant.schema import canonical
 
 KEY = ("track_id", "generation", "modality")
@@ -27,52 +26,35 @@ def critical_values(cfg: DetectorConfig, channels: int, dof: int) -> list[float]
 
 
 def order_checks(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Add prev_seq, prev_timestamp_ms, ``reject`` (null if sound) and ``discontinuous`` (a gap that asks for a reset)."""
-    w = Window.partitionBy("track_id", "modality").orderBy("seq", "timestamp_ms")
-    seen = rows.withColumns({"prev_seq": F.lag("seq").over(w), "prev_timestamp_ms": F.lag("timestamp_ms").over(w), "_prev_dof": F.lag("dof").over(w)})
-    reject = F.when(F.col("seq") <= F.col("prev_seq"), "sequence_not_increasing").when(F.col("dof") != F.col("_prev_dof"), "dof_changed").when(F.col("timestamp_ms") <= F.col("prev_timestamp_ms"), "timestamp_not_increasing")
-    gap = (F.col("seq") - F.col("prev_seq") > cfg.max_seq_gap) | (F.col("timestamp_ms") - F.col("prev_timestamp_ms") > cfg.max_inter_sample_gap_ms)
-    return seen.withColumn("reject", reject).withColumn("discontinuous", F.col("reject").isNull() & F.coalesce(gap, F.lit(False))).drop("_prev_dof")
+    """Add prev_seq, prev_timestamp_ms, ``reject`` (null if sound) and ``discontinuous`` (a gap that asks for a reset); no resets."""
+    return ordering.checked(rows, cfg, resets=False).drop("generation", "is_reset", "cusum_hi", "cusum_lo")
 
 
-def generations(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Number the generations of each track: a discontinuity of a channel within a generation begins the next at its frame.
+def generations(rows: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...] | None = None) -> DataFrame:
+    """The sound rows, with ``generation``, ``is_reset``, ``cusum_hi`` and ``cusum_lo``; a discontinuity begins a generation.
 
-    A channel's gap counts only if its row before it lies in the current
-    generation, which depends on the resets before: a fold over the track's
-    gaps, the only part that isn't a window. Gaps are few and are gathered per
-    track; rows are not.
+    Rejected rows are no evidence and aren't among them: ``rejected`` tells these.
     """
-    checked = order_checks(rows, cfg)
-    gaps = F.array_sort(F.collect_list(F.when(F.col("discontinuous"), F.struct("seq", "prev_seq"))))
-    none = F.array().cast("array<bigint>")
-    folded = F.aggregate(
-        F.col("_gaps"),
-        F.struct(F.lit(-1).cast("long").alias("start"), none.alias("all")),
-        lambda acc, x: F.when(x["prev_seq"] >= acc["start"], F.struct(x["seq"].alias("start"), F.array_append(acc["all"], x["seq"]).alias("all"))).otherwise(acc),
-        lambda acc: acc["all"],
-    )
-    resets = checked.groupBy("track_id").agg(gaps.alias("_gaps")).select("track_id", folded.alias("_resets"))
-    joined = checked.join(resets, "track_id")
-    return joined.withColumn("generation", F.size(F.filter("_resets", lambda x: x <= F.col("seq"))).cast("long")).withColumn("is_reset", F.array_contains("_resets", F.col("seq"))).drop("_resets")
+    return ordering.checked(rows, cfg, modalities).filter(F.col("reject").isNull())
+
+
+def rejected(rows: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows that ``generations`` leaves out, with why."""
+    return ordering.checked(rows, cfg, modalities).filter(F.col("reject").isNotNull()).drop("cusum_hi", "cusum_lo")
 
 
 def channel_windows(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Rows with track_id, generation, modality, seq, nis, dof: add n, sum_nis, mean_nis, cusum_hi and cusum_lo."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    scale = F.sqrt(2.0 * F.col("dof"))
-    shift = F.col("nis") / scale - F.col("dof") / scale
-    sums = rows.withColumns({"_total": F.sum("nis").over(upto), "_row": F.row_number().over(w), "_up": F.sum(shift - cfg.cusum_slack).over(upto), "_down": F.sum(-shift - cfg.cusum_slack).over(upto)})
-    windows = sums.withColumns(
-        {
-            "n": F.least(F.col("_row"), F.lit(cfg.window_len)).cast("long"),
-            "sum_nis": F.col("_total") - F.coalesce(F.lag("_total", cfg.window_len).over(w), F.lit(0.0)),
-            "cusum_hi": F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(upto)),
-            "cusum_lo": F.col("_down") - F.least(F.lit(0.0), F.min("_down").over(upto)),
-        }
-    )
-    return windows.withColumn("mean_nis", F.col("sum_nis") / F.col("n")).drop("_total", "_row", "_up", "_down")
+    """Rows with track_id, generation, modality, seq and nis: add n, sum_nis and mean_nis of the channel's newest ``window_len`` rows.
+
+    Sums are taken over the window's own rows, so what has left a window leaves
+    no trace; a sum that no double holds is the largest double.
+    """
+    own = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(-(cfg.window_len - 1), 0)
+    largest = F.lit(ordering.LARGEST)
+    # Windows have at most 2 ** 16 rows: values over that can't overflow.
+    sums = rows.withColumns({"n": F.count(F.lit(1)).over(own), "_part": F.sum(F.col("nis") / 65536.0).over(own)})
+    whole = {"sum_nis": F.least(largest, F.col("_part") * 65536.0), "mean_nis": F.least(largest, F.col("_part") * (65536.0 / F.col("n")))}
+    return sums.withColumns(whole).drop("_part")
 
 
 def channel_reports(rows: DataFrame, cfg: DetectorConfig, channels: int, dofs: tuple[int, ...] = (3,)) -> DataFrame:

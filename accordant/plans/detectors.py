@@ -31,25 +31,40 @@ def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.scenario(spark, sf_dir).withColumn("generation", F.lit(0))
-    out = magnitude.channel_reports(magnitude.channel_windows(rows, DETECTOR), DETECTOR, len(MODS))
+    out = _reports(views.scenario(spark, sf_dir), DETECTOR, MODS)
     return out.select("track_id", "modality", "seq", "n", *_r("sum_nis", "mean_nis"), "elevated")
 
 
 def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.scenario(spark, sf_dir).withColumn("generation", F.lit(0))
-    out = magnitude.channel_reports(magnitude.channel_windows(rows, DETECTOR), DETECTOR, len(MODS))
+    out = _reports(views.scenario(spark, sf_dir), DETECTOR, MODS)
     return out.select("track_id", "modality", "seq", *_r("cusum_hi", "cusum_lo"), "high", "low")
 
 
+def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and CUSUM where huge values come and leave again; such sums are told as huge, without digits."""
+    out = _reports(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS).withColumn("huge", F.col("sum_nis") >= views.HUGE)
+    mild = [F.round(F.when(F.col(c) < 1e9, F.col(c)), 6).alias(c) for c in ("sum_nis", "cusum_hi", "cusum_lo")]
+    return out.select("track_id", "generation", "modality", "seq", "n", "huge", *mild, "elevated", "high", "low")
+
+
+def refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the capture that are no evidence, and why."""
+    out = magnitude.rejected(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
+    return out.select("track_id", "modality", "seq", "timestamp_ms", "dof", F.round("nis", 6).alias("nis"), "reject")
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = magnitude.generations(views.captured(spark, sf_dir), SHORT_DETECTOR)
     return rows.select("track_id", "modality", "seq", "generation", "is_reset")
 
 
+def _reports(rows: DataFrame, cfg: DetectorConfig, mods: tuple[str, ...]) -> DataFrame:
+    sound = magnitude.generations(rows, cfg, mods)
+    return magnitude.channel_reports(magnitude.channel_windows(sound, cfg), cfg, len(mods))
+
+
 def magnitude_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = magnitude.generations(views.captured(spark, sf_dir).repartition("track_id"), SHORT_DETECTOR)
-    reports = magnitude.channel_reports(magnitude.channel_windows(rows, SHORT_DETECTOR), SHORT_DETECTOR, len(MODS))
+    reports = _reports(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
     out = magnitude.magnitude_verdict(magnitude.frames(reports, MODS), SHORT_DETECTOR, MODS)
     return out.select("track_id", "generation", "seq", F.col("ready").cast("int").alias("ready"), "magnitude_verdict", "magnitude_channels")
 
@@ -57,15 +72,13 @@ def magnitude_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitude over many sparse tracks: verdicts counted by generation."""
     mods = canonical(tuple(views.EVENT_MODALITY.values()))
-    rows = magnitude.generations(views.user_events(spark, sf_dir).repartition("track_id"), EVENT_DETECTOR)
-    reports = magnitude.channel_reports(magnitude.channel_windows(rows, EVENT_DETECTOR), EVENT_DETECTOR, len(mods))
+    reports = _reports(views.user_events(spark, sf_dir), EVENT_DETECTOR, mods)
     out = magnitude.magnitude_verdict(magnitude.frames(reports, mods), EVENT_DETECTOR, mods)
     return out.groupBy("generation", "magnitude_verdict", "magnitude_channels").agg(F.count("*").alias("n_frames"))
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = magnitude.generations(views.captured(spark, sf_dir).repartition("track_id"), SHORT_DETECTOR)
-    reports = magnitude.channel_reports(magnitude.channel_windows(rows, SHORT_DETECTOR), SHORT_DETECTOR, len(MODS))
+    reports = _reports(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
     return magnitude.frames(reports, MODS, fusion.PROVENANCE)
 
 
@@ -105,23 +118,46 @@ def _list(values: list[float]) -> str:
     return "[" + ", ".join("1e308" if v == float("inf") else repr(v) for v in values) + "]"
 
 
-def generation_sql(cfg: DetectorConfig) -> str:
-    """CTEs from obs to ``gen``: each track's resets one after another."""
-    return f"""lagged AS (SELECT *, lag(seq) OVER c AS prev_seq, lag(timestamp_ms) OVER c AS prev_ts FROM obs WINDOW c AS (PARTITION BY track_id, modality ORDER BY seq, timestamp_ms)),
-cand AS (SELECT DISTINCT track_id, seq AS f, prev_seq AS p FROM lagged WHERE seq > prev_seq AND timestamp_ms > prev_ts AND (seq - prev_seq > {cfg.max_seq_gap} OR timestamp_ms - prev_ts > {cfg.max_inter_sample_gap_ms})),
-resets AS (SELECT track_id, min(seq) AS g, 0 AS k FROM obs GROUP BY track_id
-  UNION ALL SELECT r.track_id, min(c.f), r.k + 1 FROM resets r JOIN cand c ON c.track_id = r.track_id AND c.p >= r.g AND c.f > r.g GROUP BY r.track_id, r.g, r.k),
-gen AS (SELECT l.*, r.k AS generation, r.k > 0 AND r.g = l.seq AS is_reset FROM lagged l ASOF JOIN resets r ON l.track_id = r.track_id AND l.seq >= r.g)"""
+def generation_sql(cfg: DetectorConfig, modalities: tuple[str, ...] = MODS) -> str:
+    """CTEs from obs to ``gen``, the sound rows: each track's frames one after another, with the last admitted row of each channel as state."""
+    sent = ",\n  ".join(f"coalesce(list(cand) FILTER (modality = '{m}'), []) AS c_{m}" for m in modalities)
+
+    def cusum(m: str, sign: int, old: str) -> str:
+        step = f"p_{m}.nis / sqrt(2.0 * p_{m}.dof) - p_{m}.dof / sqrt(2.0 * p_{m}.dof)"
+        kept = f"CASE WHEN jump OR s_{m} IS NULL THEN 0 ELSE {old}_{m} END"
+        return f"greatest(0, {kept} {'+' if sign > 0 else '-'} ({step}) - {cfg.cusum_slack!r})"
+
+    def state(m: str) -> str:
+        old = lambda c: f"CASE WHEN NOT jump THEN {c}_{m} END"
+        return f"""CASE WHEN p_{m} IS NULL THEN {old("s")} ELSE nseq END AS s_{m}, CASE WHEN p_{m} IS NULL THEN {old("t")} ELSE p_{m}.ts END AS t_{m},
+  CASE WHEN p_{m} IS NULL THEN {old("d")} ELSE p_{m}.dof END AS d_{m}, p_{m}.rid AS r_{m},
+  CASE WHEN p_{m} IS NULL THEN {old("h")} ELSE {cusum(m, 1, "h")} END AS h_{m}, CASE WHEN p_{m} IS NULL THEN {old("l")} ELSE {cusum(m, -1, "l")} END AS l_{m}"""
+
+    nothing = ", ".join(f"NULL::BIGINT AS s_{m}, NULL::BIGINT AS t_{m}, NULL::INT AS d_{m}, NULL::BIGINT AS r_{m}, NULL::DOUBLE AS h_{m}, NULL::DOUBLE AS l_{m}" for m in modalities)
+    # The first row of a channel's frame that its state lets pass.
+    passed = lambda c, m: f"f.s_{m} IS NULL OR (x.seq > f.s_{m} AND {c}.dof = f.d_{m} AND {c}.ts > f.t_{m})"
+    picks = ",\n  ".join(f"list_filter(x.c_{m}, lambda c: {passed('c', m)})[1] AS p_{m}" for m in modalities)
+    gap = lambda m: f"(s_{m} IS NOT NULL AND p_{m} IS NOT NULL AND (nseq - s_{m} > {cfg.max_seq_gap} OR p_{m}.ts - t_{m} > {cfg.max_inter_sample_gap_ms}))"
+    jump = " OR ".join(f"coalesce({gap(m)}, false)" for m in modalities)
+    picked = "CASE r.modality " + " ".join(f"WHEN '{m}' THEN f.r_{m}" for m in modalities) + " END"
+    of = lambda c: "CASE r.modality " + " ".join(f"WHEN '{m}' THEN f.{c}_{m}" for m in modalities) + " END"
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq, modality ORDER BY timestamp_ms, dof, nis) AS rid FROM obs),
+cands AS (SELECT track_id, seq, modality, {{'ts': timestamp_ms, 'dof': dof, 'nis': nis, 'rid': rid}} AS cand FROM ranked ORDER BY rid),
+sent AS MATERIALIZED (SELECT track_id, seq, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k, {", ".join(f"c_{m}" for m in modalities)}
+  FROM (SELECT track_id, seq, {sent.replace("list(cand)", "list(cand ORDER BY cand.rid)")} FROM cands GROUP BY track_id, seq)),
+fold AS (SELECT DISTINCT track_id, 0::BIGINT AS k, NULL::BIGINT AS seq, 0::BIGINT AS g, false AS jump, {nothing} FROM sent
+  UNION ALL SELECT track_id, nk, nseq, g + jump::INT, jump, {", ".join(state(m) for m in modalities)}
+  FROM (SELECT *, {jump} AS jump FROM (SELECT f.* EXCLUDE (jump), x.seq AS nseq, x.k AS nk,
+  {picks} FROM fold f JOIN sent x ON x.track_id = f.track_id AND x.k = f.k + 1))),
+gen AS (SELECT r.*, f.g AS generation, f.jump AS is_reset, {of("h")} AS cusum_hi, {of("l")} AS cusum_lo FROM ranked r JOIN fold f ON r.track_id = f.track_id AND r.seq = f.seq WHERE r.rid = {picked})"""
 
 
 def reports_sql(cfg: DetectorConfig, channels: int) -> str:
-    """CTEs from gen to ``rep``. The CUSUM is the running extreme form over window frames."""
+    """CTEs from gen to ``rep``."""
     crit = _list(magnitude.critical_values(cfg, channels, 3))
-    return f"""win AS (SELECT *, count(*) OVER w AS n, sum(nis) OVER w AS sum_nis,
-  sum(nis / sqrt(2.0 * dof) - dof / sqrt(2.0 * dof) - {cfg.cusum_slack!r}) OVER u AS up, sum(dof / sqrt(2.0 * dof) - nis / sqrt(2.0 * dof) - {cfg.cusum_slack!r}) OVER u AS down FROM gen
-  WINDOW w AS (PARTITION BY track_id, generation, modality ORDER BY seq ROWS {cfg.window_len - 1} PRECEDING), u AS (PARTITION BY track_id, generation, modality ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-low AS (SELECT *, sum_nis / n AS mean_nis, up - least(0, min(up) OVER u) AS cusum_hi, down - least(0, min(down) OVER u) AS cusum_lo FROM win WINDOW u AS (PARTITION BY track_id, generation, modality ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-flags AS (SELECT *, sum_nis > ({crit})[n + 1] AS elevated, cusum_hi >= {cfg.cusum_threshold!r} AS high, cusum_lo >= {cfg.cusum_threshold!r} AS low_alarm, n >= {cfg.min_samples} AS ready FROM low),
+    return f"""low AS (SELECT *, count(*) OVER w AS n, sum(nis) OVER w AS sum_nis, avg(nis) OVER w AS mean_nis FROM gen
+  WINDOW w AS (PARTITION BY track_id, generation, modality ORDER BY seq ROWS {cfg.window_len - 1} PRECEDING)),
+flags AS (SELECT *, sum_nis > ({crit})[n + 1] AND dof = 3 AS elevated, cusum_hi >= {cfg.cusum_threshold!r} AS high, cusum_lo >= {cfg.cusum_threshold!r} AS low_alarm, n >= {cfg.min_samples} AS ready FROM low),
 rep AS (SELECT *, elevated OR high AS high_anomalous, elevated OR high OR low_alarm AS anomalous FROM flags)"""
 
 
@@ -188,27 +224,40 @@ def _captured_until(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join((views.captured_sql(), generation_sql(SHORT_DETECTOR), *ctes))
 
 
-_SCENARIO_REPORTS = "WITH " + ",\n".join((views.scenario_sql(), "gen AS (SELECT *, 0 AS generation FROM obs)", reports_sql(DETECTOR, 3)))
+_SCENARIO_REPORTS = "WITH RECURSIVE " + ",\n".join((views.scenario_sql(), generation_sql(DETECTOR), reports_sql(DETECTOR, 3)))
+_EVENT_MODS = canonical(tuple(views.EVENT_MODALITY.values()))
 _FUSED_SQL = ", ".join(FUSED)
 
 QUERIES = {
-    "channel_order": channel_order, "nis_windows": nis_windows, "cusum": cusum, "generations": generations, "magnitude_verdicts": magnitude_verdicts, "user_verdicts": user_verdicts,
+    "channel_order": channel_order, "nis_windows": nis_windows, "cusum": cusum, "captured_windows": captured_windows, "refused_rows": refused_rows, "generations": generations, "magnitude_verdicts": magnitude_verdicts, "user_verdicts": user_verdicts,
     "aligned_frames": aligned_frames, "pair_correlations": pair_correlations, "correlation_verdicts": correlation_verdicts, "fused_verdicts": fused_verdicts, "captured_verdicts": captured_verdicts,
 }
 
 ORACLES = {
-    "channel_order": f"""WITH {views.user_events_sql()}, l AS (SELECT *, lag(day) OVER c AS p, lag(timestamp_ms) OVER c AS t FROM obs WINDOW c AS (PARTITION BY track_id, modality ORDER BY day, timestamp_ms)),
-j AS (SELECT *, CASE WHEN day <= p THEN 'sequence_not_increasing' WHEN timestamp_ms <= t THEN 'timestamp_not_increasing' ELSE 'sound' END AS reject FROM l)
-SELECT modality, reject, reject = 'sound' AND coalesce(day - p > 3 OR timestamp_ms - t > 4 * 86400000, false) AS discontinuous, count(*) AS n_rows, min(day) AS first_seq, max(day) AS last_seq FROM j GROUP BY ALL""",
+    "channel_order": f"""WITH RECURSIVE {views.user_events_sql()}, l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id, modality ORDER BY day, timestamp_ms, nis) AS k FROM obs),
+j AS (SELECT track_id, modality, k, day, 'sound' AS reject, false AS discontinuous, day AS p, timestamp_ms AS t FROM l WHERE k = 1
+  UNION ALL SELECT l.track_id, l.modality, l.k, l.day, CASE WHEN l.day <= p THEN 'sequence_not_increasing' WHEN timestamp_ms <= t THEN 'timestamp_not_increasing' ELSE 'sound' END,
+  l.day > p AND timestamp_ms > t AND (l.day - p > 3 OR timestamp_ms - t > 4 * 86400000),
+  CASE WHEN l.day > p AND timestamp_ms > t THEN l.day ELSE p END, CASE WHEN l.day > p AND timestamp_ms > t THEN timestamp_ms ELSE t END
+  FROM j JOIN l ON l.track_id = j.track_id AND l.modality = j.modality AND l.k = j.k + 1)
+SELECT modality, reject, discontinuous, count(*) AS n_rows, min(day) AS first_seq, max(day) AS last_seq FROM j GROUP BY ALL""",
     "nis_windows": f"{_SCENARIO_REPORTS} SELECT track_id, modality, seq, n, round(sum_nis, 6) AS sum_nis, round(mean_nis, 6) AS mean_nis, elevated FROM rep",
     # the recursion itself, row by row
     "cusum": f"""WITH RECURSIVE {views.scenario_sql()}, x AS MATERIALIZED (SELECT track_id, modality, seq, nis / sqrt(6.0) - 3 / sqrt(6.0) AS d FROM obs),
 run AS (SELECT track_id, modality, seq, greatest(0, d - {DETECTOR.cusum_slack!r}) AS hi, greatest(0, -d - {DETECTOR.cusum_slack!r}) AS lo FROM x WHERE seq = 0
   UNION ALL SELECT x.track_id, x.modality, x.seq, greatest(0, r.hi + x.d - {DETECTOR.cusum_slack!r}), greatest(0, r.lo - x.d - {DETECTOR.cusum_slack!r}) FROM run r JOIN x ON x.track_id = r.track_id AND x.modality = r.modality AND x.seq = r.seq + 1)
 SELECT track_id, modality, seq, round(hi, 6) AS cusum_hi, round(lo, 6) AS cusum_lo, hi >= {DETECTOR.cusum_threshold!r} AS high, lo >= {DETECTOR.cusum_threshold!r} AS low FROM run""",
+    "captured_windows": _captured_until(reports_sql(SHORT_DETECTOR, 3)) + f""" SELECT track_id, generation, modality, seq, n, sum_nis >= {views.HUGE!r} AS huge, round(CASE WHEN sum_nis < 1e9 THEN sum_nis END, 6) AS sum_nis,
+  round(CASE WHEN cusum_hi < 1e9 THEN cusum_hi END, 6) AS cusum_hi, round(CASE WHEN cusum_lo < 1e9 THEN cusum_lo END, 6) AS cusum_lo, elevated, high, low_alarm AS low FROM rep""",
+    # Refused are those that the fold didn't pick; why is told from the state before the frame.
+    "refused_rows": _captured_until() + """, held AS (SELECT r.*, f.s, f.t, f.d, g.rid AS took FROM ranked r
+  JOIN sent x USING (track_id, seq) JOIN (UNPIVOT_HERE) f ON f.track_id = r.track_id AND f.k = x.k - 1 AND f.modality = r.modality
+  LEFT JOIN gen g ON g.track_id = r.track_id AND g.seq = r.seq AND g.modality = r.modality)
+SELECT track_id, modality, seq, timestamp_ms, dof, round(nis, 6) AS nis, CASE WHEN took < rid OR seq <= s THEN 'sequence_not_increasing' WHEN dof <> d THEN 'dof_changed' ELSE 'timestamp_not_increasing' END AS reject
+FROM held WHERE took IS NULL OR took <> rid""".replace("UNPIVOT_HERE", " UNION ALL ".join(f"SELECT track_id, k, '{m}' AS modality, s_{m} AS s, t_{m} AS t, d_{m} AS d FROM fold" for m in MODS)),
     "generations": _captured_until() + " SELECT track_id, modality, seq, generation::BIGINT AS generation, is_reset FROM gen",
     "magnitude_verdicts": _captured_until(reports_sql(SHORT_DETECTOR, 3), verdict_sql(SHORT_DETECTOR, 3)) + " SELECT track_id, generation::BIGINT AS generation, seq, ready::INT AS ready, magnitude_verdict, magnitude_channels FROM mag",
-    "user_verdicts": "WITH RECURSIVE " + ",\n".join((views.user_events_sql(), generation_sql(EVENT_DETECTOR), reports_sql(EVENT_DETECTOR, 5), verdict_sql(EVENT_DETECTOR, 5))) + " SELECT generation::BIGINT AS generation, magnitude_verdict, magnitude_channels, count(*) AS n_frames FROM mag GROUP BY ALL",
+    "user_verdicts": "WITH RECURSIVE " + ",\n".join((views.user_events_sql(), generation_sql(EVENT_DETECTOR, _EVENT_MODS), reports_sql(EVENT_DETECTOR, 5), verdict_sql(EVENT_DETECTOR, 5))) + " SELECT generation::BIGINT AS generation, magnitude_verdict, magnitude_channels, count(*) AS n_frames FROM mag GROUP BY ALL",
     "aligned_frames": _captured_until(frames_sql(SHORT_DETECTOR)) + " SELECT track_id, generation::BIGINT AS generation, seq, complete, projected, CASE WHEN usable THEN sfx END AS suffix, place FROM place",
     "pair_correlations": _captured_until(frames_sql(SHORT_DETECTOR), pairs_sql(SHORT_CORR)) + " SELECT track_id, seq, w, " + ", ".join(f"round(r_{a}_{i}_{j}, 5) AS r_{a}_{i}_{j}" for a in range(3) for i, j in combinations(range(3), 2)) + " FROM pc WHERE w >= 4",
     "correlation_verdicts": assessed_sql(False) + " SELECT track_id, seq, corr_0, mask_0, corr_1, mask_1, corr_2, mask_2, consistency, cmask::INT AS consistency_mask FROM (SELECT * EXCLUDE (cmask), CASE WHEN consistency IN ('decoupled', 'conflicted') THEN cmask ELSE 0 END AS cmask FROM ev)",

@@ -14,7 +14,7 @@ STUDY = evidence.StudyConfig(tracks=2, frames=600, onset=300, mission_frames=600
 
 def pid_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MI consensus of each track's newest suffix, by axis."""
-    rows = magnitude.generations(views.scenario(spark, sf_dir), DETECTOR)
+    rows = magnitude.generations(views.scenario(spark, sf_dir), DETECTOR, MODS)
     wide = magnitude.frames(magnitude.channel_reports(magnitude.channel_windows(rows, DETECTOR), DETECTOR, len(MODS)), MODS, fusion.PROVENANCE)
     return information.pid_reports(correlation.aligned(wide, DETECTOR, MODS), MODS, information.PidConfig())
 

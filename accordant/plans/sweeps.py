@@ -47,7 +47,7 @@ def swept_sql(grid: tuple[float, ...] = GRID) -> str:
         shared = f"CASE WHEN m.modality = '{views.SPOOFED}' AND seq >= floor(len / 3) THEN sqrt(1 - g.d) * {latent} + sqrt(g.d) * {phantom} ELSE {latent} END"
         return f"{views.SCALE} * ({math.sqrt(views.RHO)!r} * ({shared}) + {math.sqrt(1 - views.RHO)!r} * CAST(v[3 * m.code + {a + 1}] AS DOUBLE)) AS p{a}"
 
-    return f"""vec AS (SELECT vec_id % {views.TRACKS} AS track_id, row_number() OVER (PARTITION BY vec_id % {views.TRACKS} ORDER BY vec_id) - 1 AS seq, count(*) OVER (PARTITION BY vec_id % {views.TRACKS}) AS len, embedding AS v FROM embeddings),
+    return f"""vec AS (SELECT vec_id // {views.TRACK_FRAMES} AS track_id, row_number() OVER (PARTITION BY vec_id // {views.TRACK_FRAMES} ORDER BY vec_id) - 1 AS seq, count(*) OVER (PARTITION BY vec_id // {views.TRACK_FRAMES}) AS len, embedding AS v FROM embeddings),
 raw AS (SELECT track_id + 1000 * g.i AS track_id, seq, seq * {views.DT_MS} + m.code AS timestamp_ms, m.modality, m.code, {", ".join(map(coordinate, range(3)))} FROM vec, (VALUES {values}) m(modality, code), (VALUES {depths}) g(i, d)),
 obs AS (SELECT *, p0 * p0 + p1 * p1 + p2 * p2 AS nis, 3 AS dof, 1 AS frame_id, 1 AS context_id, seq + 1 AS prior_id FROM raw)"""
 

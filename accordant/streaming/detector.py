@@ -62,14 +62,31 @@ class Track:
             return "late_frame"
         if any(p["modality"] == row["modality"] and p["seq"] == row["seq"] for p in self.pending):
             return "duplicate"
-        c = self.channels.get(row["modality"])
+        c = self.last(row["modality"])
         if c is None:
             return None
-        if row["seq"] <= c.seq:
+        if row["seq"] <= c["seq"]:
             return "sequence_not_increasing"
-        if row["dof"] != c.dof:
+        if row["dof"] != c["dof"]:
             return "dof_changed"
-        return "timestamp_not_increasing" if row["timestamp_ms"] <= c.timestamp_ms else None
+        return "timestamp_not_increasing" if row["timestamp_ms"] <= c["timestamp_ms"] else None
+
+    def last(self, modality: str) -> dict | None:
+        """The channel's last admitted row, be it of the pending frame; none after a reset by that frame."""
+        own = next((p for p in self.pending if p["modality"] == modality), None)
+        if own is not None:
+            return own
+        c = self.channels.get(modality)
+        return vars(c) if c is not None and not self.jumps() else None
+
+    def jumps(self) -> bool:
+        """Whether the pending frame comes after a gap of one of its channels."""
+        cfg = self.cfg
+        for row in self.pending:
+            c = self.channels.get(row["modality"])
+            if c and (row["seq"] - c.seq > cfg.max_seq_gap or row["timestamp_ms"] - c.timestamp_ms > cfg.max_inter_sample_gap_ms):
+                return True
+        return False
 
     def offer(self, row: dict) -> list[dict]:
         """Take a row; the verdict of the frame that it completes, or its rejection."""
@@ -82,14 +99,12 @@ class Track:
 
     def close(self) -> dict:
         """Assess the pending frame."""
+        jumps = self.jumps()
         rows, self.pending = self.pending, []
         cfg = self.cfg
-        for row in rows:
-            c = self.channels.get(row["modality"])
-            if c and (row["seq"] - c.seq > cfg.max_seq_gap or row["timestamp_ms"] - c.timestamp_ms > cfg.max_inter_sample_gap_ms):
-                self.channels = {}
-                self.generation += 1
-                break
+        if jumps:
+            self.channels = {}
+            self.generation += 1
         for row in rows:
             self.channels.setdefault(row["modality"], Channel()).push(row, cfg)
         return self.assess(rows[0]["seq"])
@@ -134,7 +149,7 @@ def verdicts(stream: DataFrame, modalities: tuple[str, ...], cfg: DetectorConfig
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         track = Track(cfg, modalities, state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(["seq", "timestamp_ms", "modality"])
+        rows = pd.concat(list(batches)).sort_values(["seq", "timestamp_ms", "modality", "dof", "nis"])
         out = [o for r in rows[["seq", "timestamp_ms", "modality", "nis", "dof"]].to_dict("records") for o in track.offer({**r, "seq": int(r["seq"]), "timestamp_ms": int(r["timestamp_ms"]), "dof": int(r["dof"])})]
         state.update((track.save(),))
         if out:

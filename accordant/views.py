@@ -4,7 +4,8 @@
 ``RHO``, from unit vectors scaled to about standard normal coordinates; in the
 last two thirds of a track the acoustic channel follows a phantom instead.
 ``captured``: the same with what a capture has: a missing channel, absent
-projections, clock skew, an outage and another context.
+projections, clock skew, an outage, another context, repeated rows, changed
+degrees of freedom, a clock's step and a huge value.
 ``user_events``: scalar observations with genuine gaps, one channel per event type.
 """
 
@@ -19,15 +20,19 @@ from accordant.schema import CODES
 
 CHANNELS = ("visual", "acoustic", "radar")
 SPOOFED = "acoustic"
-RHO, DECOUPLING, TRACKS, AXES = 0.7, 0.9, 2, 3
+RHO, DECOUPLING, AXES = 0.7, 0.9, 3
+#: Frames of a track: there are as many tracks as the vectors give.
+TRACK_FRAMES = 250
 #: Places in the vector of the shared latent and of the phantom.
 LATENT_AT, PHANTOM_AT, SCALE = 18, 21, 8.0
 DT_MS, CAPTURE_DT_MS, CYCLE = 100, 2_000, 90
+#: A finite value that would stay in running totals.
+HUGE = 1e17
 EVENT_MODALITY = {"view": "visual", "click": "thermal", "purchase": "acoustic", "signup": "radar", "error": "lidar"}
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    track = F.pmod("vec_id", F.lit(TRACKS))
+    track = F.floor(F.col("vec_id") / TRACK_FRAMES).cast("long")
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         track.alias("track_id"), (F.row_number().over(Window.partitionBy(track).orderBy("vec_id")) - 1).cast("long").alias("seq"), F.count("*").over(Window.partitionBy(track)).alias("_len"), F.col("embedding").alias("_v")
     )
@@ -53,14 +58,20 @@ def scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture, with rows that must be refused: repeated ones, other degrees of freedom, and those after a clock's step."""
     at = F.col("seq") % CYCLE
+    radar, visual = F.col("modality") == "radar", F.col("modality") == "visual"
     rows = _observations(_vectors(spark, sf_dir), CAPTURE_DT_MS).filter(~((F.col("modality") == "acoustic") & (at == 40)) & ~at.between(80, 85))
     absent = at == 70
-    return (
-        rows.withColumn("timestamp_ms", F.col("timestamp_ms") + F.when((F.col("modality") == "radar") & (at == 20), 1_500).otherwise(0))
+    told = (
+        rows.withColumn("timestamp_ms", F.col("timestamp_ms") + F.when(radar & (at == 20), 1_500).when(visual & (at == 62), 5_000).otherwise(0))
+        .withColumn("nis", F.when(radar & (at == 45), F.lit(HUGE)).otherwise(F.col("nis")))
+        .withColumn("dof", F.when(visual & (at == 55), 2).otherwise(F.col("dof")))
         .withColumns({c: F.when(~absent, F.col(c)) for c in ("p0", "p1", "p2", "frame_id", "context_id", "prior_id")})
         .withColumn("context_id", F.col("context_id") + F.floor(F.col("seq") / 130))
     )
+    again = told.filter(radar & (at == 30)).withColumns({"nis": F.lit(900.0), "timestamp_ms": F.col("timestamp_ms") + 7})
+    return told.unionByName(again)
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +93,8 @@ def _coordinate_sql(axis: int) -> str:
 def scenario_sql(dt_ms: int = DT_MS) -> str:
     """CTEs that end in ``obs``."""
     values = ", ".join(f"('{m}', {CODES[m]})" for m in CHANNELS)
-    return f"""vec AS (SELECT vec_id % {TRACKS} AS track_id, row_number() OVER (PARTITION BY vec_id % {TRACKS} ORDER BY vec_id) - 1 AS seq, count(*) OVER (PARTITION BY vec_id % {TRACKS}) AS len, embedding AS v FROM embeddings),
+    return f"""vec AS (SELECT vec_id // {TRACK_FRAMES} AS track_id, row_number() OVER (PARTITION BY vec_id // {TRACK_FRAMES} ORDER BY vec_id) - 1 AS seq,
+  count(*) OVER (PARTITION BY vec_id // {TRACK_FRAMES}) AS len, embedding AS v FROM embeddings),
 raw AS (SELECT track_id, seq, seq * {dt_ms} + m.code AS timestamp_ms, m.modality, m.code, {", ".join(map(_coordinate_sql, range(AXES)))} FROM vec, (VALUES {values}) m(modality, code)),
 obs AS (SELECT track_id, seq, timestamp_ms, modality, code, p0 * p0 + p1 * p1 + p2 * p2 AS nis, 3 AS dof, p0, p1, p2, 1 AS frame_id, 1 AS context_id, seq + 1 AS prior_id FROM raw)"""
 
@@ -92,9 +104,12 @@ def captured_sql() -> str:
     base = scenario_sql(CAPTURE_DT_MS).replace("obs AS (", "whole AS (")
     kept = ", ".join(f"CASE WHEN seq % {CYCLE} <> 70 THEN {c} END AS {c}" for c in ("p0", "p1", "p2", "frame_id"))
     return f"""{base},
-obs AS (SELECT track_id, seq, timestamp_ms + CASE WHEN modality = 'radar' AND seq % {CYCLE} = 20 THEN 1500 ELSE 0 END AS timestamp_ms, modality, code, nis, dof, {kept},
+told AS (SELECT track_id, seq, modality, code, {kept},
+  timestamp_ms + CASE WHEN modality = 'radar' AND seq % {CYCLE} = 20 THEN 1500 WHEN modality = 'visual' AND seq % {CYCLE} = 62 THEN 5000 ELSE 0 END AS timestamp_ms,
+  CASE WHEN modality = 'radar' AND seq % {CYCLE} = 45 THEN {HUGE!r} ELSE nis END AS nis, CASE WHEN modality = 'visual' AND seq % {CYCLE} = 55 THEN 2 ELSE dof END AS dof,
   CASE WHEN seq % {CYCLE} <> 70 THEN context_id + floor(seq / 130)::BIGINT END AS context_id, CASE WHEN seq % {CYCLE} <> 70 THEN prior_id END AS prior_id
-  FROM whole WHERE NOT (modality = 'acoustic' AND seq % {CYCLE} = 40) AND NOT (seq % {CYCLE} BETWEEN 80 AND 85))"""
+  FROM whole WHERE NOT (modality = 'acoustic' AND seq % {CYCLE} = 40) AND NOT (seq % {CYCLE} BETWEEN 80 AND 85)),
+obs AS (SELECT * FROM told UNION ALL SELECT * REPLACE (timestamp_ms + 7 AS timestamp_ms, 900.0::DOUBLE AS nis) FROM told WHERE modality = 'radar' AND seq % {CYCLE} = 30)"""
 
 
 def user_events_sql() -> str:

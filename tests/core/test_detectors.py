@@ -44,6 +44,86 @@ def test_windows_evict(spark):
     assert (last.n, last.sum_nis, last.mean_nis) == (3, 9.0, 3.0)
 
 
+def test_windows_forget(spark):
+    """What was huge leaves no trace once it has left the window; a sum that no double holds is the largest one."""
+    values = [3.0] * 10 + [1e17] + [3.0] * 20 + [1.7e308, 1.7e308] + [3.0] * 20
+    rows = magnitude.generations(observations(spark, [(1, i, "visual", v, None) for i, v in enumerate(values)]), CFG)
+    got = [(r.sum_nis, r.mean_nis, r.elevated) for r in magnitude.channel_reports(magnitude.channel_windows(rows, CFG), CFG, 1).orderBy("seq").collect()]
+    assert got[10][2] and got[17][2] and got[18] == (24.0, 3.0, False) and got[30] == (24.0, 3.0, False)
+    assert got[32][:2] == (math.ldexp(2.0 - 2.0**-52, 1023), pytest.approx(1.7e308 / 4)) and got[32][2]
+    assert got[40] == (24.0, 3.0, False) == got[-1]
+
+
+def test_correlation_forgets(spark):
+    rng = random.Random(3)
+    base = [rng.gauss(0, 1) for _ in range(60)]
+    series = {m: [b + 0.3 * rng.gauss(0, 1) for b in base] for m in MODS}
+    clean = corr_states(spark, series, CorrelationConfig(window=20, min_samples=8))
+    spoilt = {m: [1e12 if i == 15 else x for i, x in enumerate(v)] for m, v in series.items()}
+    after = corr_states(spark, spoilt, CorrelationConfig(window=20, min_samples=8))
+    assert [after[f"r_0_{i}_{j}"] for i, j in ((0, 1), (0, 2), (1, 2))] == pytest.approx([clean[f"r_0_{i}_{j}"] for i, j in ((0, 1), (0, 2), (1, 2))], abs=1e-12)
+
+
+def test_rejected_rows_are_no_evidence(spark):
+    """A repeat, other degrees of freedom, a late clock, nulls and an unexpected channel change nothing and are told."""
+    good = [(1, i, m, 3, None) for i in range(12) for m in MODS]
+    frame = observations(spark, good)
+    last = frame.filter("modality = 'radar' and seq = 11")
+    bad = (
+        last.withColumns({"nis": F.lit(900.0), "timestamp_ms": F.col("timestamp_ms") + 5})
+        .unionByName(last.withColumns({"seq": F.lit(12).cast("long"), "dof": F.lit(2), "nis": F.lit(900.0), "timestamp_ms": F.lit(1200).cast("long")}))
+        .unionByName(last.withColumns({"seq": F.lit(12).cast("long"), "nis": F.lit(900.0)}))
+        .unionByName(last.withColumns({"seq": F.lit(13).cast("long"), "modality": F.lit("lidar"), "timestamp_ms": F.lit(1300).cast("long")}))
+        .unionByName(last.withColumns({"seq": F.lit(14).cast("long"), "nis": F.lit(float("nan"))}))
+        .unionByName(last.withColumns({"seq": F.lit(14).cast("long"), "timestamp_ms": F.lit(None).cast("long")}))
+    )
+    rows = frame.unionByName(bad)
+    assessed = lambda r: sorted(map(str, fusion.assessed_frames(r, MODS, CFG, CorrelationConfig(window=8, min_samples=4)).collect()))
+    assert assessed(rows) == assessed(frame)
+    told = sorted((r.seq, r.reject) for r in magnitude.rejected(rows, CFG, MODS).collect())
+    assert told == [(11, "sequence_not_increasing"), (12, "dof_changed"), (12, "timestamp_not_increasing"), (13, "unexpected_modality"), (14, "incomplete"), (14, "incomplete")]
+    assert magnitude.generations(frame.limit(0), CFG).count() == 0
+
+
+def plain_fold(rows, cfg):
+    """Generations row by row, from the rules: rows are (track, seq, timestamp, modality, dof, nis) in order."""
+    out, state, generation, at = {}, {}, 0, None
+    for (track, seq), frame in itertools.groupby(rows, key=lambda r: r[:2]):
+        if track != at:
+            at, state, generation = track, {}, 0
+        took = {}
+        for r in frame:
+            before = took.get(r[3]) or state.get(r[3])
+            if before is None or (r[1] > before[1] and r[4] == before[4] and r[2] > before[2]):
+                took[r[3]] = r
+        if any(m in state and (r[1] - state[m][1] > cfg.max_seq_gap or r[2] - state[m][2] > cfg.max_inter_sample_gap_ms) for m, r in took.items()):
+            state, generation = {}, generation + 1
+        state = state | took
+        out |= {r: generation for r in took.values()}
+    return out
+
+
+def test_generations_equal_plain_rules(spark):
+    """Random gaps, repeats, clocks and dof over tracks, in Arrow batches that end anywhere."""
+    rng = random.Random(12)
+    rows = set()
+    for track in range(6):
+        for seq in range(80):
+            for m in MODS:
+                for _ in range(rng.choice((0, 1, 1, 1, 1, 1, 1, 2))):
+                    rows.add((track, seq, seq * 1000 + rng.choice((0, 0, 0, 1, 900, 2500)), m, rng.choice((3,) * 30 + (2,)), float(rng.randrange(1, 9))))
+    cfg = DetectorConfig(window_len=8, min_samples=4, max_seq_gap=2, max_inter_sample_gap_ms=4000)
+    frame = spark.createDataFrame(list(rows), "track_id long, seq long, timestamp_ms long, modality string, dof int, nis double")
+    want = plain_fold(sorted(rows), cfg)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r.track_id, r.seq, r.timestamp_ms, r.modality, r.dof, r.nis): r.generation for r in magnitude.generations(frame, cfg).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert max(want.values()) > 3 and len(want) < len(rows)
+
+
 def verdicts(spark, rows, mods=MODS, cfg=CFG):
     reports = magnitude.channel_reports(magnitude.channel_windows(magnitude.generations(observations(spark, rows), cfg), cfg), cfg, len(mods))
     return {(r.generation, r.seq): (r.magnitude_verdict, r.magnitude_channels) for r in magnitude.magnitude_verdict(magnitude.frames(reports, mods), cfg, mods).collect()}

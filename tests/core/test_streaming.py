@@ -25,7 +25,11 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.filter(F.col("seq") <= half).coalesce(1).write.parquet(f"{tmp_path}/in")
     rows.filter(F.col("seq") > half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = {(r.track_id, r.seq): (r.generation, r.verdict, r.channels) for r in run(spark, verdicts(stream, MODS, SHORT_DETECTOR), "v") if r.verdict != "rejected"}
+    told = run(spark, verdicts(stream, MODS, SHORT_DETECTOR), "v")
+    got = {(r.track_id, r.seq): (r.generation, r.verdict, r.channels) for r in told if r.verdict != "rejected"}
+    refused = sorted((r.track_id, r.seq, r.channels, r.reason.replace("duplicate", "sequence_not_increasing")) for r in told if r.verdict == "rejected")
+    assert refused == sorted((r.track_id, r.seq, r.modality, r.reject) for r in magnitude.rejected(rows, SHORT_DETECTOR, MODS).collect())
+    assert len({r[3] for r in refused}) == 3
     reports = magnitude.channel_reports(magnitude.channel_windows(magnitude.generations(rows, SHORT_DETECTOR), SHORT_DETECTOR), SHORT_DETECTOR, 3)
     batch = {(r.track_id, r.seq): (r.generation, r.magnitude_verdict, r.magnitude_channels) for r in magnitude.magnitude_verdict(magnitude.frames(reports, MODS), SHORT_DETECTOR, MODS).collect()}
     last = {t: max(s for u, s in batch if u == t) for t, _ in batch}
