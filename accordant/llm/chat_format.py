@@ -8,10 +8,14 @@ Grammar of a formatted conversation::
 
 A parser ends a turn at the first ``</s>``, a header at the first
 ``[/INST]``; a body of level 1 is unescaped, one of level 0 is taken as it is.
+Anything else, be it before, between or after turns, raises an error.
 Each turn is rendered at level 0, reparsed and compared with its source; where
-these differ, or the text has a control string, it is rendered anew at level 1, in which ``\`` is doubled and each
-control string gets a ``\`` after its first character. Roles are always
-escaped. A turn that still differs raises an error.
+these differ, or the text has a control string, it is rendered anew at level 1,
+in which ``\`` is doubled and each control string gets a ``\`` after its first
+character. Roles are always escaped. A turn that still differs raises an error.
+
+The loss mask has a span for each turn, told when it is rendered: where its body
+lies, and whether it counts. Loss text is cut out of the formatted text by it.
 """
 
 from __future__ import annotations
@@ -44,26 +48,34 @@ def render(role: Column, text: Column, level: int) -> Column:
 
 
 def parse_turn(piece: Column) -> Column:
-    """A rendered turn without its ``</s>`` as struct(role, text, body_at): body_at is where the body begins, from 0."""
+    """A rendered turn without its ``</s>`` as struct(role, text). A piece that the grammar doesn't have raises an error."""
     head_end = F.instr(piece, HEAD_END)
     head = F.substring(piece, F.lit(len(OPEN) + 1), head_end - 1 - len(OPEN))
     body = F.substring(piece, head_end + len(HEAD_END), F.length(piece))
-    level = F.right(head, F.lit(1))
-    return F.struct(
+    level = F.right(head, F.lit(2))
+    turn = F.struct(
         unescape(F.left(head, F.length(head) - 2)).alias("role"),
-        F.when(level == "1", unescape(body)).otherwise(body).alias("text"),
-        (head_end + len(HEAD_END) - 1).alias("body_at"),
+        F.when(level == ":1", unescape(body)).otherwise(body).alias("text"),
     )
+    sound = F.startswith(piece, F.lit(OPEN)) & (head_end > 0) & level.isin(":0", ":1")
+    return F.when(sound, turn).otherwise(_refused("a turn isn't of the grammar"))
+
+
+def _refused(why: str) -> Column:
+    return F.raise_error(F.lit(why)).cast("struct<role: string, text: string>")
 
 
 def parse(formatted: Column) -> Column:
-    """All turns of a formatted conversation, as an array of parse_turn's structs."""
+    """All turns of a formatted conversation, as an array of structs (role, text). Text after the last turn raises an error."""
+    # The last piece comes after the last turn's end.
     pieces = F.split(formatted, r"</s>", -1)
-    return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), parse_turn)
+    after = F.when(F.endswith(formatted, F.lit(CLOSE)) | (formatted == ""), F.size(pieces) - 1)
+    turns = F.transform(F.slice(pieces, 1, F.coalesce(after, F.lit(0))), parse_turn)
+    return F.when(after.isNotNull(), turns).otherwise(F.array(_refused("text after the last turn")))
 
 
 def format_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a turn: conv_id, turn, role, text, level and ``piece``, the rendered turn.
+    """One row a turn: conv_id, turn, role, text, level, ``piece`` (the rendered turn), and where its body lies in it (``at``, ``length``).
 
     A null role or text counts as empty; other columns are left out.
     """
@@ -74,42 +86,54 @@ def format_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     bare = reduce(lambda x, y: x | y, (F.instr("text", control) > 0 for control in CONTROLS))
     plain, escaped = render(F.col("role"), F.col("text"), 0), render(F.col("role"), F.col("text"), 1)
     tried = rows.withColumn("_plain", plain).withColumn("level", F.when(same(first_turn(F.col("_plain"))) & ends_once(F.col("_plain")) & ~bare, 0).otherwise(1))
-    return tried.withColumn("piece", F.when(F.col("level") == 0, F.col("_plain")).otherwise(escaped)).drop("_plain")
+    done = tried.withColumn("piece", F.when(F.col("level") == 0, F.col("_plain")).otherwise(escaped)).drop("_plain")
+    at = F.lit(len(OPEN) + 2 + len(HEAD_END)) + F.length(escape(F.col("role")))
+    return done.withColumns({"at": at, "length": F.length("piece") - at - len(CLOSE)})
 
 
-def format_conversations(turns: DataFrame, **columns: str) -> DataFrame:
-    """One row a conversation: conv_id, formatted, spans, n_turns, turns (read back) and loss_text.
+def format_conversations(turns: DataFrame, trained: tuple[str, ...] = ("assistant",), **columns: str) -> DataFrame:
+    """One row a conversation: conv_id, formatted, turns (read back), n_turns and ``mask``.
 
     Turns are put in order by (turn, role, text), nulls first; repeated rows
-    count as turns. Rows with a null conversation id form one conversation. A
-    span (start, length; characters of ``formatted``, from 0) marks the body of
-    each assistant turn; ``loss_text`` is the unescaped text of all spans.
-    Conversations of an empty table: none. A conversation is one value, so its
-    formatted text must stay below Spark's 2 GB; nothing else is gathered.
+    count as turns. Rows with a null conversation id form one conversation.
+    The mask has a struct a turn: ``start`` and ``length`` of its body
+    (characters of ``formatted``, from 0), ``at``, where the body begins in the
+    turn, and ``loss``, true for the roles of ``trained``. Conversations of an
+    empty table: none. A conversation is one value, so its formatted text must
+    stay below Spark's 2 GB; nothing else is gathered.
     """
     rendered = format_turns(turns, **columns)
-    collected = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "piece"))).alias("_own"))
-    joined = collected.withColumn("formatted", F.array_join(F.transform("_own", lambda x: x["piece"]), ""))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.col("at")
+    span = F.struct(start.alias("start"), F.col("length"), F.col("at"), F.col("role").isin(*trained).alias("loss"))
+    placed = rendered.withColumn("span", span)
+    own = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "piece", "span")))
+    joined = placed.groupBy("conv_id").agg(own.alias("_own"))
+    joined = joined.withColumn("formatted", F.array_join(F.transform("_own", lambda x: x["piece"]), ""))
     back = joined.withColumn("turns", parse(F.col("formatted")))
     source = F.transform("_own", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    again = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    checked = back.withColumn("turns", F.when(source == again, F.col("turns")).otherwise(F.raise_error(F.lit("a formatted conversation doesn't parse to its source")).cast(back.schema["turns"].dataType)))
-    return checked.select("conv_id", "formatted", "turns", F.size("turns").cast("long").alias("n_turns"))
+    refused = F.raise_error(F.lit("a formatted conversation doesn't parse to its source")).cast(back.schema["turns"].dataType)
+    checked = back.withColumn("turns", F.when(source == F.col("turns"), F.col("turns")).otherwise(refused))
+    mask = F.transform("_own", lambda x: x["span"])
+    return checked.select("conv_id", "formatted", "turns", F.size("turns").cast("long").alias("n_turns"), mask.alias("mask"))
 
 
 def loss_spans(formatted: DataFrame) -> DataFrame:
-    """One row an assistant turn of format_conversations: conv_id, start, length (characters of ``formatted``, from 0), text unescaped.
+    """One row a turn that counts: conv_id, turn_no, start and length (characters of ``formatted``, from 0)."""
+    rows = formatted.select("conv_id", F.posexplode("mask").alias("turn_no", "span")).filter("span.loss")
+    return rows.select("conv_id", "turn_no", "span.start", "span.length")
 
-    A running sum of the parsed pieces' lengths gives each turn's place.
-    """
-    pieces = formatted.select("conv_id", F.posexplode(F.split("formatted", r"</s>", -1)).alias("turn_no", "piece")).filter(F.length("piece") > 0)
-    w = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("_turn", parse_turn(F.col("piece"))).withColumn("_at", F.coalesce(F.sum(F.length("piece") + len(CLOSE)).over(w), F.lit(0)))
-    return placed.filter(F.col("_turn.role") == "assistant").select("conv_id", "turn_no", (F.col("_at") + F.col("_turn.body_at")).alias("start"), (F.length("piece") - F.col("_turn.body_at")).alias("length"), F.col("_turn.text").alias("text"))
 
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped, cut from the formatted text; each turn is cut from its own piece, so this is linear."""
+
+    def cut(piece: Column, span: Column) -> Column:
+        body = F.substring(piece, span["at"] + 1, span["length"])
+        level = F.substring(piece, span["at"] - len(HEAD_END), F.lit(1))
+        return F.when(span["loss"], F.when(level == "1", unescape(body)).otherwise(body)).otherwise("")
 
-def loss_text(turns: Column) -> Column:
-    return F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    pieces = F.split(formatted, r"</s>", -1)
+    return F.array_join(F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), mask, cut), "")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +142,13 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     done = format_conversations(turns.unionByName(probe))
     read = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    done = done.withColumn("_loss", loss_text(F.col("formatted"), F.col("mask")))
     return done.select(
         "conv_id",
         "n_turns",
         F.sha2(read.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss_text(F.col("turns"))).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(F.col("turns")).cast("binary"), 256).alias("loss_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -135,7 +160,7 @@ WITH src AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 esc AS (
   SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS escaped,
-    contains(text, '</s>') OR contains(text, '<s>[INST]') AS conflicts FROM src)
+    contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]') AS conflicts FROM src)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

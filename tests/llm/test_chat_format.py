@@ -22,11 +22,29 @@ def test_every_conflict_round_trips(spark):
         want = [(r[2], r[3]) for r in own]
         assert [(t.role, t.text) for t in got[conv].turns] == want
     spans = cf.loss_spans(done).join(done.select("conv_id", "formatted"), "conv_id").collect()
-    back = lambda s: spark  # noqa: E731, ARG005
-    assert len(spans) == sum(r[2] == "assistant" for r in rows) and back
-    for s in spans[:500]:
+    assert len(spans) == sum(r[2] == "assistant" for r in rows)
+    for s in spans:
         raw = s.formatted[s.start : s.start + s.length]
         assert s.formatted[s.start + s.length :].startswith("</s>") and "</s>" not in raw
+        assert s.formatted[: s.start].endswith("[/INST]")
+    loss = {r.conv_id: r.loss for r in done.select("conv_id", cf.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    for conv, own in itertools.groupby(rows, key=lambda r: r[0]):
+        assert loss[conv] == "".join(r[3] for r in own if r[2] == "assistant")
+
+
+def test_the_mask_cuts_and_not_the_roles(spark):
+    """Loss text follows the mask: another mask gives other text, whatever the roles are."""
+    turns = spark.createDataFrame([(1, 0, "user", "a\\ </s>"), (1, 1, "assistant", "é b"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
+    text = lambda trained: cf.format_conversations(turns, trained).select(cf.loss_text(F.col("formatted"), F.col("mask"))).first()[0]
+    assert (text(("assistant",)), text(("user",)), text(("user", "assistant")), text(())) == ("é b", "a\\ </s>", "a\\ </s>é b", "")
+
+
+@pytest.mark.parametrize("damaged", ["x", "<s>[INST]user:0[/INST]a", "<s>[INST]user:0[/INST]a</s>b", "<s>[INST]user:2[/INST]a</s>", "[INST]user:0[/INST]a</s>", "<s>[INST]user:0 a</s>", "</s>"])
+def test_what_the_grammar_lacks_is_refused(spark, damaged):
+    frame = spark.createDataFrame([(damaged,)], "formatted string")
+    with pytest.raises(Exception, match="grammar|after the last"):
+        frame.select(cf.parse(F.col("formatted"))).collect()
+    assert frame.select(cf.parse(F.lit(""))).first()[0] == []
 
 
 def test_hard_rows(spark):
