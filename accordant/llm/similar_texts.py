@@ -44,6 +44,8 @@ BLANK, BASE, PIECE = re.compile(rb"[\x20\x09-\x0D]"), np.uint64(0x100000001B3),
 IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Hashed counters of how many texts have a shingle, and the rows that they are summed in.
 COUNTERS, COUNTER_ROWS = 1 << 16, 64
+#: Words of a set's bitmap: each shingle flips one of their bits.
+MAP_WORDS = 8
 #: Tasks that a component of any size is spread over.
 SALTS = 32
 
@@ -108,6 +110,13 @@ def bands(sketches: np.ndarray) -> list[np.ndarray]:
     return [h[f].view(np.int64) if f.any() else np.zeros(1, np.int64) for h, f in zip(out, filled, strict=True)]
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit. Two sets' bitmaps differ in no more bits than the sets in shingles."""
+    at = (found >> np.uint64(20)) & np.uint64(MAP_WORDS * 64 - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=MAP_WORDS * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def set_id(found: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
 
@@ -159,7 +168,7 @@ def ordered_prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """``_key``, ``_mark`` (hash of the text), ``fp``, ``bands``; of the set of shingles: hash ``sid``, size ``n``, ``prefix``."""
+    """``_key``, ``_mark`` (hash of the text), ``fp``, ``bands``; of the set of shingles: hash ``sid``, size ``n``, ``prefix``, ``bitmap``."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, words))
 
@@ -174,19 +183,30 @@ def with_sets(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataF
                 pa.array([set_id(x) for x in sets], pa.int64()),
                 pa.array([len(x) for x in sets], pa.int32()),
                 pa.array([ordered_prefix(x, shared.value).tobytes() for x in sets], pa.binary()),
+                pa.array([bitmap(x) for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_mark", "fp", "bands", "sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_mark", "fp", "bands", "sid", "n", "prefix", "bitmap"])
 
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
-    schema = f"_key {kind}, _mark bigint, fp bigint, bands array<bigint>, sid bigint, n int, prefix binary"
+    schema = f"_key {kind}, _mark bigint, fp bigint, bands array<bigint>, sid bigint, n int, prefix binary, bitmap binary"
     return rows.mapInArrow(run, schema)
 
 
 def band_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each ``sid`` with the least one of each band that they share."""
+    """(a, b): each ``sid`` with two of each band that it shares: the one whose bands are shared most, and the least one.
+
+    In a group of copies the text that others were made from shares all its
+    bands, so most members are linked to it. A member has two links a band at
+    most, however large the group.
+    """
     rows = nodes.select("sid", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("sid").alias("b"), F.max("sid").alias("_most")).filter("b < _most")
-    return rows.join(least.select("band", "b"), "band").filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    sizes = rows.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = written(rows.join(sizes, "band"), "similar-bands")
+    score = shared.groupBy("sid").agg(F.sum(F.log2("_n")).alias("_score"))
+    scored = shared.select("sid", "band").join(score, "sid")
+    centre = scored.groupBy("band").agg(F.max_by("sid", F.struct("_score", "sid")).alias("_most"), F.min("sid").alias("_least"))
+    linked = shared.select("sid", "band").join(centre, "band").select("sid", F.explode(F.array("_most", "_least")).alias("b"))
+    return linked.filter("sid <> b").select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
 
 
 def jaccard_reaches(a: bytes, b: bytes) -> bool:
@@ -223,50 +243,65 @@ def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle of a prefix: token, at (its place in the prefix), sid, n and part."""
     for batch in slices(batches):
         found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
         times = [len(x) for x in found]
         columns = [np.repeat(batch.column(i).to_numpy(), times) for i in range(3)]
         tokens = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
-        yield pa.RecordBatch.from_arrays([tokens, *map(pa.array, columns)], ["token", "sid", "n", "part"])
+        at = pa.array(np.concatenate([*map(np.arange, times), np.zeros(0, np.int64)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([tokens, at, *map(pa.array, columns)], ["token", "at", "sid", "n", "part"])
+
+
+def may_reach(one: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Which of ``others`` (n, at, bitmap; sizes not below) may be so similar to ``one``, if the shingle they meet at is their first in common.
+
+    Sets of sizes a and b are similar if they share ``need`` shingles, so if
+    they differ in at most a + b - 2 need. Neither has more shingles from the
+    meeting one on than its size less its place, and the bits in which bitmaps
+    differ are no more than the shingles in which the sets do.
+    """
+    (a, place, own), (b, places, maps) = one, others
+    num, den = SHARE.numerator, SHARE.denominator
+    need = -(-num * (a + b) // (num + den))
+    ok = (a - place >= need) & (b - places >= need)
+    ok[ok] = np.bitwise_count(maps[ok] ^ own).sum(1, dtype=np.int64) <= (a + b - 2 * need)[ok]
+    return ok
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each shard (rows shard, side, n, sid, part in order of shard and n) of other parts, sides and of sizes that allow the similarity."""
-    names = ["a", "b", "na", "nb"]
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    """Pairs of each shard that may be similar, of different parts and sides.
+
+    Rows are shard, side, n, sid, part, at and bitmap in order of shard and n.
+    A pair that is similar has a first shingle in common, and is told there.
+    """
+    names = ["a", "b"]
+    out: list[list[np.ndarray]] = [[], []]
     rows = 0
     left: list[np.ndarray] | None = None
 
     def search(group: list[np.ndarray]) -> None:
         nonlocal rows
-        _, side, n, sid, part = group
+        _, side, n, sid, part, at, maps = group
         if (part == part[0]).all():
             return
         ends = np.searchsorted(n, n * SHARE.denominator // SHARE.numerator, "right")
         for i in range(len(n) - 1):
             j = slice(i + 1, ends[i])
-            ok = (part[j] != part[i]) & ((side[j] < 0) | (side[j] != side[i]))
-            if ok.any():
-                other, size = sid[j][ok], n[j][ok]
-                less = other < sid[i]
-                found = (
-                    np.where(less, other, sid[i]),
-                    np.where(less, sid[i], other),
-                    np.where(less, size, n[i]),
-                    np.where(less, n[i], size),
-                )
-                for column, kept in zip(out, found, strict=True):
-                    column.append(kept)
-                rows += len(other)
+            ok = np.flatnonzero((part[j] != part[i]) & ((side[j] < 0) | (side[j] != side[i]))) + i + 1
+            if len(ok):
+                ok = ok[may_reach([n[i], at[i], maps[i]], [n[ok], at[ok], maps[ok]])]
+                out[0].append(np.minimum(sid[ok], sid[i]))
+                out[1].append(np.maximum(sid[ok], sid[i]))
+                rows += len(ok)
 
     def drain() -> Iterator[pa.RecordBatch]:
         nonlocal rows
-        columns = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in out]
+        pairs = np.unique(np.stack([np.concatenate([*x, np.zeros(0, np.int64)]) for x in out], 1), axis=0)
         for x in out:
             x.clear()
-        for at in range(0, max(1, rows), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], pa.int64()) for c in columns], names)
+        for at in range(0, max(1, len(pairs)), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, i], pa.int64()) for i in (0, 1)], names)
         rows = 0
 
     def groups(columns: list[np.ndarray], whole: bool) -> list[np.ndarray]:
@@ -280,10 +315,11 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        columns = [c.to_numpy().astype(np.int64) for c in batch.columns[:-1]]
+        columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, MAP_WORDS))
         whole = columns if left is None else [np.concatenate(x) for x in zip(left, columns, strict=True)]
         left = groups(whole, False)
-        if rows >= 100_000:
+        if rows >= 1_000_000:
             yield from drain()
     if left is not None:
         groups(left, True)
@@ -293,40 +329,37 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def missing_pairs(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): every two ``sid`` of other components (``part``) that may have the similarity; none that has it is left out.
 
-    Sets of similarity t share a shingle of their prefixes, and so many of
-    them that most others fall to their count: the whole prefix that ends
-    first, but for what its set lacks. Shingles of one prefix, or of prefixes
-    of one component, meet none. Shingles of more than ``shard_rows`` prefixes
-    are cut into parts, and each pair of parts is a shard.
+    Sets of that similarity share a shingle of their prefixes. Shingles of one
+    prefix, or of prefixes of one component, meet none. Shingles of more than
+    ``shard_rows`` prefixes are cut into parts, and each pair of parts is a
+    shard. What can't be similar by sizes, places in the prefixes or bitmaps
+    isn't told (``may_reach``).
     """
     kept = nodes.select("sid", "n", "part", "prefix")
-    keyed = kept.mapInArrow(_prefix_rows, "token bigint, sid bigint, n int, part bigint")
+    keyed = kept.mapInArrow(_prefix_rows, "token bigint, at int, sid bigint, n int, part bigint")
     counts = keyed.groupBy("token").agg(F.count("*").alias("_rows"), F.min("part").alias("_least"), F.max("part").alias("_most"))
     met = written(counts.filter("_least < _most").select("token", "_rows"), "similar-tokens")
-    shared = written(keyed.join(met, "token"), "similar-shared")
+    shared = written(keyed.join(met, "token").join(nodes.select("sid", "bitmap"), "sid"), "similar-shared")
     small = shared.filter(F.col("_rows") <= shard_rows)
-    small = small.select(F.col("token").alias("shard"), F.lit(-1).cast("tinyint").alias("side"), "n", "sid", "part")
+    row = ("n", "sid", "part", "at", "bitmap")
+    small = small.select(F.col("token").alias("shard"), F.lit(-1).cast("tinyint").alias("side"), *row)
     pieces = F.ceil(F.col("_rows") / shard_rows).cast("int")
     hot = shared.filter(F.col("_rows") > shard_rows).withColumn("_p", F.pmod(F.xxhash64("sid"), pieces).cast("int"))
     pairs = hot.withColumn("_o", F.explode(F.sequence(F.lit(0), pieces - 1)))
     side = F.when(F.col("_p") == F.col("_o"), -1).when(F.col("_p") < F.col("_o"), 0).otherwise(1).cast("tinyint")
     shard = F.xxhash64("token", F.least("_p", "_o"), F.greatest("_p", "_o"))
-    paired = pairs.select(shard.alias("shard"), side.alias("side"), "n", "sid", "part")
-    placed = small.unionByName(paired).repartition(F.col("shard")).sortWithinPartitions("shard", "n")
-    found = placed.mapInArrow(_meeting, "a bigint, b bigint, na bigint, nb bigint")
-    found = found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
-    num, den = F.lit(SHARE.numerator), F.lit(SHARE.denominator)
-    overlap = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den))
-    return found.filter(F.col("_shared") >= overlap + 1 - F.ceil(num * F.greatest("na", "nb") / den)).select("a", "b")
+    placed = small.unionByName(pairs.select(shard.alias("shard"), side.alias("side"), *row))
+    placed = placed.repartition(F.col("shard")).sortWithinPartitions("shard", "n")
+    return placed.mapInArrow(_meeting, "a bigint, b bigint").distinct()
 
 
 def set_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key``, ``_mark``, ``fp`` and the class (``root``) of each row of ``docs``."""
     seen = written(with_sets(docs, key, text), "similar")
     # Rows of one shingle set are alike, and links are between sets. But for key and mark they agree.
-    same = (F.first(c).alias(c) for c in ("fp", "n", "bands", "prefix"))
+    same = (F.first(c).alias(c) for c in ("fp", "n", "bands", "prefix", "bitmap"))
     nodes = seen.groupBy("sid").agg(F.min(F.struct("_key", "_mark")).alias("_row"), *same)
-    nodes = written(nodes.select("sid", "_row.*", "fp", "n", "bands", "prefix"), "similar-nodes")
+    nodes = written(nodes.select("sid", "_row.*", "fp", "n", "bands", "prefix", "bitmap"), "similar-nodes")
     keys = nodes.select("sid", "_key", "_mark")
     prints = nodes.groupBy("fp").agg(F.min("sid").alias("sid"))
     near = fingerprint_edges(prints.select("fp"))
@@ -337,7 +370,7 @@ def set_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     proposed = written(near.unionByName(band_edges(nodes)).distinct(), "similar-proposed")
     links = verified_pairs(proposed, keys, docs, key, text)
     parts = components(links).select(F.col("node").alias("sid"), F.col("component").alias("part"))
-    parted = nodes.select("sid", "n", "prefix").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    parted = nodes.select("sid", "n", "prefix", "bitmap").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
     rest = verified_pairs(written(missing_pairs(parted), "similar-missing"), keys, docs, key, text)
     # What was missing links whole components.
     left, right = (parts.select(F.col("sid").alias(c), F.col("part").alias(f"_{c}")) for c in ("a", "b"))

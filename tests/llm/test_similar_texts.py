@@ -53,6 +53,21 @@ def test_bands_of_alike_texts_meet():
     assert [x.tolist() for x in st.bands(np.array([st.sketch(st.distinct_shingles(t)) for t in ("", None)]))] == [[0], [0]]
 
 
+def test_bitmaps_and_places_turn_no_similar_pair_away():
+    rng = random.Random(9)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.choice((5, 40, 400, 3000)))]
+        one, two = (np.unique(np.array([x if rng.random() > 0.08 else rng.getrandbits(64) for x in base], np.uint64)) for _ in range(2))
+        one, two = sorted((one, two), key=len)
+        maps = [np.frombuffer(st.bitmap(x), np.uint64) for x in (one, two)]
+        both = np.intersect1d(one, two)
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(one) + len(two) - 2 * len(both)
+        if st.jaccard_reaches(one.tobytes(), two.tobytes()):
+            places = [int(np.searchsorted(x, both[0])) for x in (one, two)]
+            rest = [np.array([len(two)]), np.array(places[1:]), maps[1][None]]
+            assert st.may_reach([len(one), places[0], maps[0]], rest).tolist() == [True]
+
+
 def test_counters_cover_all_texts(spark):
     docs = spark.createDataFrame([("a b c d e f",), ("a b c d e f g",), (None,), ("a b c d e f",)], "text string")
     counts = st.shingle_counts(docs, "text")
