@@ -17,6 +17,7 @@ all texts of a group together.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,9 +36,13 @@ TRAIN_DOCUMENTS = 2_000
 MOST_LANGUAGES = 500
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
-#: Letters of a group of texts that are scored at once; a longer text is a group of its own.
+#: Letters of a group of texts that are scored at once; a longer text is scored in slices of about so many.
 GROUP_CHARS = 1 << 18
+#: Characters in which a slice's end is looked for at a blank, before any other character that is no letter will do.
+BLANK_WITHIN = 1 << 10
 UNKNOWN = "und"
+#: The pipeline's stage rejects texts of which the predicted language has a smaller share of the letters.
+LEAST_SHARE = 0.5
 
 #: Scripts by ranges of code points (fixed values); other letters are of script 0.
 SCRIPTS = {
@@ -57,6 +62,7 @@ SCRIPTS = {
     14: ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
 N_SCRIPTS = 15
+BLANK = re.compile(r"\s")
 
 
 @functools.cache
@@ -137,6 +143,21 @@ def grouped(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[list[
         yield group
 
 
+def text_slices(text: str, limit: int = GROUP_CHARS) -> Iterator[str]:
+    """A text cut between words into pieces of about ``limit`` characters; only a word as long makes a longer piece."""
+    kind, _ = tables()
+    at = 0
+    while at < len(text):
+        stop = at + limit
+        blank = BLANK.search(text, stop, stop + BLANK_WITHIN)
+        if blank:
+            stop = blank.start()
+        while stop < len(text) and kind[ord(text[stop])]:
+            stop += 1
+        yield text[at:stop]
+        at = stop
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -178,16 +199,47 @@ class Model:
             state[:n] = np.where(switched[t][np.arange(n), s], best_before[t], s)
         return out
 
+    def long_labels(self, text: str, penalty: float = SWITCH_PENALTY, limit: int = GROUP_CHARS) -> tuple[np.ndarray, np.ndarray]:
+        """The language and the letters of each word of one text, as ``labels`` gives them.
+
+        Slices are scored one after another; of a word only its length and the
+        way back through it are kept, a few bytes.
+        """
+        value = np.zeros(len(self.languages))
+        lengths, best_before, switched = [], [], []
+        for piece in text_slices(text, limit):
+            words = words_of([piece])
+            scores = self.word_scores(words)
+            before, changes = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
+            for t, own in enumerate(scores):
+                before[t] = b = value.argmax()
+                change = value[b] - penalty
+                changes[t] = value < change
+                value = np.maximum(value, change) + own
+            lengths.append(words.lengths.astype(np.int32))
+            best_before.append(before)
+            switched.append(changes)
+        before, changes = np.concatenate(best_before), np.concatenate(switched)
+        out, state = np.zeros(len(before), np.int16), value.argmax()
+        for t in range(len(before) - 1, -1, -1):
+            out[t] = state
+            if changes[t, state]:
+                state = before[t]
+        return out, np.concatenate(lengths)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its share of the letters; UNKNOWN and 0 without letters. Ties go to the first language by name."""
         languages, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return languages, shares
+        n = len(self.languages)
         for group in grouped(texts):
-            words = words_of([texts[i] for i in group])
-            owner = np.repeat(np.arange(len(group)), words.per_text)
-            n = len(self.languages)
-            letters = np.bincount(owner * n + self.labels(words), words.lengths, len(group) * n).reshape(-1, n)
+            if len(group) == 1 and len(texts[group[0]] or "") > GROUP_CHARS:
+                of, lengths = self.long_labels(texts[group[0]])
+            else:
+                words = words_of([texts[i] for i in group])
+                of, lengths = np.repeat(np.arange(len(group)), words.per_text) * n + self.labels(words), words.lengths
+            letters = np.bincount(of, lengths, len(group) * n).reshape(-1, n)
             total, best = letters.sum(1), letters.argmax(1)
             for k, i in enumerate(group):
                 if total[k]:
@@ -223,7 +275,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(languages), BUCKETS), np.int64), np.zeros((len(languages), N_SCRIPTS), np.int64)
         for batch in slices(batches):
-            langs, texts = (c.to_pylist() for c in batch.columns)
+            pieces = [(x, piece) for x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for piece in text_slices(t)]
+            langs, texts = [x for x, _ in pieces], [t for _, t in pieces]
             for group in grouped(texts):
                 words = words_of([texts[i] for i in group])
                 of_word = np.repeat(np.array([index[langs[i]] for i in group]), words.per_text)
@@ -270,13 +323,23 @@ def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
-    """Pipeline stage: documents without a letter (language ``und``) go, all others stay.
+def keep_known(
+    spark: SparkSession,
+    docs: DataFrame,
+    sf_dir: str = "",
+    languages: tuple[str, ...] | None = None,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
+    """Pipeline stage: documents stay whose predicted language is one of ``languages`` (null: all that were learned)
+    and has at least ``least_share`` of their letters.
 
-    The model learns from the stage's own documents; where none has a
-    language, whether there is a letter decides alone.
+    So documents without a letter go (language ``und``), and those that mix
+    languages too much. The model learns from the stage's own documents; where
+    none has a language, whether there is a letter decides alone.
     """
     model = train(docs)
     if not model.languages:
         model = Model(["?"], np.zeros((BUCKETS, 1), np.float32), np.zeros((N_SCRIPTS, 1), bool))
-    return docs.filter(predicted(spark, model, F.col("text"))["lang_pred"] != UNKNOWN)
+    said = predicted(spark, model, F.col("text"))
+    known = F.lit(True) if languages is None else said["lang_pred"].isin(*languages)
+    return docs.filter((said["lang_pred"] != UNKNOWN) & (said["score"] >= least_share) & known)

@@ -42,6 +42,26 @@ def test_spans_of_mixed_text(model):
     assert text[spans[2][0] : spans[2][1]] == RU
 
 
+@pytest.mark.parametrize("limit", [1, 30, 200, 1 << 18])
+def test_long_texts_in_slices_equal_whole_ones(model, limit):
+    for text in (f"{EN}. {DE}! {RU} " * 8, RU, "日本" * 300 + "。", "", "a" * 400, "a\u0301" * 200 + " dog"):
+        words = li.words_of([text])
+        assert "".join(li.text_slices(text, limit)) == text
+        if text:
+            got, lengths = model.long_labels(text, limit=limit)
+            assert got.tolist() == model.labels(words).tolist() and lengths.tolist() == words.lengths.tolist()
+
+
+def test_the_stage_rejects_by_prediction(spark, monkeypatch):
+    """Whole texts of one language stay; of three languages in like parts none has half of the letters."""
+    rows = [(i, t, x) for i, (t, x) in enumerate([(EN, "en"), (DE, "de"), (RU, "ru")] * 5)]
+    mixed = f"{EN[:60]} {DE[:60]} {RU}"
+    docs = spark.createDataFrame([*rows, (90, mixed, None), (91, "12", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in li.keep_known(spark, docs).collect()} == set(range(15))
+    assert {r.doc_id for r in li.keep_known(spark, docs, languages=("de",)).collect()} == {1, 4, 7, 10, 13}
+    assert {r.doc_id for r in li.keep_known(spark, docs, least_share=0.1).collect()} == {*range(15), 90}
+
+
 def test_words_are_runs_of_letters():
     words = li.words_of(["Don't 12 été", None, "́ 7", "日本 x"])
     assert words.per_text.tolist() == [3, 0, 0, 2]

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accordant.llm import byte_bpe, decontaminate, quality, simhash
+from accordant.llm import byte_bpe, decontaminate, language_id, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,8 +16,10 @@ def test_stages_and_their_order():
 def test_run_equals_a_plain_version(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
-    # language ID: all with a letter stay
-    left = {k: t for k, t in docs.items() if any(c.isalpha() for c in t or "")}
+    # language ID: one text at a time by the model of these documents; what mixes languages too much goes
+    model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    said = {k: model.predict([t]) for k, t in docs.items()}
+    left = {k: t for k, t in docs.items() if any(c.isalpha() for c in t or "") and said[k][1][0] >= 0.5}
     frame = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin(list(left)))
     # quality: by the scores of trees from the same rows
     trees = quality.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
