@@ -6,9 +6,12 @@ stored fingerprint of the key, the place of the key's first record, and how
 many records it has. A lookup hashes the key, compares the fingerprint and
 reads one byte range: constant time, whatever the shard holds.
 
-File: magic, one JSON line (dtype, counts, byte lengths of the sections), then
-the sections ids, lengths, keys, mphf words, mphf ranks, fingerprints, firsts
-and repeats.
+File: magic, the sections ids, lengths, keys, mphf words, mphf ranks,
+fingerprints, firsts and repeats, then a JSON line (dtype, counts, byte lengths
+of the sections), its length and the magic again. Ids go to the file as they
+come; a task holds keys and lengths of one shard, and begins another after
+``SHARD_BYTES`` of ids. Which shard has which key is a table, and so are the
+shards' sizes; reading joins the two and goes through each shard's index.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,14 +27,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from accordant.llm.common import filesystem, slices, table, workspace, write_file
+from accordant.llm.common import SLICE_ROWS, filesystem, slices, table, workspace, written
 
 MAGIC = b"ACCTOK1\n"
 END_ID = 1
+#: Bytes of ids after which a task begins another shard, and that are read at once.
+SHARD_BYTES, READ_BYTES = 64 << 20, 4 << 20
 #: Distinct words whose ids a worker remembers at most; the memory is then emptied.
 REMEMBERED_WORDS = 500_000
 #: Bits of a level of the hash for each key that is left.
@@ -93,68 +99,112 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 1_000) >> np.uint64(32)).astype("<u4")
 
 
-SECTIONS = (("ids", None), ("lengths", "<u4"), ("keys", "<i8"), ("words", "<u8"), ("ranks", "<i8"), ("fingerprints", "<u4"), ("firsts", "<i8"), ("repeats", "<u4"))
+SECTIONS = (
+    ("ids", None), ("lengths", "<u4"), ("keys", "<i8"), ("words", "<u8"),
+    ("ranks", "<i8"), ("fingerprints", "<u4"), ("firsts", "<i8"), ("repeats", "<u4"),
+)
 
 
-def shard_bytes(keys: np.ndarray, lengths: np.ndarray, ids: list[bytes], dtype: str) -> Iterator[bytes]:
-    """A shard file. Keys ascend; the records of a repeated key lie together."""
-    distinct, first, repeats = np.unique(keys, return_index=True, return_counts=True)
-    mph = MinimalPerfectHash.build(distinct)
-    rank = mph(distinct)
-    place = np.empty(len(distinct), np.int64)
-    place[rank] = np.arange(len(distinct))
-    parts = {"lengths": lengths, "keys": keys, "words": mph.words, "ranks": mph.ranks, "fingerprints": fingerprints(distinct)[place], "firsts": first[place], "repeats": repeats[place]}
-    raw = {name: np.ascontiguousarray(parts[name], kind).tobytes() for name, kind in SECTIONS if kind}
-    head = {"dtype": dtype, "documents": len(keys), "levels": mph.levels, "bytes": {"ids": sum(map(len, ids))} | {k: len(v) for k, v in raw.items()}}
-    line = json.dumps(head).encode() + b"\n"
-    yield MAGIC + len(line).to_bytes(8, "little") + line
-    yield from ids
-    for name, kind in SECTIONS:
-        if kind:
-            yield raw[name]
+class ShardWriter:
+    """A shard file that is written record by record, under a name of its own until it is whole.
+
+    Keys ascend; the records of a repeated key lie together.
+    """
+
+    def __init__(self, uri: str, dtype: str):
+        self.dtype, self.width = dtype, np.dtype(dtype).itemsize
+        self.fs, self.path = filesystem(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.own)
+        self.out.write(MAGIC)
+        self.keys: list[int] = []
+        self.lengths: list[int] = []
+        self.size = 0
+
+    def add(self, key: int, ids: bytes) -> None:
+        self.out.write(ids)
+        self.keys.append(key)
+        self.lengths.append(len(ids) // self.width)
+        self.size += len(ids)
+
+    def close(self) -> np.ndarray:
+        """Write the index and name the file; its distinct keys."""
+        distinct, first, repeats = np.unique(np.array(self.keys, np.int64), return_index=True, return_counts=True)
+        mph = MinimalPerfectHash.build(distinct)
+        place = np.empty(len(distinct), np.int64)
+        place[mph(distinct)] = np.arange(len(distinct))
+        parts = {
+            "lengths": self.lengths, "keys": self.keys, "words": mph.words, "ranks": mph.ranks,
+            "fingerprints": fingerprints(distinct)[place], "firsts": first[place], "repeats": repeats[place],
+        }
+        raw = {name: np.ascontiguousarray(parts[name], kind).tobytes() for name, kind in SECTIONS if kind}
+        sizes = {"ids": self.size} | {k: len(v) for k, v in raw.items()}
+        head = {"dtype": self.dtype, "documents": len(self.keys), "levels": mph.levels, "bytes": sizes}
+        line = json.dumps(head).encode() + b"\n"
+        for name, kind in SECTIONS:
+            if kind:
+                self.out.write(raw[name])
+        self.out.write(line + len(line).to_bytes(8, "little") + MAGIC)
+        self.out.close()
+        self.fs.move(self.own, self.path)
+        return distinct
 
 
 class Shard:
     """A shard file opened for keyed reads; only the index is held in memory."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = filesystem(uri)
-        with self.fs.open_input_file(self.path) as f:
-            if f.read(len(MAGIC)) != MAGIC:
-                raise ValueError(f"{uri} is no token shard")
-            size = int.from_bytes(f.read(8), "little")
-            self.head = json.loads(f.read(size))
-            at = self.ids_at = len(MAGIC) + 8 + size
-            for name, kind in SECTIONS:
-                n = self.head["bytes"][name]
-                if kind:
-                    f.seek(at)
-                    setattr(self, name, np.frombuffer(f.read(n), kind))
-                at += n
+        fs, path = filesystem(uri)
+        self.uri, self.file = uri, fs.open_input_file(path)
+        end = self.file.size()
+        tail = len(MAGIC) + 8
+        if end < len(MAGIC) + tail or self._read(end - len(MAGIC), len(MAGIC)) != MAGIC or self._read(0, len(MAGIC)) != MAGIC:
+            raise ValueError(f"{uri} is no token shard")
+        size = int.from_bytes(self._read(end - tail, 8), "little")
+        self.head = json.loads(self._read(end - tail - size, size))
+        at = self.ids_at = len(MAGIC)
+        for name, kind in SECTIONS:
+            n = self.head["bytes"][name]
+            if kind:
+                setattr(self, name, np.frombuffer(self._read(at, n), kind))
+            at += n
         self.width = np.dtype(self.head["dtype"]).itemsize
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths.astype(np.int64))))
         self.mph = MinimalPerfectHash(self.head["levels"], self.words, self.ranks)
 
-    def records(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(key, tokens before it in the shard, ids) of each record, a bounded read at a time."""
-        with self.fs.open_input_file(self.path) as f:
-            f.seek(self.ids_at)
-            for key, at, n in zip(self.keys.tolist(), self.offsets.tolist(), self.lengths.tolist(), strict=False):
-                yield key, at, np.frombuffer(f.read(n * self.width), self.head["dtype"])
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the hash and the stored fingerprints: each key's first record, and how many it has (0 if the shard hasn't the key)."""
+        rank = self.mph(keys)
+        found = np.flatnonzero(rank >= 0)
+        found = found[self.fingerprints[rank[found]] == fingerprints(keys[found])]
+        found = found[self.keys[self.firsts[rank[found]]] == keys[found]]
+        first, repeats = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first[found], repeats[found] = self.firsts[rank[found]], self.repeats[rank[found]]
+        return first, repeats
+
+    def records(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(tokens before it in the shard, ids) of records by number; such as lie together are read together, a bounded part at a time."""
+        at, ends = self.offsets[numbers], self.offsets[numbers + 1]
+        cut = 0
+        while cut < len(numbers):
+            stop = cut + 1
+            while stop < len(numbers) and at[stop] == ends[stop - 1] and (ends[stop] - at[cut]) * self.width <= READ_BYTES:
+                stop += 1
+            base = int(at[cut])
+            raw = np.frombuffer(self._read(self.ids_at + base * self.width, int(ends[stop - 1] - base) * self.width), self.head["dtype"])
+            for a, b in zip(at[cut:stop].tolist(), ends[cut:stop].tolist(), strict=True):
+                yield a, raw[a - base : b - base]
+            cut = stop
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of each record of a key; none if the shard hasn't the key."""
-        one = np.array([key], np.int64)
-        rank = int(self.mph(one)[0])
-        if rank < 0 or self.fingerprints[rank] != fingerprints(one)[0] or self.keys[self.firsts[rank]] != key:
-            return []
-        first = int(self.firsts[rank])
-        out = []
-        with self.fs.open_input_file(self.path) as f:
-            for i in range(first, first + int(self.repeats[rank])):
-                f.seek(self.ids_at + int(self.offsets[i]) * self.width)
-                out.append(np.frombuffer(f.read(int(self.lengths[i]) * self.width), self.head["dtype"]))
-        return out
+        first, repeats = self.places(np.array([key], np.int64))
+        return [ids for _, ids in self.records(np.arange(first[0], first[0] + repeats[0]))]
 
 
 class Encoder:
@@ -166,9 +216,14 @@ class Encoder:
     letters, digits and marks are split here by the same rule and only new
     pre-tokens go to the library's merges, many at once: every pre-token ends
     in just one id that ends a word. Any other part goes to the whole
-    tokenizer.
+    tokenizer, and so do whole texts if the file's rules aren't these.
     """
 
+    #: What a tokenizer file must have for that (fixed values).
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
     #: Characters whose normal form is their own and whose lower case is one such character.
     PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
     #: The tokenizer's own pre-tokens (a fixed value), written for these characters.
@@ -178,6 +233,8 @@ class Encoder:
     def __init__(self, path: str, dtype: str):
         self.dtype = dtype
         self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.splits = self.is_known(json.load(f))
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
@@ -189,6 +246,19 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
 
+    @classmethod
+    def is_known(cls, rules: dict) -> bool:
+        """Whether a tokenizer's rules are those that texts are split by here."""
+        split = {"type": "Split", "pattern": {"Regex": cls.SPLIT}, "behavior": "Removed", "invert": True}
+        return (
+            rules["normalizer"] == {"type": "Sequence", "normalizers": cls.NORMALIZER}
+            and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, cls.BYTES]}
+            and rules["post_processor"] is None
+            and rules["model"]["type"] == "BPE"
+            and rules["model"]["end_of_word_suffix"] == "</w>"
+            and all(t["content"].startswith("<|") and t["special"] for t in rules["added_tokens"])
+        )
+
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
@@ -219,6 +289,8 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Ids of each text and ``end_id``, as bytes."""
+        if not self.splits:
+            return [self._bytes([*e.ids, end_id]) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         for known in (self.parts, self.pre_tokens):
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
@@ -237,73 +309,113 @@ def encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, dtype)
 
 
-def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None) -> list[dict]:
-    """Encode documents and write shard files in ascending key order; one dict a shard, in order.
+INDEX = pa.schema([("name", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("key", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())])
+INDEX_DDL = "name string, part int, no int, key bigint, tokens bigint, documents bigint"
 
-    A null text counts as empty. A null key sorts first and is kept under
-    NO_KEY. Repeated keys are all kept. Other columns are left out. Texts are
-    dealt to ranges of (key, text's hash) and encoded where they arrive, so
-    ids are never shuffled and a hot key spreads over shards. What comes to
-    the driver is a row a shard.
+
+def write_shards(
+    docs: DataFrame,
+    folder: str,
+    key: str = "doc_id",
+    text: str = "text",
+    tokenizer_path: str | None = None,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """Encode documents and write shard files in ascending key order; the table of what is where, written.
+
+    A row a shard has its ``tokens`` and ``documents``, in the order of (part,
+    no); a row a key of a shard has ``key`` and neither. A null text counts as
+    empty. A null key sorts first and is kept under NO_KEY. Repeated keys are
+    all kept. Other columns are left out. Texts are dealt to ranges of (key,
+    text's hash) and encoded where they arrive, so ids are never shuffled and a
+    hot key spreads over shards. Nothing comes to the driver.
     """
     path = tokenizer_path or default_tokenizer()
     wide = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), END_ID + 1) > 65_536
     dtype = "<u4" if wide else "<u2"
-    width = np.dtype(dtype).itemsize
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(NO_KEY))).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_KEY)))
+    rows = docs.select(own.alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     ordered = rows.repartitionByRange(parts, "_key", "_h").sortWithinPartitions("_key", "_h").select("_key", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lengths, ids = [], [], []
+        part, no, shard = TaskContext.get().partitionId(), 0, None
+
+        def told() -> pa.RecordBatch:
+            nonlocal no, shard
+            keys = shard.close()
+            n = len(keys) + 1
+            none = pa.nulls(n - 1, pa.int64())
+            columns = [
+                pa.array([shard.path.rpartition("/")[2]] * n), pa.array([part] * n, pa.int32()), pa.array([no] * n, pa.int32()),
+                pa.array([None, *keys.tolist()], pa.int64()),
+                pa.concat_arrays([pa.array([shard.size // shard.width], pa.int64()), none]),
+                pa.concat_arrays([pa.array([len(shard.keys)], pa.int64()), none]),
+            ]
+            no, shard = no + 1, None
+            return pa.RecordBatch.from_arrays(columns, schema=INDEX)
+
         for batch in slices(batches):
-            keys.append(batch.column(0).to_numpy())
-            for x in encoder(path, dtype).encode(batch.column(1).to_pylist()):
-                lengths.append(len(x) // width)
-                ids.append(x)
-        if keys:
-            part = TaskContext.get().partitionId()
-            name = f"shard-{part:06d}.tok"
-            all_keys = np.concatenate(keys)
-            write_file(f"{folder}/{name}", shard_bytes(all_keys, np.array(lengths), ids, dtype))
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "documents": [len(lengths)], "tokens": [sum(lengths)], "first_key": [int(all_keys[0])], "last_key": [int(all_keys[-1])]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
-
-    found = ordered.mapInArrow(write, "part int, name string, documents bigint, tokens bigint, first_key bigint, last_key bigint").collect()
-    return [r.asDict() for r in sorted(found, key=lambda r: r.part)]
-
-
-def read_shards(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record, from the files alone."""
-    bases, total = [], 0
-    for s in shards:
-        bases.append((f"{folder}/{s['name']}", total))
-        total += s["tokens"]
+            for k, ids in zip(batch.column(0).to_pylist(), encoder(path, dtype).encode(batch.column(1).to_pylist()), strict=True):
+                if shard is None:
+                    shard = ShardWriter(f"{folder}/shard-{part:06d}-{no:05d}.tok", dtype)
+                shard.add(k, ids)
+                if shard.size >= shard_bytes:
+                    yield told()
+        if shard is not None:
+            yield told()
+
+    return written(ordered.mapInArrow(write, INDEX_DDL), "token-index")
+
+
+def read_shards(index: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record.
+
+    Each key of the index is looked up in its shard, through hash, fingerprint
+    and place; a key that isn't found raises an error.
+    """
+    before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a shard: a window without keys over these few rows is no bottleneck.
+    shards = index.filter("tokens IS NOT NULL").select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    wanted = index.filter("tokens IS NULL").select("name", "key").join(shards, "name").select("name", "base", "key")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                uri, base = bases[i]
-                rows: list[tuple] = []
-                for key, at, ids in Shard(uri).records():
-                    rows.append((None if key == NO_KEY else key, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-
-    n = len(bases)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
-def lookup(shards: list[dict], folder: str, key: int | None) -> list[np.ndarray]:
-    """Ids of each record of a key, from the one or few shards whose range holds it."""
+            if not batch.num_rows:
+                continue
+            names, bases, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                uri = f"{folder}/{names[a]}"
+                if shard is None or shard.uri != uri:
+                    shard = Shard(uri)
+                first, repeats = shard.places(keys[a:b])
+                if not repeats.all():
+                    raise KeyError(f"{uri} hasn't the key {keys[a:b][repeats == 0][0]}")
+                numbers = np.repeat(first - np.cumsum(repeats) + repeats, repeats) + np.arange(repeats.sum())
+                told = np.repeat(keys[a:b], repeats).tolist()
+                for at in range(0, len(numbers), SLICE_ROWS):
+                    found = list(shard.records(numbers[at : at + SLICE_ROWS]))
+                    columns = [
+                        [None if k == NO_KEY else k for k in told[at : at + SLICE_ROWS]],
+                        [bases[a] + place for place, _ in found],
+                        [len(ids) for _, ids in found],
+                        [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in found],
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return wanted.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def lookup(index: DataFrame, folder: str, key: int | None) -> list[np.ndarray]:
+    """Ids of each record of a key, from the one or few shards that have it."""
     k = int(NO_KEY) if key is None else key
-    return [ids for s in shards if s["first_key"] <= k <= s["last_key"] for ids in Shard(f"{folder}/{s['name']}").get(k)]
+    shards = index.filter(F.col("tokens").isNull() & (F.col("key") == k)).orderBy("part", "no").select("name").toLocalIterator()
+    return [ids for r in shards for ids in Shard(f"{folder}/{r.name}").get(k)]
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "tokens")
-    return read_shards(spark, folder, write_shards(table(spark, sf_dir, "documents"), folder))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), folder), folder)

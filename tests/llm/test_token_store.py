@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -33,14 +35,15 @@ def test_hash_is_minimal_and_perfect(n):
     assert sorted(mph(keys).tolist()) == list(range(len(keys)))
 
 
-def test_files_round_trip(spark):
+@pytest.mark.parametrize("shard_bytes", [1, 500, 64 << 20])
+def test_files_round_trip(spark, shard_bytes):
     rng = np.random.default_rng(3)
     rows = [(int(i), "word " * int(n) + f"nr {i}") for i, n in zip(rng.permutation(300) * 7, rng.integers(0, 30, 300), strict=True)]
     rows += [(None, "no id"), (None, None), (7, "twice"), (7, "twice"), (14, None), (21, "")] + [(35, f"hot {i}") for i in range(40)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, _text string")
     folder = workspace(spark, "t")
-    shards = ts.write_shards(docs, folder)
-    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in ts.read_shards(spark, folder, shards).collect()), key=lambda r: r[1])
+    index = ts.write_shards(docs, folder, shard_bytes=shard_bytes)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in ts.read_shards(index, folder).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
     at = 0
     for r in got:
@@ -48,12 +51,43 @@ def test_files_round_trip(spark):
         at += r[2]
     want = sorted((k is not None, k, zlib.crc32(np.array([*TOK.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for k, t in rows)
     assert sorted((r[0] is not None, r[0], r[3]) for r in got) == want
-    assert len(ts.lookup(shards, folder, 35)) == 41 and len(ts.lookup(shards, folder, None)) == 2
-    assert ts.lookup(shards, folder, 36) == []
-    assert ts.lookup(shards, folder, 14)[0].tolist()[-1] == 1
+    assert len(ts.lookup(index, folder, 35)) == 41 and len(ts.lookup(index, folder, None)) == 2
+    assert ts.lookup(index, folder, 36) == []
+    assert ts.lookup(index, folder, 14)[0].tolist()[-1] == 1
+    shards = index.filter("tokens is not null")
+    assert shards.agg({"documents": "sum"}).first()[0] == len(rows) and (shards.count() > 100) == (shard_bytes == 1)
+
+
+def test_rows_come_through_the_index(spark):
+    """A shard whose stored fingerprints or places are damaged gives errors and not the same rows."""
+    folder = workspace(spark, "t")
+    index = ts.write_shards(spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string"), folder)
+    path = next(Path(folder.removeprefix("file://")).glob("*.tok"))
+    shard, raw = ts.Shard(f"{folder}/{path.name}"), path.read_bytes()
+    at = len(ts.MAGIC) + sum(shard.head["bytes"][k] for k in ("ids", "lengths", "keys", "words", "ranks"))
+    size = shard.head["bytes"]["fingerprints"]
+    path.write_bytes(raw[:at] + bytes(255 - x for x in raw[at : at + size]) + raw[at + size :])
+    with pytest.raises(Exception, match="hasn't the key"):
+        ts.read_shards(index, folder).collect()
+    path.write_bytes(raw[:-3])
+    with pytest.raises(Exception, match="no token shard"):
+        ts.read_shards(index, folder).collect()
+
+
+def test_another_tokenizer_is_used_whole(tmp_path):
+    rules = json.loads(TOK.to_str())
+    assert ts.Encoder.is_known(rules)
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    assert not ts.Encoder.is_known(rules)
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    text = "Some TEXT with Capitals"
+    got = np.frombuffer(ts.Encoder(str(path), "<u2").encode([text])[0], "<u2").tolist()
+    assert got == [*Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids, 1]
+    assert got != np.frombuffer(ENC.encode([text])[0], "<u2").tolist()
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = workspace(spark, "t")
-    assert ts.read_shards(spark, folder, ts.write_shards(docs, folder)).count() == 0
+    assert ts.read_shards(ts.write_shards(docs, folder), folder).count() == 0
