@@ -2,8 +2,9 @@
 
 ``pack`` stores a payload as uncompressed video of 8 by 8 pixels of 3 bytes, so
 that each sample of 192 bytes is a frame. ``inspect`` walks the nested boxes of
-any ISO media bytes and decodes the sample tables into codec, duration and the
-byte ranges of keyframes; it never looks at sample bytes. Each document is one
+any ISO media bytes and decodes each track's sample tables into codec, duration
+and the byte ranges of keyframes; it never looks at sample bytes. Fragmented
+files, whose samples lie outside these tables, are refused. Each document is one
 value, so every step is a map over rows: no shuffle, and a lost executor's
 slices are computed again.
 """
@@ -103,6 +104,7 @@ def walk(media: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
 
 @dataclass(frozen=True)
 class Track:
+    handler: str  # vide, soun and so on
     codec: str
     width: int
     height: int
@@ -127,32 +129,60 @@ def _sample_offsets(sizes: np.ndarray, chunk_offsets: np.ndarray, runs: np.ndarr
     return chunk_offsets.astype(np.int64)[chunk_of] + before - before[first_sample][chunk_of]
 
 
-def inspect(media: bytes) -> Track:
-    """Tables of the first track. Bytes without a track with sample tables raise ValueError."""
-    tables: dict[bytes, tuple[int, int]] = {}
+def tracks(media: bytes) -> list[Track]:
+    """Every track of a file, each from its own tables; one without sample tables, or a fragmented file, raises ValueError."""
+    found: list[dict[bytes, tuple[int, int]]] = []
     for path, at, stop in walk(media):
-        if path[:2] == (b"moov", b"trak"):
-            tables.setdefault(path[-1], (at, stop))
+        if path == (b"moof",) or path == (b"moov", b"mvex"):
+            raise ValueError("the samples of a fragmented file aren't in its tables")
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (at, stop))
+    return [_track(media, tables) for tables in found]
+
+
+def inspect(media: bytes, handler: str | None = None) -> Track:
+    """The first track of a handler; without one the first video track, else the first of all. ValueError if there is none."""
+    every = tracks(media)
+    picked = [t for t in every if t.handler == (handler or "vide")] or ([] if handler else every)
+    if not picked:
+        raise ValueError("no track with sample tables")
+    return picked[0]
+
+
+def _track(media: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
     missing = [k for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in tables]
     if missing or not tables.keys() & {b"stco", b"co64"}:
         raise ValueError(f"no track with sample tables: {missing or 'no chunk offsets'}")
 
+    def fields(kind: bytes, form: str, skip: int) -> tuple:
+        at, stop = tables[kind]
+        if at + skip + struct.calcsize(form) > stop:
+            raise ValueError(f"box {kind!r} is too short")
+        return struct.unpack_from(form, media, at + skip)
+
     def numbers(kind: bytes, dtype: str, skip: int = 8, columns: int = 1) -> np.ndarray:
-        at, _ = tables[kind]
-        count = struct.unpack_from(">I", media, at + skip - 4)[0] * columns
+        at, stop = tables[kind]
+        count = fields(kind, ">I", skip - 4)[0] * columns
+        if at + skip + count * np.dtype(dtype).itemsize > stop:
+            raise ValueError(f"box {kind!r} is too short for its entries")
         return np.frombuffer(media, dtype, count, at + skip)
 
-    at, _ = tables[b"mdhd"]
-    timescale, duration = struct.unpack_from(">IQ", media, at + 20) if media[at] == 1 else struct.unpack_from(">II", media, at + 12)
-    entry = tables[b"stsd"][0] + 8
-    codec = media[entry + 4 : entry + 8].decode("latin-1")
-    width, height = struct.unpack_from(">HH", media, entry + 32) if struct.unpack_from(">I", media, entry)[0] >= 36 else (0, 0)
-    same, count = struct.unpack_from(">II", media, tables[b"stsz"][0] + 4)
+    timescale, duration = fields(b"mdhd", ">IQ", 20) if fields(b"mdhd", ">B", 0)[0] == 1 else fields(b"mdhd", ">II", 12)
+    entry_size, codec = fields(b"stsd", ">I4s", 8)
+    handler = fields(b"hdlr", ">4s", 8)[0].decode("latin-1") if b"hdlr" in tables else ""
+    width, height = fields(b"stsd", ">HH", 40) if entry_size >= 36 and handler in ("", "vide") else (0, 0)
+    same, count = fields(b"stsz", ">II", 4)
     sizes = np.full(count, same, np.int64) if same else numbers(b"stsz", ">u4", 12).astype(np.int64)
     chunk_offsets = numbers(b"co64", ">u8") if b"co64" in tables else numbers(b"stco", ">u4")
     offsets = _sample_offsets(sizes, chunk_offsets, numbers(b"stsc", ">u4", 8, 3).reshape(-1, 3))
     keyframes = numbers(b"stss", ">u4").astype(np.int64) - 1 if b"stss" in tables else np.arange(count)
-    return Track(codec, width, height, timescale, duration, offsets, sizes, keyframes)
+    if len(keyframes) and (keyframes.min() < 0 or keyframes.max() >= count):
+        raise ValueError("a keyframe is no sample of its track")
+    if len(offsets) and (offsets + sizes).max() > len(media):
+        raise ValueError("a sample lies outside the file")
+    return Track(handler, codec.decode("latin-1"), width, height, timescale, duration, offsets, sizes, keyframes)
 
 
 def payload_of(media: bytes, track: Track) -> bytes:
@@ -180,18 +210,19 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def described(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Codec, size, duration and keyframe byte ranges of media columns, with digests of payload and media.
 
-    Null media give nulls; bytes that aren't such a container fail the job, as the column is then not what it says.
+    They are those of the track that ``inspect`` picks; ``n_tracks`` tells how many there are. Null media give nulls; bytes that aren't such a container fail the job, as the column is then not what it says.
     """
     kind = media.schema[key].dataType.simpleString()
-    schema = pa.schema([("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframe_ranges", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+    schema = pa.schema([("n_tracks", pa.int32()), ("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframe_ranges", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
 
     def row(x: bytes | None) -> dict:
         if x is None:
             return {}
-        track = inspect(x)
+        every = tracks(x)
+        track = next((t for t in every if t.handler == "vide"), every[0] if every else None) or inspect(x)
         payload = payload_of(x, track)
         return {
-            "codec": track.codec, "width": track.width, "height": track.height, "duration_s": track.duration / track.timescale if track.timescale else None, "n_samples": len(track.sizes),
+            "n_tracks": len(every), "codec": track.codec, "width": track.width, "height": track.height, "duration_s": track.duration / track.timescale if track.timescale else None, "n_samples": len(track.sizes),
             "keyframe_ranges": [{"start": a, "end": b} for a, b in track.keyframe_ranges()], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(x), "media_sha256": hashlib.sha256(x).hexdigest(),
         }
 
@@ -200,7 +231,7 @@ def described(media: DataFrame, key: str = "doc_id") -> DataFrame:
             out = pa.RecordBatch.from_pylist([row(x) for x in batch.column(2).to_pylist()], schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out.columns], ["_key", "n_bytes", *schema.names])
 
-    ddl = "codec string, width int, height int, duration_s double, n_samples bigint, keyframe_ranges array<struct<start: bigint, end: bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+    ddl = "n_tracks int, codec string, width int, height int, duration_s double, n_samples bigint, keyframe_ranges array<struct<start: bigint, end: bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
     return media.select(F.col(key).alias("_key"), "n_bytes", "media").mapInArrow(run, f"_key {kind}, n_bytes bigint, {ddl}").withColumnRenamed("_key", key)
 
 
