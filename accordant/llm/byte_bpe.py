@@ -88,11 +88,24 @@ def chunked_pieces(rows: DataFrame, key: list[str], text: str, pattern: str, chu
     cut = spread.mapInArrow(lambda b: _pretokenised(b, pattern, chunk, overlap), schema)
     order = Window.partitionBy(*key).orderBy("_no")
     ended = cut.withColumn("_last", F.lead("_no").over(order).isNull()).withColumn("_end", F.array_min(F.array_intersect("_right", F.lead("_left").over(order))))
-    placed = ended.withColumn("_from", F.coalesce(F.lag("_end").over(order), F.lit(0))).withColumn("_whole", F.max(~F.col("_last") & F.col("_end").isNull()).over(Window.partitionBy(*key)))
-    pieces = placed.filter(~F.col("_whole")).select(*key, "_no", F.substring(F.col("_text"), (F.col("_from") - F.col("_at") + 1).cast("int"), F.when(F.col("_last"), F.length("_text")).otherwise(F.col("_end") - F.col("_from")).cast("int")).alias("_text"))
+    every = Window.partitionBy(*key)
+    placed = ended.withColumns(
+        {
+            "_from": F.coalesce(F.lag("_end").over(order), F.lit(0)),
+            "_whole": F.max(~F.col("_last") & F.col("_end").isNull()).over(every),
+        }
+    )
+    size = F.when(F.col("_last"), F.length("_text")).otherwise(F.col("_end") - F.col("_from")).cast("int")
+    cut_out = F.substring(F.col("_text"), (F.col("_from") - F.col("_at") + 1).cast("int"), size)
+    # A text that lacks a common boundary is put together again: its chunks without their overlaps are one piece.
     own = F.when(F.col("_last"), F.col("_text")).otherwise(F.substring("_text", 1, chunk))
-    whole = placed.filter("_whole").groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_no", own.alias("t")))), lambda x: x["t"]), "").alias("_text"))
-    return pieces.unionByName(whole.select(*key, F.lit(0).alias("_no"), "_text"))
+    parts = placed.select(
+        *key,
+        F.when(F.col("_whole"), 0).otherwise(F.col("_no")).alias("_piece"),
+        F.struct("_no", F.when(F.col("_whole"), own).otherwise(cut_out).alias("t")).alias("_part"),
+    )
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("_part")), lambda x: x["t"]), "")
+    return parts.groupBy(*key, "_piece").agg(joined.alias("_text")).withColumnRenamed("_piece", "_no")
 
 
 def encode(docs: DataFrame, key: list[str], text: str = "text", ranks_path: str | None = None, pattern: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
