@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +31,8 @@ FRAME_BYTES = 8_192
 FEED_BYTES = 4_096
 #: Bytes of payload after which a task begins another archive file.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that archives are read in at most; each reads its files one after another.
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -130,36 +133,55 @@ def _parse_plain(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def identified(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """key, url, payload, digest and refers_to (the key of the response, null for responses).
 
-    A key is "urn:page:<id>:<row>"; the row tells repeated ids apart, null ids
-    give an empty id and come last among equal payloads. A null html counts as
-    empty. Only digests are grouped; what is joined back is a row for each
-    digest that repeats.
+    A key is "urn:page:<id>:<copy>:<hash of the url>:<hash of the payload>", so
+    it is told by the row's own values and by no place in a scan. Rows that
+    agree in id, url and html are copies 0, 1 and so on of one of them: such
+    rows are counted, kept once and written as often as they were. A null html
+    or url counts as empty. Null ids give an empty id and come last among equal
+    payloads. Only ids and digests are grouped; what is joined back is a row
+    for each digest or row that repeats.
     """
     rows = pages.select(
-        F.col(page).cast("long").alias("_page"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
-    order = F.struct(F.col("_page").isNull().alias("none"), F.coalesce("_page", F.lit(0)).alias("page"), F.col("_row").alias("row"))
-    repeated = rows.filter(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("digest", "_first")
-    # Written first, so that its size is known when the join is planned: a small table is broadcast and pages aren't shuffled.
-    repeated = written(repeated, "warc-repeated")
-    name = lambda page_col, row_col: F.concat(F.lit("urn:page:"), F.coalesce(page_col.cast("string"), F.lit("")), F.lit(":"), row_col.cast("string"))
-    first_name: Column = name(F.when(~F.col("_first.none"), F.col("_first.page")), F.col("_first.row"))
-    joined = rows.join(repeated, "digest", "left")
-    return joined.select(name(F.col("_page"), F.col("_row")).alias("key"), "url", "payload", "digest", F.when(F.col("_first").isNotNull() & (F.col("_first.row") != F.col("_row")), first_name).alias("refers_to"))
-
-
-def write_archives(rows: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -> list[str]:
-    """Write archives of the rows of ``identified`` and return their names. A repeated task writes the same names again."""
+        F.col(page).cast("long").alias("_page"),
+        F.coalesce(F.col(url), F.lit("")).alias("url"),
+        F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
+    ).withColumn("digest", F.sha2("payload", 256))
+    same = ("_page", "url", "digest")
+    counted = written(rows.groupBy(*same, F.length("payload").alias("_bytes")).agg(F.count("*").alias("_copies")), "warc-rows")
+    order = F.struct(F.col("_page").isNull().alias("none"), F.coalesce("_page", F.lit(0)).alias("page"), F.col("url").alias("url"))
+    repeated = counted.filter(F.col("_bytes") >= min_bytes).groupBy("digest").agg(F.min(order).alias("_first"), F.sum("_copies").alias("_n"))
+    # Written first, so that sizes are known when joins are planned: small tables are broadcast and pages aren't shuffled.
+    repeated = written(repeated.filter("_n > 1").select("digest", "_first"), "warc-repeated")
+    again = written(counted.filter("_copies > 1").select(*(F.col(c).alias(f"_{c}") for c in same), "_copies"), "warc-again")
+    is_again = reduce(lambda x, y: x & y, (rows[c].eqNullSafe(again[f"_{c}"]) for c in same))
+    once = rows.join(again, is_again, "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    some = rows.join(again, is_again).select(*rows.columns, "_copies").dropDuplicates(list(same))
+    copies = some.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
+
+    def name(page_col: Column, copy: Column, url_col: Column) -> Column:
+        hashed = [F.lower(F.hex(F.xxhash64(url_col))), F.substring("digest", 1, 16)]
+        return F.concat_ws(":", F.lit("urn:page"), F.coalesce(page_col.cast("string"), F.lit("")), copy.cast("string"), *hashed)
+
+    joined = once.unionByName(copies).join(repeated, "digest", "left")
+    is_first = F.col("_first.page").eqNullSafe(F.coalesce("_page", F.lit(0))) & F.col("_first.none").eqNullSafe(F.col("_page").isNull())
+    is_first = is_first & F.col("_first.url").eqNullSafe(F.col("url")) & (F.col("_copy") == 0)
+    first = name(F.when(~F.col("_first.none"), F.col("_first.page")), F.lit(0), F.col("_first.url"))
+    refers_to = F.when(F.col("_first").isNotNull() & ~is_first, first)
+    return joined.select(name(F.col("_page"), F.col("_copy"), F.col("url")).alias("key"), "url", "payload", "digest", refers_to.alias("refers_to"))
+
+
+def write_archives(rows: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -> DataFrame:
+    """Write archives of the rows of ``identified``; the table of their names. A repeated task writes the same names again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, parts, size = TaskContext.get().partitionId(), [], [], 0
+        part, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def close() -> None:
-            nonlocal parts, size
-            name = f"part-{part:06d}-{len(names):04d}.warc.gz"
+        def close() -> pa.RecordBatch:
+            nonlocal number, parts, size
+            name = f"part-{part:06d}-{number:04d}.warc.gz"
             write_file(f"{folder}/{name}", iter(parts))
-            names.append(name)
-            parts, size = [], 0
+            number, parts, size = number + 1, [], 0
+            return pa.RecordBatch.from_pydict({"name": pa.array([name])})
 
         for batch in slices(batches):
             for key, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -167,40 +189,51 @@ def write_archives(rows: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -
                     parts.append(raw)
                     size += len(raw)
                 if size >= ARCHIVE_BYTES:
-                    close()
+                    yield close()
         if parts:
-            close()
-        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+            yield close()
+
+    return written(rows.mapInArrow(write, "name string"), "warc-names")
 
-    return sorted(r.name for r in rows.mapInArrow(write, "name string").collect())
+
+def _spread(names: DataFrame) -> DataFrame:
+    """Names of files dealt to tasks, about one each up to MOST_TASKS tasks."""
+    return names.repartition(max(1, min(MOST_TASKS, names.count())), "name")
 
 
 RECORD = pa.schema([("key", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("declared", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
 RECORD_DDL = "key string, type string, refers_to string, declared string, segment int, total bigint, block binary"
 
 
-def read_records(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+def read_records(names: DataFrame, folder: str) -> DataFrame:
     """A row a record; ``segment`` is null for records that aren't segmented, and a continuation's key is its origin's."""
-    n = len(names)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(_reader(folder, names), RECORD_DDL)
+    return _spread(names).mapInArrow(_reader(folder), RECORD_DDL)
 
 
-def _reader(folder: str, names: list[str]) -> Callable:
-    uris = [f"{folder}/{n}" for n in names]
+def _reader(folder: str) -> Callable:
     bare = lambda x: x[1:-1] if x else None
 
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), RECORD, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=RECORD)
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+        key = bare(f.get("warc-segment-origin-id")) or bare(f["warc-record-id"])
+        declared = f.get("warc-payload-digest", "").removeprefix("sha256:")
+        return key, f["warc-type"], bare(f.get("warc-refers-to")), declared, number and int(number), total and int(total), block
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
+            for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                for f, block in parse_archive(read_file(uris[i])):
-                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                    rows.append((bare(f.get("warc-segment-origin-id")) or bare(f["warc-record-id"]), f["warc-type"], bare(f.get("warc-refers-to")), f.get("warc-payload-digest", "").removeprefix("sha256:"), number and int(number), total and int(total), block))
+                for f, block in parse_archive(read_file(f"{folder}/{name}")):
+                    rows.append(row(f, block))
                     if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+                        yield told(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+                    yield told(rows)
 
     return read
 
@@ -250,10 +283,10 @@ def payloads(records: DataFrame) -> DataFrame:
     return ready.mapInArrow(_digested, SEEN_DDL).select(*SEEN)
 
 
-def read_payloads(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+def read_payloads(names: DataFrame, folder: str) -> DataFrame:
     """``payloads`` of archives that are read once: whole records give their digests there and then, only segments go on to be put together."""
-    n, read = len(names), _reader(folder, names)
-    seen = written(spark.range(0, n, 1, max(1, n)).mapInArrow(lambda b: _digested(read(b)), SEEN_DDL), "warc-records")
+    read = _reader(folder)
+    seen = written(_spread(names).mapInArrow(lambda b: _digested(read(b)), SEEN_DDL), "warc-records")
     whole = seen.filter(F.col("segment").isNull()).select(*SEEN)
     return whole.unionByName(payloads(reassembled(seen.filter(F.col("segment").isNotNull()))))
 
@@ -271,7 +304,7 @@ def pages_of(seen: DataFrame) -> DataFrame:
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "warc")
     names = write_archives(identified(table(spark, sf_dir, "pages")), folder)
-    return pages_of(read_payloads(spark, folder, names))
+    return pages_of(read_payloads(names, folder))
 
 
 ORACLE = """

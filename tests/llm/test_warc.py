@@ -11,7 +11,7 @@ def through(spark, rows, segment=64):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
     folder = workspace(spark, "w")
     names = warc.write_archives(warc.identified(pages), folder, segment)
-    one, two = (warc.pages_of(x) for x in (warc.read_payloads(spark, folder, names), warc.payloads(warc.reassembled(warc.read_records(spark, folder, names)))))
+    one, two = (warc.pages_of(x) for x in (warc.read_payloads(names, folder), warc.payloads(warc.reassembled(warc.read_records(names, folder)))))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     return one
 
@@ -35,6 +35,20 @@ def test_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_rows_that_agree_in_all_columns(spark):
+    """Of equal rows one is the response and the others revisit it; equal small ones are all responses. Keys are unique and the same in each run."""
+    big = "y" * 300
+    rows = [(1, "u", big)] * 5 + [(2, "u", big), (None, None, big), (None, None, big), (3, "u", "s"), (3, "u", "s"), (None, None, None), (None, None, None)]
+    got = through(spark, rows).collect()
+    assert len(got) == len(rows)
+    large = [r for r in got if r.payload_bytes == 300]
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in large) == [(0, "revisit", 1)] * 2 + [(1, "response", 0)] + [(1, "revisit", 1)] * 4 + [(2, "revisit", 1)]
+    assert [r.record_type for r in got if r.payload_bytes < 300] == ["response"] * 4
+    make = lambda r, n: warc.identified(spark.createDataFrame(r, "page_id long, url string, html string").repartition(n))
+    keys = [sorted((r.key, str(r.refers_to)) for r in make(x, n).collect()) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert keys[0] == keys[1] and len({k for k, _ in keys[0]}) == len(rows)
+
+
 def test_empty_table(spark):
     assert through(spark, []).count() == 0
 
