@@ -37,9 +37,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="accordant-shared-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         _OWN.setdefault(spark.sparkContext.applicationId, found)

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_warc_segments": warc.ORACLE,
+    "op9_sharding": sharding.ORACLE,
     "op10_chat_formatting": chat_format.ORACLE,
 }
