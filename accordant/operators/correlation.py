@@ -57,6 +57,26 @@ def aligned(wide: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...]) -
     return numbered.withColumn("place", F.when(F.col("_usable"), F.sum(F.col("_usable").cast("int")).over(inside))).drop("_usable", "_begins")
 
 
+def prior_reuse(rows: DataFrame) -> DataFrame:
+    """One row a (track_id, prior_id) that more than one sequence has: n_frames, first_seq and last_seq.
+
+    A prior belongs to one frame; whichever channels are asked for, all rows count.
+    """
+    seen = rows.filter(F.col("prior_id").isNotNull()).groupBy("track_id", "prior_id")
+    told = seen.agg(F.countDistinct("seq").alias("n_frames"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return told.filter("n_frames > 1")
+
+
+#: Frames of a track that are retained.
+MAX_RETAINED_FRAMES = 65_536
+
+
+def retained(rows: DataFrame, frames: int = MAX_RETAINED_FRAMES) -> DataFrame:
+    """The rows of each track's newest ``frames`` sequences."""
+    newest = F.dense_rank().over(Window.partitionBy("track_id").orderBy(F.desc("seq")))
+    return rows.withColumn("_rank", newest).filter(F.col("_rank") <= frames).drop("_rank")
+
+
 def _all(xs: list[Column]) -> Column:
     out = xs[0]
     for x in xs[1:]:

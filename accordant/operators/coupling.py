@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.functions.special import bartlett_n_eff, fnv1a64, mix64, normal_quantile
@@ -126,3 +126,41 @@ def null_rates(spark: SparkSession, trials: int = 1_000, seed: int = 7) -> DataF
 
 def n_eff(phi: float) -> float:
     return bartlett_n_eff(NULL_WINDOW, phi)
+
+
+#: The slack of the sequential sums.
+SEQ_SLACK = 0.25
+
+
+def pointwise_gaussian_mi(a: Column, b: Column, r: Column) -> Column:
+    """Of standard values at correlation ``r``: the log ratio of the coupled to the independent Gaussian density, in nats."""
+    rest = 1.0 - r * r
+    told = -0.5 * F.ln(rest) - (r * r * (a * a + b * b) - 2.0 * r * a * b) / (2.0 * rest)
+    return F.when(rest <= 0.0, 0.0).otherwise(told)
+
+
+def sequential_cusums(pairs: DataFrame, reference: Column, slack: float = SEQ_SLACK) -> DataFrame:
+    """Rows (track_id, seq, x, y): of those after the reference, the sums S = max(0, S + (mean - stat) / sd - slack) of two statistics.
+
+    ``reference`` tells each track's rows that calibrate: means and deviations
+    of x, y, their product and their pointwise information are taken from these
+    and kept. A low statistic is what decoupling gives, so sums grow with it.
+    """
+    rows = pairs.withColumn("_cal", reference)
+    only = lambda c: F.when(F.col("_cal"), F.col(c))
+    whole = Window.partitionBy("track_id")
+    spread = lambda c: F.greatest(F.stddev_pop(only(c)).over(whole), F.lit(1e-12))
+    for c in ("x", "y"):
+        rows = rows.withColumns({f"_m{c}": F.avg(only(c)).over(whole), f"_s{c}": spread(c)})
+        rows = rows.withColumn(f"_z{c}", (F.col(c) - F.col(f"_m{c}")) / F.col(f"_s{c}"))
+    rows = rows.withColumn("_product", F.col("_zx") * F.col("_zy"))
+    rho = F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.avg(only("_product")).over(whole)))
+    rows = rows.withColumn("_information", pointwise_gaussian_mi(F.col("_zx"), F.col("_zy"), rho))
+    names = ("_product", "_information")
+    rows = rows.withColumns({f"{c}{k}": v for c in names for k, v in (("_m", F.avg(only(c)).over(whole)), ("_s", spread(c)))})
+    upto = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    judged = rows.filter(~F.col("_cal"))
+    judged = judged.withColumns({f"{c}_u": F.sum((F.col(f"{c}_m") - F.col(c)) / F.col(f"{c}_s") - slack).over(upto) for c in names})
+    # The running sum less its running minimum is the recursion.
+    sums = {f"{c[1:]}_cusum": F.col(f"{c}_u") - F.least(F.lit(0.0), F.min(f"{c}_u").over(upto)) for c in names}
+    return judged.withColumns(sums).select("track_id", "seq", *sums)

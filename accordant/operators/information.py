@@ -105,16 +105,18 @@ def domain_seed(seed: int, domain: str, *parts: int) -> int:
 
 
 def delete_block_plans(n: int, block: int, resamples: int, seed: int) -> list[np.ndarray]:
-    """Retained rows of each replicate: a circular block is left out, its start from a shuffle of all starts, taken round again when they run out."""
+    """Retained rows of each replicate: a circular block is left out, its start from a shuffle of all starts. Each start serves once."""
     if not 0 < block < n:
         raise ValueError("a block is shorter than the window")
+    if resamples > n:
+        raise ValueError("more resamples than a window has starts")
     starts, state = list(range(n)), seed
     for i in range(n - 1, 0, -1):
         state, r = splitmix64(state)
         j = r % (i + 1)
         starts[i], starts[j] = starts[j], starts[i]
     rows = np.arange(n)
-    return [np.sort((starts[b % n] + block + rows[: n - block]) % n) for b in range(resamples)]
+    return [np.sort((starts[b] + block + rows[: n - block]) % n) for b in range(resamples)]
 
 
 @dataclass(frozen=True)
@@ -176,6 +178,8 @@ def analyse(columns: dict[str, np.ndarray], cfg: PidConfig, axis: int = 0, axes:
         return none("an outsider reaches a member", ref, threshold)
     if not outside:
         return PidReport("nominal", (), ref, threshold, "one clique")
+    if cfg.resamples > w:
+        return none("more resamples than the window has starts", ref, threshold)
     if cfg.resamples:
         plans = delete_block_plans(w, cfg.block, cfg.resamples, domain_seed(cfg.seed, "blocks", axis))
         worst = []

@@ -53,12 +53,16 @@ def reconcile(outcomes: DataFrame, summaries: DataFrame, max_attempts: int = 64)
     return both.withColumn("fault", fault).select("fusion_seq", count("received").alias("received"), count("v1_received").alias("v1_received"), count("n_tracks").alias("n_tracks"), "fault")
 
 
-def join_observations(outcomes: DataFrame, observations: DataFrame) -> DataFrame:
-    """Observations against expectations, both ways: matched, unexpected, missing, or which field differs."""
-    expected = outcomes.filter("v1_expected").select(*PAIR, F.col("fusion_timestamp_ms").alias("_ts"), F.col("projection").alias("_projection"), F.lit(True).alias("_expected"))
-    given = observations.select(*PAIR, "timestamp_ms", "projection", F.lit(True).alias("_given"))
+def join_observations(outcomes: DataFrame, observations: DataFrame, key: tuple[str, ...] = PAIR) -> DataFrame:
+    """Observations against expectations, both ways: matched, unexpected, missing, or which field differs.
+
+    ``key`` tells expectations apart: a frame's channel has one, else its
+    measurements do. Rows that repeat a key are each held against each.
+    """
+    expected = outcomes.filter("v1_expected").select(*key, F.col("fusion_timestamp_ms").alias("_ts"), F.col("projection").alias("_projection"), F.lit(True).alias("_expected"))
+    given = observations.select(*key, "timestamp_ms", "projection", F.lit(True).alias("_given"))
     status = F.when(F.col("_expected").isNull(), "unexpected").when(F.col("_given").isNull(), "missing").when(F.col("timestamp_ms") != F.col("_ts"), "timestamp_mismatch").when(~F.col("projection").eqNullSafe(F.col("_projection")), "projection_mismatch").otherwise("matched")
-    return expected.join(given, list(PAIR), "full_outer").select(*PAIR, status.alias("status"))
+    return expected.join(given, list(key), "full_outer").select(*key, status.alias("status"))
 
 
 def unprojected(expected: DataFrame, observations: DataFrame) -> DataFrame:

@@ -37,6 +37,32 @@ def frame_rules(track: bool = True) -> list[tuple[str, Column]]:
     return [*rules, ("track_id_out_of_range", ~safe_integer(c("track_id")))] if track else rules
 
 
+MISS_REASONS = ("no_measurement", "no_candidate", "no_in_gate_candidate", "not_assigned", "track_not_eligible")
+
+
+def miss_fault() -> Column:
+    """Columns of the frame's identity with its track, and reason."""
+    return first_broken([*frame_rules(), ("reason_unknown", ~F.coalesce(F.col("reason").isin(*MISS_REASONS), F.lit(False)))])
+
+
+def summary_fault() -> Column:
+    """Columns of the frame's identity, registry_digest, expected_modalities, active_track_count, input_count, outcome_count, v1_expected_count, degraded and truncated."""
+    c = F.col
+    most = {"active_track_count": MAX_ACTIVE_TRACKS} | dict.fromkeys(("input_count", "outcome_count", "v1_expected_count"), MAX_FRAME_ITEMS)
+    expected = F.coalesce(c("expected_modalities"), F.array().cast("array<string>"))
+    return first_broken(
+        [
+            *frame_rules(track=False),
+            ("registry_digest_invalid", ~F.coalesce(c("registry_digest").rlike("^[0-9a-f]{64}$"), F.lit(False))),
+            *((f"{name}_out_of_range", ~c(name).between(0, limit)) for name, limit in most.items()),
+            ("v1_over_outcomes", c("v1_expected_count") > c("outcome_count")),
+            ("truncated_but_not_degraded", c("truncated") & ~c("degraded")),
+            ("expected_modalities_empty", F.size(expected) == 0),
+            ("expected_modality_repeated", F.size(F.array_distinct(expected)) < F.size(expected)),
+        ]
+    )
+
+
 def outcome_fault() -> Column:
     """Columns of the frame's identity, attempt_index, measurement_index, outcome, v1_expected, candidate_count, in_gate_count, d2, threshold (null without evidence) and has_projection."""
     c = F.col

@@ -69,3 +69,40 @@ def lower_median() -> Column:
 
 def upper_median() -> Column:
     return F.floor(F.col("n") / 2)
+
+
+def alarm_rank(alarm: Column, score: Column) -> Column:
+    """A score clamped to 0 to 1, above all others where there is an alarm."""
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    return F.when(alarm, 2.0 + clamped).otherwise(clamped)
+
+
+#: The modulus of the draws, a prime (a fixed value).
+DRAW_PRIME = 2_147_483_647
+
+
+def drawn(replicate: Column, draw: Column, stratum: Column, n: Column, seed: int = 7) -> Column:
+    """A number from 0 to ``n - 1``, told by its arguments alone: two squarings modulo a prime."""
+    h = (replicate * 1_000_003 + draw * 7_919 + stratum * 104_729 + seed) % DRAW_PRIME
+    again = (h * h + 12_345) % DRAW_PRIME
+    return (again * again + h) % DRAW_PRIME % n
+
+
+def bootstrap_auc(rows: DataFrame, key: str, positive: Column, scores: tuple[str, ...], replicates: int = 200, seed: int = 7) -> DataFrame:
+    """One row a (replicate, score): the AUC of a resample in which each class is drawn from anew, as often as it has rows.
+
+    All scores of a replicate share its draws, so their differences are paired.
+    Draws are made where the rows are, one a row and replicate, and only counts
+    of equal scores are gathered.
+    """
+    stratum = F.when(positive, 1).otherwise(0)
+    known = rows.select(stratum.alias("_s"), F.col(key).alias("_key"), *scores)
+    numbered = known.withColumn("_j", (F.row_number().over(Window.partitionBy("_s").orderBy("_key")) - 1).cast("long"))
+    sizes = known.groupBy("_s").agg(F.count("*").alias("_n"))
+    each = numbered.select("_s", F.col("_j").alias("_d")).join(F.broadcast(sizes), "_s")  # two rows
+    drawn_rows = each.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    picked = drawn_rows.select("replicate", "_s", drawn(F.col("replicate"), F.col("_d"), F.col("_s"), F.col("_n"), seed).alias("_j"))
+    sampled = picked.join(numbered, ["_s", "_j"])
+    values = F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).cast("double").alias("value")) for s in scores)))
+    long = sampled.select("replicate", "_s", values.alias("v")).select("replicate", "_s", F.col("v.name").alias("score"), "v.value")
+    return auc(long, ["replicate", "score"], "value", F.col("_s") == 1)

@@ -65,3 +65,30 @@ def with_suppressed_rest(histories: DataFrame, reported: int) -> DataFrame:
     told = histories.select("track_id").orderBy("track_id").limit(reported).select("track_id", F.lit(True).alias("_told"))
     marked = histories.join(F.broadcast(told), "track_id", "left").withColumn("track_id", F.when(F.col("_told"), F.col("track_id")))
     return marked.groupBy("track_id").agg(F.count("*").alias("tracks"), F.sum("frames").alias("frames"), F.count_if(F.col("alarm_frames") > 0).alias("alarm_tracks"), F.count_if(F.col("insufficient_frames") > 0).alias("insufficient_tracks"), F.sum("alarm_frames").alias("alarm_frames"), F.min("alarm_first").alias("alarm_first"), F.max("alarm_last").alias("alarm_last"))
+
+
+def realized_counts(rows: DataFrame) -> DataFrame:
+    """One row a (track_id, modality): its observations, and of how many of the track's frames it is missing."""
+    channels = rows.groupBy("track_id", "modality").agg(F.countDistinct("seq").alias("observations"))
+    frames = rows.groupBy("track_id").agg(F.countDistinct("seq").alias("_frames"))
+    missing = F.col("_frames") - F.col("observations")
+    return channels.join(frames, "track_id").select("track_id", "modality", "observations", missing.alias("missing_frames"))
+
+
+def labelled_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several origins with ``origin``; a track is that of its origin, as numbers may repeat."""
+    out = None
+    for name, rows in parts.items():
+        part = rows.withColumn("origin", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """All rows in order of track, sequence and channel code."""
+    return rows.orderBy("track_id", "seq", "code")
+
+
+def first_tracks(rows: DataFrame, limit: int = 8) -> DataFrame:
+    """The first tracks by number: as many as an expensive analysis is run for."""
+    return rows.select("track_id").distinct().orderBy("track_id").limit(limit)

@@ -90,19 +90,20 @@ def ledger_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.reconcile(outcomes, summaries).select("fusion_seq", "received", "v1_received", "n_tracks", F.coalesce("fault", F.lit("sound")).alias("fault"))
 
 
-def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outcomes(spark, sf_dir).filter("l_linenumber <= 3")
+#: What tells the measurements of a frame's channel apart.
+MEASURED = (*ledger.PAIR, "measurement_index")
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey")
-    return _expected(spark, sf_dir).filter((F.col("v1_expected") & (part % 23 != 0)) | ((F.col("outcome") == "gate_rejected") & (part % 43 == 0))).select(
-        *ledger.PAIR, (F.col("fusion_timestamp_ms") + (part % 37 == 0).cast("int")).alias("timestamp_ms"), (F.col("projection") + (part % 41 == 0).cast("int")).alias("projection")
+    return _outcomes(spark, sf_dir).filter((F.col("v1_expected") & (part % 23 != 0)) | ((F.col("outcome") == "gate_rejected") & (part % 43 == 0))).select(
+        *MEASURED, (F.col("fusion_timestamp_ms") + (part % 37 == 0).cast("int")).alias("timestamp_ms"), (F.col("projection") + (part % 41 == 0).cast("int")).alias("projection")
     )
 
 
 def joined_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.join_observations(_expected(spark, sf_dir), _observed(spark, sf_dir))
+    """Every outcome against every observation; a pair has several measurements, so these are told apart by their index."""
+    return ledger.join_observations(_outcomes(spark, sf_dir), _observed(spark, sf_dir), MEASURED)
 
 
 def unprojected_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,7 @@ def _mods3(i: str) -> str:
 _OUT = f"""o0 AS (SELECT l_orderkey AS fusion_seq, CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey % 2 ELSE 0 END AS track_id, {_mods3("l_linenumber")} AS modality, l_linenumber, l_partkey, l_quantity AS projection, CASE l_returnflag WHEN 'A' THEN 'updated' WHEN 'N' THEN 'gate_rejected' ELSE 'update_rejected' END AS outcome,
   l_returnflag = 'A' AS v1, 2 + (l_partkey % 31 = 0)::INT AS in_gate, l_orderkey * 100 AS fts, l_linenumber - 1 AS mi, l_discount * 100 AS d2 FROM lineitem),
 o AS (SELECT *, row_number() OVER (PARTITION BY fusion_seq, track_id, modality ORDER BY l_linenumber) - 1 AS rn, row_number() OVER (PARTITION BY fusion_seq, track_id, modality ORDER BY l_linenumber) - 1 + (l_partkey % 29 = 0)::INT AS attempt FROM o0)"""
-_EXP = _OUT + ", ex AS (SELECT * FROM o WHERE l_linenumber <= 3), ob AS (SELECT fusion_seq, track_id, modality, fts + (l_partkey % 37 = 0)::INT AS ts, projection + (l_partkey % 41 = 0)::INT AS pr FROM ex WHERE (v1 AND l_partkey % 23 <> 0) OR (outcome = 'gate_rejected' AND l_partkey % 43 = 0))"
+_EXP = _OUT + ", ex AS (SELECT * FROM o), ob AS (SELECT fusion_seq, track_id, modality, mi, fts + (l_partkey % 37 = 0)::INT AS ts, projection + (l_partkey % 41 = 0)::INT AS pr FROM ex WHERE (v1 AND l_partkey % 23 <> 0) OR (outcome = 'gate_rejected' AND l_partkey % 43 = 0))"
 
 
 def _v(i: int) -> str:
@@ -200,7 +201,7 @@ j AS (SELECT o_orderkey AS fusion_seq, o_custkey, coalesce(received, 0) AS recei
 back AS (SELECT DISTINCT fusion_seq FROM (SELECT fusion_seq, mi <= lag(mi) OVER (PARTITION BY fusion_seq, track_id, modality ORDER BY attempt) AS b FROM o) WHERE b)
 SELECT fusion_seq, received, v1_received, n_tracks, CASE WHEN fusion_seq % 17 = 0 THEN 'outcome_count_mismatch' WHEN o_custkey % 23 = 0 AND list_contains(mods, 'acoustic') THEN 'unexpected_modality' WHEN gap THEN 'attempt_gap' WHEN fusion_seq IN (SELECT fusion_seq FROM back) THEN 'measurement_regressed' WHEN differ THEN 'gate_counts_differ' WHEN vm > 1 THEN 'repeated_expectation' WHEN tm > 1 THEN 'repeated_terminal'
   WHEN 1 + (o_custkey % 5 = 0)::INT > n_tracks THEN 'too_few_tracks' WHEN np < n_tracks * CASE WHEN o_custkey % 23 = 0 THEN 2 ELSE 3 END THEN 'missing_pair' WHEN o_custkey % 19 = 0 THEN 'v1_count_mismatch' ELSE 'sound' END AS fault FROM j""",
-    "joined_observations": f"WITH {_EXP} SELECT coalesce(e.fusion_seq, b.fusion_seq) AS fusion_seq, coalesce(e.track_id, b.track_id) AS track_id, coalesce(e.modality, b.modality) AS modality, CASE WHEN e.fusion_seq IS NULL THEN 'unexpected' WHEN b.fusion_seq IS NULL THEN 'missing' WHEN ts <> fts THEN 'timestamp_mismatch' WHEN pr IS DISTINCT FROM projection THEN 'projection_mismatch' ELSE 'matched' END AS status FROM (SELECT * FROM ex WHERE v1) e FULL JOIN ob b ON e.fusion_seq = b.fusion_seq AND e.track_id = b.track_id AND e.modality = b.modality",
+    "joined_observations": f"WITH {_EXP} SELECT coalesce(e.fusion_seq, b.fusion_seq) AS fusion_seq, coalesce(e.track_id, b.track_id) AS track_id, coalesce(e.modality, b.modality) AS modality, coalesce(e.mi, b.mi) AS measurement_index, CASE WHEN e.fusion_seq IS NULL THEN 'unexpected' WHEN b.fusion_seq IS NULL THEN 'missing' WHEN ts <> fts THEN 'timestamp_mismatch' WHEN pr IS DISTINCT FROM projection THEN 'projection_mismatch' ELSE 'matched' END AS status FROM (SELECT * FROM ex WHERE v1) e FULL JOIN ob b ON e.fusion_seq = b.fusion_seq AND e.track_id = b.track_id AND e.modality = b.modality AND e.mi = b.mi",
     "unprojected_channels": "SELECT s_suppkey AS track_id, m.modality FROM supplier, (VALUES (0, 'visual'), (1, 'thermal'), (2, 'acoustic')) m(i, modality) WHERE s_nationkey < 12 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 48 AND l_tax > 0.02 AND l_suppkey = s_suppkey AND l_linenumber % 3 = m.i)",
     "registry_binding": f"""WITH {views.scenario_sql()}, r AS (SELECT track_id, seq, modality, timestamp_ms, CASE WHEN seq % 7 = 0 OR seq % 5 = 3 THEN 2 ELSE 1 END AS frame_id, seq % 5 AS context_id FROM obs),
 c(context_id, f, lo, hi, flo, fhi, mods) AS (VALUES (1, 1, 0, 12000, 0, NULL, ['visual', 'acoustic', 'radar']), (2, 1, 5000, NULL, 0, NULL, ['visual', 'radar']), (3, 2, 8000, 40000, 10000, 30000, ['visual', 'acoustic']))

@@ -4,7 +4,13 @@ The state machine is plain Python, so it can be tested call by call; the
 stream wrapper keys it by (session_id, producer_id) and keeps it as JSON. An
 observation may come before or after its ledger entry; the join is checked on
 whichever arrives second. A fault ends the stream of its key: later input gives
-nothing. A late observation is a fault, not a drop.
+nothing. A late observation is a fault, not a drop. Silence is one too: each
+key has a timer for its next deadline, so a producer that goes quiet faults
+without any further row.
+
+State has bounds: what is pending, open frames and observation streams have
+limits whose breach is a fault, and of the priors of finalised frames the newest
+``max_priors`` are remembered.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ class AssemblerLimits:
     max_open_frames: int = 64
     max_frame_events: int = 4_096
     max_observation_streams: int = 8_192
+    max_priors: int = 65_536
     frame_deadline_ms: int = 5_000
     reorder_deadline_ms: int = 1_000
     heartbeat_deadline_ms: int = 3_000
@@ -93,6 +100,15 @@ class Assembler:
             return self._fail(str(fault))
         return []
 
+    def next_deadline(self) -> int | None:
+        """When ``advance`` would fault if nothing came before; null without a deadline, as before any row or after a fault."""
+        lim = self.limits
+        if self.fault or self.started_at is None:
+            return None
+        beat = self.started_at + lim.initial_deadline_ms if self.heartbeat_at is None else self.heartbeat_at + lim.heartbeat_deadline_ms
+        gap = [] if self.gap_since is None else [self.gap_since + lim.reorder_deadline_ms]
+        return min([beat, *gap, *(f.opened_at + lim.frame_deadline_ms for f in self.frames.values())])
+
     def _fail(self, why: str) -> list[dict]:
         # What was staged in the same call is given up: a fault discards it.
         first = min(self.frames, default=self.finalised + 1)
@@ -143,6 +159,10 @@ class Assembler:
             raise Fault("frame_identity")
         if self.priors.setdefault(identity[3], seq) != seq:
             raise Fault("prior_reused")
+        if len(self.priors) > self.limits.max_priors:
+            old = [p for p, s in self.priors.items() if s <= self.finalised]
+            for p in sorted(old, key=self.priors.__getitem__)[: len(self.priors) - self.limits.max_priors]:
+                del self.priors[p]
 
     def _ordered(self, e: dict, now: int) -> list[dict]:
         kind, d = e["type"], e["data"]
@@ -220,15 +240,33 @@ def assembled(stream: DataFrame, limits: AssemblerLimits | None = None) -> DataF
     """Rows (session_id, producer_id, ordinal, received_ms, route, payload as JSON) to frames, heartbeats and faults.
 
     Arrival order matters, so rows of a batch are put in order by ``ordinal``,
-    which the source gives; deadlines are judged by ``received_ms``.
+    which the source gives; deadlines of rows are judged by ``received_ms``.
+    While no row comes, time goes on by the engine's clock from the last one,
+    and a timer of the key wakes it at its next deadline.
     """
     names = ["kind", "fusion_seq", "detail"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Assembler(limits, state.get[0] if state.exists else None)
-        out = [o for r in pd.concat(list(batches)).sort_values("ordinal").to_dict("records") for o in machine.offer(r["route"], json.loads(r["payload"]), int(r["received_ms"]))]
-        state.update((machine.save(),))
+        saved, received, clock = state.get if state.exists else (None, None, None)
+        machine = Assembler(limits, saved)
+        wall = state.getCurrentProcessingTimeMs()
+        out: list[dict] = []
+        if state.hasTimedOut:
+            received, clock = received + max(0, wall - clock), wall
+            out = machine.advance(received)
+        else:
+            for r in pd.concat(list(batches)).sort_values("ordinal").to_dict("records"):
+                received = int(r["received_ms"])
+                out += machine.offer(r["route"], json.loads(r["payload"]), received)
+            clock = wall
+        state.update((machine.save(), received, clock))
+        deadline = machine.next_deadline()
+        if deadline is not None:
+            state.setTimeoutDuration(max(1, deadline - received))
         if out:
             yield pd.DataFrame(out)[names].assign(session_id=key[0], producer_id=key[1])[["session_id", "producer_id", *names]]
 
-    return stream.groupBy("session_id", "producer_id").applyInPandasWithState(step, "session_id string, producer_id string, kind string, fusion_seq bigint, detail string", "state string", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.groupBy("session_id", "producer_id")
+    told = "session_id string, producer_id string, kind string, fusion_seq bigint, detail string"
+    kept = "state string, received bigint, clock bigint"
+    return keyed.applyInPandasWithState(step, told, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -49,11 +49,13 @@ def test_consensus_verdicts():
 
 
 def test_block_plans():
-    plans = info.delete_block_plans(20, 5, 40, 7)
+    plans = info.delete_block_plans(20, 5, 20, 7)
     assert all(len(p) == 15 and len(set(p)) == 15 for p in plans)
-    assert len({tuple(p) for p in plans}) == 20 and np.array_equal(plans[0], plans[20])
+    assert len({tuple(p) for p in plans}) == 20
     with pytest.raises(ValueError):
         info.delete_block_plans(5, 5, 1, 1)
+    with pytest.raises(ValueError, match="more resamples"):
+        info.delete_block_plans(20, 5, 21, 7)
 
 
 def test_atoms_of_xor_and_copy():

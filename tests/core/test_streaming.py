@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,15 @@ from accordant.streaming.detector import Track, verdicts
 SF = "/root/testdata/sf0.001"
 
 
-def run(spark, stream, name):
+def run(spark, stream, name, timers=False):
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
+    if timers:
+        # A stream with timers never runs out of batches: the first one without input comes after all that is there.
+        until = time.time() + 90
+        while time.time() < until and not (len(p := q.recentProgress) > 1 and p[-1]["numInputRows"] == 0 and any(x["numInputRows"] for x in p)):
+            time.sleep(0.2)
+    else:
+        q.processAllAvailable()
     q.stop()
     return spark.table(name).collect()
 
@@ -96,10 +103,50 @@ def test_deadlines():
     assert Assembler(AssemblerLimits(initial_deadline_ms=5)).advance(100) == []
 
 
+def test_next_deadline_is_when_advance_faults():
+    machine = Assembler(AssemblerLimits(initial_deadline_ms=50))
+    assert machine.next_deadline() is None
+    machine.offer("observation", OBS, 100)
+    assert machine.next_deadline() == 150 and machine.advance(149) == [] and machine.advance(150)[0]["detail"] == "initial_heartbeat_deadline"
+    assert machine.next_deadline() is None
+    machine = Assembler(AssemblerLimits(frame_deadline_ms=700))
+    for e in frame_events()[:2]:
+        machine.offer("monitor", e, 10)
+    assert machine.next_deadline() == 710 and machine.advance(710)[0]["detail"] == "frame_deadline"
+
+
+def test_priors_are_bounded():
+    machine = Assembler(AssemblerLimits(max_priors=3))
+    for i in range(10):
+        for e in frame_events(seq=i + 1, first=4 * i)[1 if i else 0 :]:
+            machine.offer("monitor", {**e, "event_seq": e["event_seq"]} if i == 0 else e, 10)
+            if machine.fault:
+                break
+        machine.offer("observation", {**OBS, "seq": i + 1, "timestamp_ms": (i + 1) * 100}, 10)
+    assert len(machine.priors) <= 4
+
+
+def test_silence_expires_without_a_row(spark, tmp_path):
+    """A producer that opens a frame and goes quiet faults by its timer; no further row comes."""
+    rows = [("s", "quiet", 0, 1_000, "monitor", json.dumps(frame_events()[0])), ("s", "quiet", 1, 1_001, "observation", json.dumps(OBS))]
+    spark.createDataFrame(rows, "session_id string, producer_id string, ordinal long, received_ms long, route string, payload string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session_id string, producer_id string, ordinal long, received_ms long, route string, payload string").parquet(f"{tmp_path}/in")
+    limits = AssemblerLimits(heartbeat_deadline_ms=1_500, frame_deadline_ms=60_000)
+    q = assembled(stream, limits).writeStream.format("memory").queryName("silence").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and not spark.table("silence").filter("kind = 'fault'").count():
+            time.sleep(0.5)
+        assert [r.detail for r in spark.table("silence").filter("kind = 'fault'").collect()] == ["heartbeat_deadline"]
+    finally:
+        q.stop()
+
+
 def test_assembly_stream(spark, tmp_path):
     items = [*[("monitor", e) for e in frame_events()], ("observation", OBS)]
     rows = [("s", p, i, 10 + i, route, json.dumps(x)) for p in ("a", "b") for i, (route, x) in enumerate(items) if not (p == "b" and i == 1)]
     df = spark.createDataFrame(rows, "session_id string, producer_id string, ordinal int, received_ms long, route string, payload string")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    got = run(spark, assembled(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "a")
+    slow = AssemblerLimits(frame_deadline_ms=10**7, reorder_deadline_ms=10**7, heartbeat_deadline_ms=10**7, initial_deadline_ms=10**7)
+    got = run(spark, assembled(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), slow), "a", timers=True)
     assert sorted((r.producer_id, r.kind) for r in got) == [("a", "frame"), ("a", "heartbeat"), ("b", "heartbeat")]
