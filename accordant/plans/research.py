@@ -8,10 +8,6 @@ from accordant import views
 from accordant.operators import correlation, coupling, evidence, fusion, information, magnitude
 from accordant.plans.detectors import DETECTOR, MODS
 
-#: A small study of every condition; the full one is StudyConfig().
-STUDY = evidence.StudyConfig(tracks=2, frames=600, onset=300, mission_frames=600, resamples=50, min_eligible=2)
-
-
 def pid_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MI consensus of each track's newest suffix, by axis."""
     rows = magnitude.generations(views.scenario(spark, sf_dir), DETECTOR, MODS)
@@ -31,8 +27,9 @@ def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coupling.null_rates(spark)
 
 
-def study_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.records(spark, STUDY)
+def study_records(spark: SparkSession, sf_dir: str, study: evidence.StudyConfig | None = None) -> DataFrame:
+    """The records of every condition's trials, at the published size unless another study is given."""
+    return evidence.records(spark, study or evidence.StudyConfig())
 
 
 QUERIES = {"pid_reports": pid_reports, "coupling_aucs": coupling_aucs, "parity_aucs": parity_aucs, "null_rates": null_rates, "study_records": study_records}
