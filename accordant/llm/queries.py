@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from accordant.llm import byte_bpe, chat_format, decontaminate, language_id, media, quality, sharding, simhash, token_store, warc
+from accordant.llm import (
+    alignment, byte_bpe, chat_format, decontaminate, filter_audit, language_id, media, quality, sharding, simhash, token_store, warc,
+)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_query,
@@ -15,10 +17,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_query,
     "op9_sharding": sharding.op9_query,
     "op10_chat_formatting": chat_format.op10_query,
+    "op11_filter_audit": filter_audit.op11_query,
+    "op13_tokenizer_alignment": alignment.op13_query,
 }
 
 ORACLES = {
     "op3_warc_segments": warc.ORACLE,
     "op9_sharding": sharding.ORACLE,
     "op10_chat_formatting": chat_format.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
