@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from accordant.llm import (
-    alignment, byte_bpe, chat_format, decontaminate, filter_audit, language_id, media, quality, sharding, simhash, token_store, warc,
+    alignment, byte_bpe, chat_format, chunk_reuse, decontaminate, filter_audit, language_id, media, quality, sharding,
+    simhash, token_store, warc,
 )
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_query,
     "op10_chat_formatting": chat_format.op10_query,
     "op11_filter_audit": filter_audit.op11_query,
+    "op12_chunk_reuse": chunk_reuse.op12_query,
     "op13_tokenizer_alignment": alignment.op13_query,
 }
 
