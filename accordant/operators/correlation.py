@@ -1,7 +1,7 @@
 """Frame alignment and signed-correlation consensus over the newest contiguous suffix.
 
-Pairwise correlations are over the last ``window`` aligned frames. A column that is constant in the window is an analysis error, never a
-weak edge.
+Pairwise correlations are over the last ``window`` aligned frames. A column
+that is constant in the window is an analysis error, never a weak edge.
 """
 
 from __future__ import annotations
@@ -57,6 +57,20 @@ def aligned(wide: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...]) -
     return numbered.withColumn("place", F.when(F.col("_usable"), F.sum(F.col("_usable").cast("int")).over(inside))).drop("_usable", "_begins")
 
 
+def with_reuse(checked: DataFrame) -> DataFrame:
+    """Add ``reused`` to ``ordering.checked`` rows: whether, up to the row's frame, two frames of the track have had one prior.
+
+    A prior belongs to one frame. Rows of modalities that weren't asked for
+    count too, other refused ones don't; a track stays marked.
+    """
+    counts = F.col("reject").isNull() | (F.col("reject") == "unexpected_modality")
+    of_prior = Window.partitionBy("track_id", "prior_id")
+    first = F.min(F.when(counts & F.col("p0").isNotNull(), F.col("seq"))).over(of_prior)
+    again = counts & F.col("p0").isNotNull() & F.col("prior_id").isNotNull() & (F.col("seq") > first)
+    until = Window.partitionBy("track_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return checked.withColumn("reused", F.coalesce(F.max(again).over(until), F.lit(False)))
+
+
 def prior_reuse(rows: DataFrame) -> DataFrame:
     """One row a (track_id, prior_id) that more than one sequence has: n_frames, first_seq and last_seq.
 
@@ -91,27 +105,68 @@ def _any(xs: list[Column]) -> Column:
     return out
 
 
+#: Largest values between these can be squared and summed; beyond them, or where values vary by less than RELATIVE of
+#: the largest, a window is centred on its mid-range and scaled first.
+MILD, RELATIVE = (1e-100, 1e100), 1e-7
+
+
+def _scaled_pearson(x: str, y: str, of_x: str, of_y: str) -> Column:
+    """Correlation of two fields of the rows in ``_w``, each centred on its mid-range and divided by half its range; null if degenerate."""
+
+    def unit(field: str, of: str) -> str:
+        centre = f"(_lo_{of} / 2 + _hi_{of} / 2)"
+        return f"((s.`{field}` - {centre}) / nullif(greatest(abs(_lo_{of} - {centre}), abs(_hi_{of} - {centre})), 0D))"
+
+    u, v = f"({unit(x, of_x)} - a.mx)", f"({unit(y, of_y)} - a.my)"
+    moments = ", ".join(f"'{n}', a.{n} + {d} * {e} * a.n / (a.n + 1D)" for n, d, e in (("xx", u, u), ("yy", v, v), ("xy", u, v)))
+    step = f"named_struct('n', a.n + 1D, 'mx', a.mx + {u} / (a.n + 1D), 'my', a.my + {v} / (a.n + 1D), {moments})"
+    zero = "named_struct('n', 0D, 'mx', 0D, 'my', 0D, 'xx', 0D, 'yy', 0D, 'xy', 0D)"
+    degenerate = f"a.xx <= {EPSILON!r}D * a.n OR a.yy <= {EPSILON!r}D * a.n"
+    return F.expr(f"aggregate(_w, {zero}, (a, s) -> {step}, a -> IF({degenerate}, NULL, a.xy / (sqrt(a.xx) * sqrt(a.yy))))")
+
+
 def pair_correlations(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:
     """Add ``w`` (aligned samples in the window) and r_<axis>_<i>_<j> for channels i < j; null where degenerate or not aligned.
 
     Each window is summed from its own rows, about their means: nothing of
-    older rows is left in it.
+    older rows is left in it. A correlation has no unit, so neither scale nor
+    offset of the values matters: a suffix with values that can't be squared,
+    or that vary by less than their digits tell, is correlated from the values
+    of each window, centred and scaled by its own range. Constant or
+    non-finite columns are null.
     """
     mods = canonical(modalities)
-    own = Window.partitionBy("track_id", "generation", "suffix").orderBy("seq").rowsBetween(-(cfg.window - 1), 0)
+    whole = Window.partitionBy("track_id", "generation", "suffix")
+    own = whole.orderBy("seq").rowsBetween(-(cfg.window - 1), 0)
     in_suffix = F.col("place").isNotNull()
-    value = lambda m, a: F.when(in_suffix, F.col(f"{m}_p{a}"))
-    spread = {f"_v_{a}_{i}": F.var_pop(value(m, a)).over(own) for a in range(axes) for i, m in enumerate(mods)}
+    field = lambda i, a: f"{mods[i]}_p{a}"
+    value = lambda i, a: F.when(in_suffix, F.col(field(i, a)))
+    columns = [(a, i) for a in range(axes) for i in range(len(mods))]
     pairs = [(a, i, j) for a in range(axes) for i, j in combinations(range(len(mods)), 2)]
-    both = {f"_r_{a}_{i}_{j}": F.covar_pop(value(mods[i], a), value(mods[j], a)).over(own) for a, i, j in pairs}
-    windowed = frames.withColumns(spread | both)
+    spread = {f"_v_{a}_{i}": F.var_pop(value(i, a)).over(own) for a, i in columns}
+    both = {f"_r_{a}_{i}_{j}": F.covar_pop(value(i, a), value(j, a)).over(own) for a, i, j in pairs}
+    largest = {f"_m_{a}_{i}": F.max(F.abs(value(i, a))).over(whole) for a, i in columns}
+    windowed = frames.withColumns(spread | both | largest)
+    wild = [f"NOT (_m_{a}_{i} BETWEEN {MILD[0]!r}D AND {MILD[1]!r}D)" for a, i in columns]
+    close = [f"_v_{a}_{i} < {RELATIVE**2!r}D * _m_{a}_{i} * _m_{a}_{i}" for a, i in columns]
+    # AND binds first, and squares are only taken of mild values.
+    hard = F.expr(f"coalesce({' OR '.join(wild)} OR place >= 4 AND ({' OR '.join(close)}), false)")
+    judged = windowed.withColumn("_hard", F.max(hard).over(whole))
+    rows = F.collect_list(F.when(F.col("_hard") & in_suffix, F.struct(*(field(i, a) for a, i in columns)))).over(own)
+    held = judged.withColumn("_w", F.when(F.col("_hard"), rows))
+    ends = {
+        f"_{name}_{a}_{i}": F.expr(f"{function}(transform(_w, s -> s.`{field(i, a)}`))")
+        for a, i in columns
+        for name, function in (("lo", "array_min"), ("hi", "array_max"))
+    }
     out = {"w": F.when(in_suffix, F.least(F.col("place"), F.lit(cfg.window)))}
     for a, i, j in pairs:
-        varied = [F.col(f"_v_{a}_{k}") > EPSILON for k in (i, j)]
         r = F.try_divide(F.col(f"_r_{a}_{i}_{j}"), F.sqrt(f"_v_{a}_{i}") * F.sqrt(f"_v_{a}_{j}"))
-        sound = in_suffix & varied[0] & varied[1] & ~F.isnan(r)
-        out[f"r_{a}_{i}_{j}"] = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    return windowed.withColumns(out).drop(*spread, *both)
+        scaled = _scaled_pearson(field(i, a), field(j, a), f"{a}_{i}", f"{a}_{j}")
+        either = F.when(F.col("_hard"), scaled).otherwise(r)
+        sound = in_suffix & either.isNotNull() & ~F.isnan(either)
+        out[f"r_{a}_{i}_{j}"] = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), either)))
+    return held.withColumns(ends).withColumns(out).drop(*spread, *both, *largest, *ends, "_hard", "_w")
 
 
 def consensus(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.config import CorrelationConfig, DetectorConfig
-from accordant.operators import correlation, magnitude
+from accordant.operators import correlation, magnitude, ordering
 from accordant.schema import canonical
 
 PROVENANCE = ("p0", "p1", "p2", "frame_id", "context_id", "prior_id")
@@ -74,13 +74,16 @@ def combine(rows: DataFrame) -> DataFrame:
 def assessed_frames(rows: DataFrame, modalities: tuple[str, ...], detector: DetectorConfig | None = None, corr: CorrelationConfig | None = None, axes: int = 3) -> DataFrame:
     """The whole rolling assessment: one row a (track_id, seq) with every intermediate state.
 
-    All exchanges are by track_id; all windows and groups have keys that begin with it. Rejected rows are no evidence.
+    All exchanges are by track_id; all windows and groups have keys that begin
+    with it. Rejected rows are no evidence. From the frame on in which a prior
+    is used again, a track has no consistency evidence (``extraction_error``).
     """
     mods = canonical(modalities)
     detector, corr = detector or DetectorConfig(), (corr or CorrelationConfig()).for_axes(axes)
-    sound = magnitude.generations(rows, detector, mods)
+    checked = correlation.with_reuse(ordering.checked(rows, detector, mods))
+    sound = checked.filter(F.col("reject").isNull())
     reports = magnitude.channel_reports(magnitude.channel_windows(sound, detector), detector, len(mods))
-    wide = magnitude.frames(reports, mods, PROVENANCE[: 3 + 3])
+    wide = magnitude.frames(reports, mods, PROVENANCE, ("is_reset", "reused"))
     judged = magnitude.magnitude_verdict(wide, detector, mods).withColumn("magnitude_mask", mask_of(F.col("magnitude_channels"), mods))
     analysed = correlation.consensus(correlation.pair_correlations(correlation.aligned(judged, detector, mods), corr, mods, axes), corr, mods, axes)
     evidence = axis_evidence(analysed, axes)
@@ -88,7 +91,7 @@ def assessed_frames(rows: DataFrame, modalities: tuple[str, ...], detector: Dete
     by = Window.partitionBy("track_id", "generation").orderBy("seq")
     row = F.row_number().over(by)
     spoilt = evidence.withColumn("_row", row).withColumn("_bad", F.max(F.when(F.col("partial"), F.col("_row"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    extraction_error = F.coalesce(F.col("_row") - F.col("_bad") < corr.window, F.lit(False))
+    extraction_error = F.col("reused") | F.coalesce(F.col("_row") - F.col("_bad") < corr.window, F.lit(False))
     some_error = correlation._any([F.col(f"corr_{a}") == "error" for a in range(axes)])
     some_missing = correlation._any([F.col(f"corr_{a}") == "insufficient" for a in range(axes)])
     status = (

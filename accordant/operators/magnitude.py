@@ -72,12 +72,14 @@ def channel_reports(rows: DataFrame, cfg: DetectorConfig, channels: int, dofs: t
     ).withColumn("high_anomalous", F.col("elevated") | F.col("high")).withColumn("anomalous", F.col("elevated") | F.col("high") | F.col("low"))
 
 
-def frames(reports: DataFrame, modalities: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row a (track_id, generation, seq), with the columns of each channel as ``<modality>_<column>``, null where it is absent."""
+def frames(
+    reports: DataFrame, modalities: tuple[str, ...], extra: tuple[str, ...] = (), flags: tuple[str, ...] = ("is_reset",)
+) -> DataFrame:
+    """One row a (track_id, generation, seq): columns of each channel as ``<modality>_<column>``, null where it is absent, and flags."""
     mods = canonical(modalities)
     columns = ("timestamp_ms", "sampled", "high_anomalous", "anomalous", "low", *extra)
     picked = [F.max(F.when(F.col("modality") == m, F.col(c))).alias(f"{m}_{c}") for m in mods for c in columns]
-    return reports.groupBy("track_id", "generation", "seq").agg(*picked, F.max("is_reset").alias("is_reset"))
+    return reports.groupBy("track_id", "generation", "seq").agg(*picked, *(F.max(c).alias(c) for c in flags))
 
 
 def labels(conditions: dict[str, Column]) -> Column:

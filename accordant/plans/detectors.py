@@ -50,7 +50,7 @@ def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the capture that are no evidence, and why."""
     out = magnitude.rejected(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
-    return out.select("track_id", "modality", "seq", "timestamp_ms", "dof", F.round("nis", 6).alias("nis"), "reject")
+    return out.select("track_id", "modality", "seq", "timestamp_ms", "dof", F.round(F.when(~F.isnan("nis"), F.col("nis")), 6).alias("nis"), "reject")
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,10 @@ def _list(values: list[float]) -> str:
     return "[" + ", ".join("1e308" if v == float("inf") else repr(v) for v in values) + "]"
 
 
+#: What a row must have to be evidence at all.
+SOUND_SQL = "seq IS NOT NULL AND nis >= 0 AND nis < 'infinity'::DOUBLE"
+
+
 def generation_sql(cfg: DetectorConfig, modalities: tuple[str, ...] = MODS) -> str:
     """CTEs from obs to ``gen``, the sound rows: each track's frames one after another, with the last admitted row of each channel as state."""
     sent = ",\n  ".join(f"coalesce(list(cand) FILTER (modality = '{m}'), []) AS c_{m}" for m in modalities)
@@ -141,7 +145,7 @@ def generation_sql(cfg: DetectorConfig, modalities: tuple[str, ...] = MODS) -> s
     jump = " OR ".join(f"coalesce({gap(m)}, false)" for m in modalities)
     picked = "CASE r.modality " + " ".join(f"WHEN '{m}' THEN f.r_{m}" for m in modalities) + " END"
     of = lambda c: "CASE r.modality " + " ".join(f"WHEN '{m}' THEN f.{c}_{m}" for m in modalities) + " END"
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq, modality ORDER BY timestamp_ms, dof, nis) AS rid FROM obs),
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq, modality ORDER BY timestamp_ms, dof, nis) AS rid FROM obs WHERE {SOUND_SQL}),
 cands AS (SELECT track_id, seq, modality, {{'ts': timestamp_ms, 'dof': dof, 'nis': nis, 'rid': rid}} AS cand FROM ranked ORDER BY rid),
 sent AS MATERIALIZED (SELECT track_id, seq, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k, {", ".join(f"c_{m}" for m in modalities)}
   FROM (SELECT track_id, seq, {sent.replace("list(cand)", "list(cand ORDER BY cand.rid)")} FROM cands GROUP BY track_id, seq)),
@@ -202,10 +206,13 @@ st{a} AS (SELECT * EXCLUDE (ref, thr, ed, early), CASE WHEN early IS NOT NULL TH
     mask = " | ".join(f"mask_{a}" for a in range(views.AXES))
     differs = " OR ".join(f"(corr_{a} = 'decoupled' AND mask_{a} <> ({mask}))" for a in range(views.AXES))
     return ",\n".join(parts) + f""",
+pr AS (SELECT track_id, prior_id, min(seq) AS first_seq FROM gen WHERE prior_id IS NOT NULL AND p0 IS NOT NULL GROUP BY 1, 2),
+ru AS (SELECT track_id, min(seq) AS reused_at FROM gen JOIN pr USING (track_id, prior_id) WHERE seq > first_seq AND p0 IS NOT NULL GROUP BY 1),
+mr AS (SELECT m.*, coalesce(m.seq >= reused_at, false) AS reused FROM mag m LEFT JOIN ru USING (track_id)),
 ev AS (SELECT m.*, {", ".join(f"coalesce(s.corr_{a}, 'insufficient') AS corr_{a}, coalesce(s.mask_{a}, 0) AS mask_{a}" for a in range(views.AXES))},
-  CASE WHEN s.seq IS NULL THEN 'missing_projection' WHEN {some("insufficient")} THEN 'assessed_insufficient' ELSE 'assessed' END AS consistency_status,
-  CASE WHEN s.seq IS NULL THEN 'insufficient' WHEN ({mask}) <> 0 AND ({differs} OR {some("insufficient")}) THEN 'conflicted' WHEN {some("insufficient")} THEN 'insufficient' WHEN ({mask}) = 0 THEN 'intact' ELSE 'decoupled' END AS consistency,
-  CASE WHEN s.seq IS NULL THEN 0 ELSE ({mask}) END AS cmask FROM mag m LEFT JOIN st{last} s USING (track_id, generation, seq)),
+  CASE WHEN reused THEN 'extraction_error' WHEN s.seq IS NULL THEN 'missing_projection' WHEN {some("insufficient")} THEN 'assessed_insufficient' ELSE 'assessed' END AS consistency_status,
+  CASE WHEN reused OR s.seq IS NULL THEN 'insufficient' WHEN ({mask}) <> 0 AND ({differs} OR {some("insufficient")}) THEN 'conflicted' WHEN {some("insufficient")} THEN 'insufficient' WHEN ({mask}) = 0 THEN 'intact' ELSE 'decoupled' END AS consistency,
+  CASE WHEN reused OR s.seq IS NULL THEN 0 ELSE ({mask}) END AS cmask FROM mr m LEFT JOIN st{last} s USING (track_id, generation, seq)),
 fv AS (SELECT *, CASE WHEN consistency = 'conflicted' OR magnitude_verdict = 'unclassified' THEN 'unclassified' WHEN magnitude_verdict = 'insufficient' AND consistency = 'insufficient' THEN 'insufficient'
   WHEN consistency = 'decoupled' THEN CASE WHEN magnitude_verdict IN ('attributed', 'broad') AND mmask <> cmask THEN 'unclassified' ELSE 'attributed' END
   WHEN magnitude_verdict IN ('broad', 'attributed') THEN magnitude_verdict WHEN magnitude_verdict = 'nominal' AND consistency = 'intact' THEN 'nominal' ELSE 'insufficient' END AS fused_verdict FROM ev),
@@ -254,7 +261,9 @@ SELECT track_id, modality, seq, round(hi, 6) AS cusum_hi, round(lo, 6) AS cusum_
   JOIN sent x USING (track_id, seq) JOIN (UNPIVOT_HERE) f ON f.track_id = r.track_id AND f.k = x.k - 1 AND f.modality = r.modality
   LEFT JOIN gen g ON g.track_id = r.track_id AND g.seq = r.seq AND g.modality = r.modality)
 SELECT track_id, modality, seq, timestamp_ms, dof, round(nis, 6) AS nis, CASE WHEN took < rid OR seq <= s THEN 'sequence_not_increasing' WHEN dof <> d THEN 'dof_changed' ELSE 'timestamp_not_increasing' END AS reject
-FROM held WHERE took IS NULL OR took <> rid""".replace("UNPIVOT_HERE", " UNION ALL ".join(f"SELECT track_id, k, '{m}' AS modality, s_{m} AS s, t_{m} AS t, d_{m} AS d FROM fold" for m in MODS)),
+FROM held WHERE took IS NULL OR took <> rid
+UNION ALL SELECT track_id, modality, seq, timestamp_ms, dof, CASE WHEN NOT isnan(nis) THEN round(nis, 6) END, CASE WHEN seq IS NULL OR nis IS NULL THEN 'incomplete' ELSE 'invalid_value' END
+FROM obs WHERE NOT coalesce(SOUND_HERE, false)""".replace("SOUND_HERE", SOUND_SQL).replace("UNPIVOT_HERE", " UNION ALL ".join(f"SELECT track_id, k, '{m}' AS modality, s_{m} AS s, t_{m} AS t, d_{m} AS d FROM fold" for m in MODS)),
     "generations": _captured_until() + " SELECT track_id, modality, seq, generation::BIGINT AS generation, is_reset FROM gen",
     "magnitude_verdicts": _captured_until(reports_sql(SHORT_DETECTOR, 3), verdict_sql(SHORT_DETECTOR, 3)) + " SELECT track_id, generation::BIGINT AS generation, seq, ready::INT AS ready, magnitude_verdict, magnitude_channels FROM mag",
     "user_verdicts": "WITH RECURSIVE " + ",\n".join((views.user_events_sql(), generation_sql(EVENT_DETECTOR, _EVENT_MODS), reports_sql(EVENT_DETECTOR, 5), verdict_sql(EVENT_DETECTOR, 5))) + " SELECT generation::BIGINT AS generation, magnitude_verdict, magnitude_channels, count(*) AS n_frames FROM mag GROUP BY ALL",

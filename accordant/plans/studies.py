@@ -122,7 +122,7 @@ _ALERT = "IN ('attributed', 'broad', 'unclassified')"
 _HISTORIES = (
     detectors.assessed_sql(True)
     + f""", rs AS (SELECT track_id, seq, bool_or(is_reset) AS is_reset FROM gen GROUP BY ALL), hist AS (SELECT track_id, count(*) AS frames, {_SPAN("baseline_alarm", f"magnitude_verdict {_ALERT}")}, {_SPAN("baseline_insufficient", "magnitude_verdict = 'insufficient'")}, {_SPAN("alarm", f"fused_verdict {_ALERT}")},
-  {_SPAN("insufficient", "fused_verdict = 'insufficient' OR consistency_status <> 'assessed'")}, {_SPAN("reset", "is_reset")}, {_SPAN("missing_projection", "consistency_status = 'missing_projection'")}, {_SPAN("extraction_error", "false")}, {_SPAN("analysis_error", "false")},
+  {_SPAN("insufficient", "fused_verdict = 'insufficient' OR consistency_status <> 'assessed'")}, {_SPAN("reset", "is_reset")}, {_SPAN("missing_projection", "consistency_status = 'missing_projection'")}, {_SPAN("extraction_error", "consistency_status = 'extraction_error'")}, {_SPAN("analysis_error", "false")},
   arg_max(magnitude_verdict, seq) AS terminal_baseline, arg_max(fused_verdict, seq) AS terminal_verdict FROM fused JOIN rs USING (track_id, seq) GROUP BY track_id)"""
 )
 _STATES = detectors.assessed_sql(True) + f", st AS (SELECT track_id, seq, CASE WHEN fused_verdict {_ALERT} THEN 'alert' ELSE fused_verdict END AS state FROM fused)"

@@ -32,6 +32,7 @@ class AssemblerLimits:
     max_frame_events: int = 4_096
     max_observation_streams: int = 8_192
     max_priors: int = 65_536
+    max_payload_bytes: int = 64 * 1024
     frame_deadline_ms: int = 5_000
     reorder_deadline_ms: int = 1_000
     heartbeat_deadline_ms: int = 3_000
@@ -56,6 +57,57 @@ class Fault(Exception):
     pass
 
 
+_WHOLE, _TEXT = "whole", "text"
+_IDENTITY = {"fusion_seq": _WHOLE, "fusion_timestamp_ms": _WHOLE, "frame_id": _WHOLE, "context_id": _WHOLE, "prior_id": _WHOLE}
+#: What the machine reads of each kind of payload, and of which type it must be.
+_OBSERVATION = {"seq": _WHOLE, "track_id": _WHOLE, "timestamp_ms": _WHOLE, "modality": _TEXT}
+_SUMMARY = _IDENTITY | {"outcome_count": _WHOLE, "v1_expected_count": _WHOLE}
+_OUTCOME = _IDENTITY | {"track_id": _WHOLE, "modality": _TEXT}
+
+
+def _has(d: object, fields: dict[str, str]) -> bool:
+    def sound(x: object, kind: str) -> bool:
+        return isinstance(x, str) if kind == _TEXT else isinstance(x, int) and not isinstance(x, bool) and x >= 0
+
+    return isinstance(d, dict) and all(sound(d.get(k), kind) for k, kind in fields.items())
+
+
+def is_envelope(route: object, e: object) -> bool:
+    """Whether a payload has what its route asks for."""
+    if route == "observation":
+        return _has(e, _OBSERVATION)
+    if route != "monitor" or not _has(e, {"event_seq": _WHOLE, "type": _TEXT}) or not isinstance(e.get("data"), dict):
+        return False
+    d = e["data"]
+    if e["type"] == "heartbeat":
+        return d.get("last_fusion_seq") is None or _has(d, {"last_fusion_seq": _WHOLE})
+    if e["type"] != "frame_summary":
+        return _has(d, _OUTCOME)
+    names = d.get("expected_modalities")
+    return _has(d, _SUMMARY) and isinstance(names, list) and all(isinstance(m, str) for m in names)
+
+
+def decoded(payload: object, limits: AssemblerLimits) -> object:
+    """A payload's JSON, strictly: no repeated keys, no NaN. Raises Fault."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    def no_number(text: str) -> object:
+        raise ValueError(f"{text} is no JSON number")
+
+    if not isinstance(payload, str):
+        raise Fault("malformed_payload")
+    if len(payload.encode("utf-8", "surrogatepass")) > limits.max_payload_bytes:
+        raise Fault("payload_too_large")
+    try:
+        return json.loads(payload, object_pairs_hook=once, parse_constant=no_number)
+    except (ValueError, RecursionError):
+        raise Fault("malformed_payload") from None
+
+
 class Assembler:
     """One (session, producer)."""
 
@@ -85,11 +137,23 @@ class Assembler:
         try:
             self._deadlines(now)
             self.started_at = now if self.started_at is None else self.started_at
+            if not is_envelope(route, payload):
+                raise Fault("invalid_envelope")
             out = self._monitor(payload, now) if route == "monitor" else self._observation(payload, now)
         except Fault as fault:
             out = self._fail(str(fault))
         return out
 
+    def receive(self, route: object, payload: object, now: int) -> list[dict]:
+        """``offer`` of a payload as JSON text; what can't be read is a fault of this key, and of no other."""
+        if self.fault:
+            return []
+        try:
+            told = decoded(payload, self.limits)
+        except Fault as fault:
+            return self._fail(str(fault))
+        return self.offer(route, told, now)
+
     def advance(self, now: int) -> list[dict]:
         """Deadlines alone; at or after the deadline counts as expired."""
         if self.fault:
@@ -239,6 +303,9 @@ class Assembler:
 def assembled(stream: DataFrame, limits: AssemblerLimits | None = None) -> DataFrame:
     """Rows (session_id, producer_id, ordinal, received_ms, route, payload as JSON) to frames, heartbeats and faults.
 
+    A payload that can't be read, is too long or lacks a field ends the stream
+    of its key as a fault (``malformed_payload``, ``payload_too_large``,
+    ``invalid_envelope``); other keys go on.
     Arrival order matters, so rows of a batch are put in order by ``ordinal``,
     which the source gives; deadlines of rows are judged by ``received_ms``.
     While no row comes, time goes on by the engine's clock from the last one,
@@ -256,8 +323,9 @@ def assembled(stream: DataFrame, limits: AssemblerLimits | None = None) -> DataF
             out = machine.advance(received)
         else:
             for r in pd.concat(list(batches)).sort_values("ordinal").to_dict("records"):
-                received = int(r["received_ms"])
-                out += machine.offer(r["route"], json.loads(r["payload"]), received)
+                # A row without a time came when the last one did.
+                received = (wall if received is None else received) if pd.isna(r["received_ms"]) else int(r["received_ms"])
+                out += machine.receive(r["route"], r["payload"], received)
             clock = wall
         state.update((machine.save(), received, clock))
         deadline = machine.next_deadline()

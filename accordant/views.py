@@ -5,7 +5,8 @@
 last two thirds of a track the acoustic channel follows a phantom instead.
 ``captured``: the same with what a capture has: a missing channel, absent
 projections, clock skew, an outage, another context, repeated rows, changed
-degrees of freedom, a clock's step and a huge value.
+degrees of freedom, a clock's step, a huge value, one that is no number, a
+negative one, rows without a sequence and a prior that is used again.
 ``user_events``: scalar observations with genuine gaps, one channel per event type.
 """
 
@@ -28,6 +29,8 @@ LATENT_AT, PHANTOM_AT, SCALE = 18, 21, 8.0
 DT_MS, CAPTURE_DT_MS, CYCLE = 100, 2_000, 90
 #: A finite value that would stay in running totals.
 HUGE = 1e17
+#: The frame of every other track that has the prior of the frame before.
+REUSED_AT = 210
 EVENT_MODALITY = {"view": "visual", "click": "thermal", "purchase": "acoustic", "signup": "radar", "error": "lidar"}
 
 
@@ -60,18 +63,20 @@ def scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture, with rows that must be refused: repeated ones, other degrees of freedom, and those after a clock's step."""
     at = F.col("seq") % CYCLE
-    radar, visual = F.col("modality") == "radar", F.col("modality") == "visual"
+    radar, visual, acoustic = (F.col("modality") == m for m in ("radar", "visual", "acoustic"))
     rows = _observations(_vectors(spark, sf_dir), CAPTURE_DT_MS).filter(~((F.col("modality") == "acoustic") & (at == 40)) & ~at.between(80, 85))
     absent = at == 70
     told = (
         rows.withColumn("timestamp_ms", F.col("timestamp_ms") + F.when(radar & (at == 20), 1_500).when(visual & (at == 62), 5_000).otherwise(0))
-        .withColumn("nis", F.when(radar & (at == 45), F.lit(HUGE)).otherwise(F.col("nis")))
+        .withColumn("nis", F.when(radar & (at == 45), F.lit(HUGE)).when(acoustic & (at == 41), F.lit(math.nan)).when(radar & (at == 86), F.lit(-1.0)).otherwise(F.col("nis")))
+        .withColumn("prior_id", F.when((F.col("track_id") % 2 == 0) & (F.col("seq") == REUSED_AT), F.col("prior_id") - 1).otherwise(F.col("prior_id")))
         .withColumn("dof", F.when(visual & (at == 55), 2).otherwise(F.col("dof")))
         .withColumns({c: F.when(~absent, F.col(c)) for c in ("p0", "p1", "p2", "frame_id", "context_id", "prior_id")})
         .withColumn("context_id", F.col("context_id") + F.floor(F.col("seq") / 130))
     )
     again = told.filter(radar & (at == 30)).withColumns({"nis": F.lit(900.0), "timestamp_ms": F.col("timestamp_ms") + 7})
-    return told.unionByName(again)
+    lost = told.filter(radar & (at == 31)).withColumn("seq", F.lit(None).cast("long"))
+    return told.unionByName(again).unionByName(lost)
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +111,12 @@ def captured_sql() -> str:
     return f"""{base},
 told AS (SELECT track_id, seq, modality, code, {kept},
   timestamp_ms + CASE WHEN modality = 'radar' AND seq % {CYCLE} = 20 THEN 1500 WHEN modality = 'visual' AND seq % {CYCLE} = 62 THEN 5000 ELSE 0 END AS timestamp_ms,
-  CASE WHEN modality = 'radar' AND seq % {CYCLE} = 45 THEN {HUGE!r} ELSE nis END AS nis, CASE WHEN modality = 'visual' AND seq % {CYCLE} = 55 THEN 2 ELSE dof END AS dof,
-  CASE WHEN seq % {CYCLE} <> 70 THEN context_id + floor(seq / 130)::BIGINT END AS context_id, CASE WHEN seq % {CYCLE} <> 70 THEN prior_id END AS prior_id
+  CASE WHEN modality = 'radar' AND seq % {CYCLE} = 45 THEN {HUGE!r} WHEN modality = 'acoustic' AND seq % {CYCLE} = 41 THEN 'NaN'::DOUBLE
+  WHEN modality = 'radar' AND seq % {CYCLE} = 86 THEN -1.0 ELSE nis END AS nis, CASE WHEN modality = 'visual' AND seq % {CYCLE} = 55 THEN 2 ELSE dof END AS dof,
+  CASE WHEN seq % {CYCLE} <> 70 THEN context_id + floor(seq / 130)::BIGINT END AS context_id, CASE WHEN seq % {CYCLE} <> 70 THEN prior_id - (track_id % 2 = 0 AND seq = {REUSED_AT})::INT END AS prior_id
   FROM whole WHERE NOT (modality = 'acoustic' AND seq % {CYCLE} = 40) AND NOT (seq % {CYCLE} BETWEEN 80 AND 85)),
-obs AS (SELECT * FROM told UNION ALL SELECT * REPLACE (timestamp_ms + 7 AS timestamp_ms, 900.0::DOUBLE AS nis) FROM told WHERE modality = 'radar' AND seq % {CYCLE} = 30)"""
+obs AS (SELECT * FROM told UNION ALL SELECT * REPLACE (timestamp_ms + 7 AS timestamp_ms, 900.0::DOUBLE AS nis) FROM told WHERE modality = 'radar' AND seq % {CYCLE} = 30
+  UNION ALL SELECT * REPLACE (NULL::BIGINT AS seq) FROM told WHERE modality = 'radar' AND seq % {CYCLE} = 31)"""
 
 
 def user_events_sql() -> str:

@@ -81,7 +81,7 @@ def test_rejected_rows_are_no_evidence(spark):
     assessed = lambda r: sorted(map(str, fusion.assessed_frames(r, MODS, CFG, CorrelationConfig(window=8, min_samples=4)).collect()))
     assert assessed(rows) == assessed(frame)
     told = sorted((r.seq, r.reject) for r in magnitude.rejected(rows, CFG, MODS).collect())
-    assert told == [(11, "sequence_not_increasing"), (12, "dof_changed"), (12, "timestamp_not_increasing"), (13, "unexpected_modality"), (14, "incomplete"), (14, "incomplete")]
+    assert told == [(11, "sequence_not_increasing"), (12, "dof_changed"), (12, "timestamp_not_increasing"), (13, "unexpected_modality"), (14, "incomplete"), (14, "invalid_value")]
     assert magnitude.generations(frame.limit(0), CFG).count() == 0
 
 
@@ -244,3 +244,49 @@ def test_family_budget_is_divided_once():
         cfg.for_axes(3)
     assert cfg.significance_floor(128, 3) > CorrelationConfig().significance_floor(128, 3) > CorrelationConfig().significance_floor(128, 2)
     assert CorrelationConfig(family_alpha=1e-18).significance_floor(128, 3) == 1.0
+
+
+def test_correlation_has_no_unit(spark):
+    """Scaled and shifted projections give the same verdicts; constant columns stay errors."""
+    from accordant import views
+    from accordant.plans.detectors import CORR, DETECTOR, FUSED
+
+    rows = views.scenario(spark, "/root/testdata/sf0.001").filter("track_id = 0").cache()
+    told = lambda r: sorted(map(str, fusion.assessed_frames(r, MODS, DETECTOR, CORR).select(*FUSED).collect()))
+    want = told(rows)
+    assert sum("assessed'" in x and "insufficient" not in x for x in want) > 50
+    for scale, shift in ((1e-9, 0.0), (1e-160, 0.0), (1e160, 0.0), (1.0, 1e9), (-1.0, 0.0)):
+        moved = rows.withColumns({c: F.col(c) * F.lit(scale) + F.lit(shift) for c in ("p0", "p1", "p2")})
+        assert told(moved) == want, (scale, shift)
+    still = rows.withColumn("p1", F.when(F.col("modality") == "radar", F.lit(7.25e200)).otherwise(F.col("p1")))
+    states = {r.consistency_status for r in fusion.assessed_frames(still, MODS, DETECTOR, CORR).filter("w >= 64").collect()}
+    assert states == {"analysis_error"}
+
+
+def test_reused_priors_are_no_evidence(spark):
+    rows = observations(spark, [(1, i, m, 3, None) for i in range(20) for m in MODS])
+    rng_ = random.Random(4)
+    noisy = {(i, m): rng_.gauss(0, 1) for i in range(20) for m in MODS}
+    values = spark.createDataFrame([(i, m, v) for (i, m), v in noisy.items()], "seq long, modality string, v double")
+    rows = rows.join(values, ["seq", "modality"]).withColumns({c: F.col("v") for c in ("p0", "p1", "p2")}).drop("v")
+    rows = rows.withColumns({"frame_id": F.lit(1).cast("long"), "context_id": F.lit(1).cast("long"), "prior_id": F.col("seq")})
+    status = lambda r: [x.consistency_status for x in fusion.assessed_frames(r, MODS, CFG, CorrelationConfig(window=8, min_samples=4)).orderBy("seq").collect()]
+    assert "extraction_error" not in status(rows)
+    reused = F.when(F.col("seq") == 12, F.lit(3).cast("long")).otherwise(F.col("prior_id"))
+    again = status(rows.withColumn("prior_id", reused))
+    assert again[:12] == status(rows)[:12] and set(again[12:]) == {"extraction_error"}
+    # A channel that nobody asked for uses a prior again: that counts too.
+    other = rows.filter("modality = 'radar' and seq = 15").withColumns({"modality": F.lit("lidar"), "prior_id": F.lit(2).cast("long")})
+    seen = status(rows.unionByName(other))
+    assert seen[:15] == status(rows)[:15] and set(seen[15:]) == {"extraction_error"}
+
+
+def test_many_rows_without_sequence_are_told_as_they_come(spark):
+    """Rows without a sequence, or of one sequence, are refused one by one; none is held back."""
+    from accordant.operators import ordering
+
+    good = observations(spark, [(1, i, m, 3, None) for i in range(3) for m in MODS])
+    lost = good.filter("seq = 1").crossJoin(spark.range(4000)).drop("id")
+    rows = good.unionByName(lost.withColumn("seq", F.lit(None).cast("long"))).unionByName(lost)
+    told = {(r.reject, r["count"]) for r in ordering.checked(rows, CFG, MODS).groupBy("reject").count().collect()}
+    assert told == {(None, 9), ("incomplete", 12000), ("sequence_not_increasing", 12000)}

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordant import views
-from accordant.operators import magnitude
-from accordant.plans.detectors import MODS, SHORT_DETECTOR
+from accordant.operators import fusion, magnitude
+from accordant.plans.detectors import MODS, SHORT_CORR, SHORT_DETECTOR
 from accordant.streaming.assembler import Assembler, AssemblerLimits, assembled
-from accordant.streaming.detector import Track, verdicts
+from accordant.streaming.detector import VERDICT, Track, verdicts
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,30 +26,77 @@ def run(spark, stream, name, timers=False):
     return spark.table(name).collect()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = views.captured(spark, SF)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@pytest.fixture
+def typed_state(spark):
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    yield
+    spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
+def hard_rows(rows):
+    """The capture and what else must not end a query: rows without a value, huge, infinite and negative ones, and other channels."""
+    one = rows.filter("modality = 'radar' AND seq IN (12, 33, 90)")
+    null = [one.withColumn(c, F.lit(None).cast(t)) for c, t in (("nis", "double"), ("dof", "int"), ("timestamp_ms", "long"), ("modality", "string"))]
+    bad = [one.withColumn("nis", F.lit(x)) for x in (float("inf"), -3.0, float("nan"))]
+    huge = rows.withColumn("nis", F.when((F.col("seq") % 90).between(47, 48), F.lit(1.7e308)).otherwise(F.col("nis")))
+    other = one.withColumns({"modality": F.lit("lidar"), "timestamp_ms": F.col("timestamp_ms") + 1})
+    for extra in (*null, *bad, other):
+        huge = huge.unionByName(extra)
+    return huge
+
+
+def test_stream_equals_batch(spark, tmp_path, typed_state):
+    rows = hard_rows(views.captured(spark, SF)).cache()
     half = rows.agg(F.max("seq")).first()[0] // 2
-    rows.filter(F.col("seq") <= half).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows.filter(F.coalesce(F.col("seq") <= half, F.lit(True))).coalesce(1).write.parquet(f"{tmp_path}/in")
     rows.filter(F.col("seq") > half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    told = run(spark, verdicts(stream, MODS, SHORT_DETECTOR), "v")
-    got = {(r.track_id, r.seq): (r.generation, r.verdict, r.channels) for r in told if r.verdict != "rejected"}
-    refused = sorted((r.track_id, r.seq, r.channels, r.reason.replace("duplicate", "sequence_not_increasing")) for r in told if r.verdict == "rejected")
-    assert refused == sorted((r.track_id, r.seq, r.modality, r.reject) for r in magnitude.rejected(rows, SHORT_DETECTOR, MODS).collect())
-    assert len({r[3] for r in refused}) == 3
-    reports = magnitude.channel_reports(magnitude.channel_windows(magnitude.generations(rows, SHORT_DETECTOR), SHORT_DETECTOR), SHORT_DETECTOR, 3)
-    batch = {(r.track_id, r.seq): (r.generation, r.magnitude_verdict, r.magnitude_channels) for r in magnitude.magnitude_verdict(magnitude.frames(reports, MODS), SHORT_DETECTOR, MODS).collect()}
+    told = run(spark, verdicts(stream, MODS, SHORT_DETECTOR, SHORT_CORR), "v")
+    got = {(r.track_id, r.seq): (r.generation, *(r[c] for c in VERDICT)) for r in told if r.reason is None}
+    refused = sorted(str((r.track_id, r.seq, r.modality, r.reason)) for r in told if r.reason is not None)
+    assert refused == sorted(str((r.track_id, r.seq, r.modality, r.reject)) for r in magnitude.rejected(rows, SHORT_DETECTOR, MODS).collect())
+    assert {r.reason for r in told} >= {None, "incomplete", "invalid_value", "unexpected_modality", "sequence_not_increasing", "dof_changed"}
+    assessed = fusion.assessed_frames(rows, MODS, SHORT_DETECTOR, SHORT_CORR).collect()
+    batch = {(r.track_id, r.seq): (r.generation, *(r[c] for c in VERDICT)) for r in assessed}
     last = {t: max(s for u, s in batch if u == t) for t, _ in batch}
-    assert got == {k: v for k, v in batch.items() if k[1] != last[k[0]]}
+    want = {k: v for k, v in batch.items() if k[1] != last[k[0]]}
+    assert got == want
+    assert {v[4] for v in want.values()} >= {"assessed", "extraction_error", "missing_projection"} and len({v[5] for v in want.values()}) > 2
+
+
+def test_a_quiet_track_is_told_by_its_timer(spark, tmp_path, typed_state):
+    rows = views.scenario(spark, SF).filter("track_id = 0 AND seq < 3")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = verdicts(stream, MODS, SHORT_DETECTOR, SHORT_CORR, quiet_ms=300).writeStream.format("memory").queryName("quiet").outputMode("append").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("quiet").count() < 3:
+            time.sleep(0.3)
+        assert sorted(r.seq for r in spark.table("quiet").collect()) == [0, 1, 2]
+    finally:
+        q.stop()
 
 
-def test_rejects():
+def test_refusals():
     t = Track(SHORT_DETECTOR, MODS)
-    row = lambda seq, m="radar", dof=3: {"seq": seq, "timestamp_ms": seq * 100 + 1, "modality": m, "nis": 3.0, "dof": dof}
-    assert t.offer(row(1)) == [] and t.offer(row(2))[0]["verdict"] == "insufficient"
-    assert [t.offer(x)[0]["reason"] for x in (row(2), row(1), row(3, "lidar"), row(3, dof=2))] == ["duplicate", "late_frame", "unexpected_modality", "dof_changed"]
-    again = Track(SHORT_DETECTOR, MODS, t.save())
-    assert again.save() == t.save()
+    nothing = dict.fromkeys(("p0", "p1", "p2", "frame_id", "context_id", "prior_id"))
+    row = lambda seq, m="radar", dof=3, nis=3.0: {"seq": seq, "timestamp_ms": None if seq is None else seq * 100 + 1, "modality": m, "nis": nis, "dof": dof} | nothing
+    assert t.offer(row(1)) == [] and t.offer(row(2))[0]["fused_verdict"] == "insufficient"
+    hard = (row(2), row(1), row(3, "lidar"), row(None), row(3, nis=float("nan")), row(3, nis=-1.0), row(3, nis=None), row(3, dof=2))
+    assert [t.offer(x)[-1]["reason"] for x in hard] == [
+        "sequence_not_increasing", "late_frame", "unexpected_modality", "incomplete", "invalid_value", "invalid_value", "incomplete", "dof_changed"
+    ]
+
+
+def test_typed_state_is_asked_for(spark):
+    with pytest.raises(ValueError, match="providerClass"):
+        verdicts(views.scenario(spark, SF), MODS)
 
 
 IDS = {"fusion_timestamp_ms": 500, "frame_id": 1, "context_id": 1, "prior_id": 6}
@@ -150,3 +197,33 @@ def test_assembly_stream(spark, tmp_path):
     slow = AssemblerLimits(frame_deadline_ms=10**7, reorder_deadline_ms=10**7, heartbeat_deadline_ms=10**7, initial_deadline_ms=10**7)
     got = run(spark, assembled(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), slow), "a", timers=True)
     assert sorted((r.producer_id, r.kind) for r in got) == [("a", "frame"), ("a", "heartbeat"), ("b", "heartbeat")]
+
+
+BAD = [
+    ("monitor", "{"), ("monitor", None), ("monitor", "[]"), ("monitor", "NaN"), ("monitor", '{"event_seq": 0, "event_seq": 0}'), (None, "{}"), ("other", "{}"),
+    ("monitor", '{"event_seq": "0", "type": "heartbeat", "data": {}}'), ("monitor", '{"event_seq": 0, "type": "frame_summary", "data": {}}'),
+    ("monitor", '{"event_seq": 0, "type": "modality_outcome", "data": null}'), ("monitor", '{"event_seq": true, "type": "heartbeat", "data": {}}'),
+    ("observation", '{"seq": 1, "track_id": 1, "modality": 3, "timestamp_ms": 5}'), ("observation", '{"seq": -1, "track_id": 1, "modality": "x", "timestamp_ms": 5}'),
+    ("observation", '{"seq": Infinity}'), ("monitor", "[" * 60_000), ("observation", '"' + "x" * 70_000 + '"'),
+]
+
+
+@pytest.mark.parametrize(("route", "payload"), BAD)
+def test_bad_payloads_are_faults(route, payload):
+    machine = Assembler()
+    (told,) = machine.receive(route, payload, 10)
+    assert told["kind"] == "fault" and told["detail"] in ("malformed_payload", "invalid_envelope", "payload_too_large")
+    assert machine.receive("observation", json.dumps(OBS), 11) == []
+    assert Assembler(saved=machine.save()).fault == machine.fault
+
+
+def test_a_bad_payload_ends_its_key_alone(spark, tmp_path):
+    items = [*[("monitor", e) for e in frame_events()], ("observation", OBS)]
+    rows = [("s", p, i, 10 + i, route, json.dumps(x)) for p in ("a", "b", "c") for i, (route, x) in enumerate(items)]
+    rows = [(*r[:5], "{") if r[1] == "b" and r[2] == 2 else (*r[:3], None, *r[4:]) if r[1] == "c" and r[2] == 3 else r for r in rows]
+    df = spark.createDataFrame(rows, "session_id string, producer_id string, ordinal int, received_ms long, route string, payload string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    slow = AssemblerLimits(frame_deadline_ms=10**7, reorder_deadline_ms=10**7, heartbeat_deadline_ms=10**7, initial_deadline_ms=10**7)
+    got = run(spark, assembled(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), slow), "bad", timers=True)
+    told = sorted((r.producer_id, r.kind, r.detail if r.kind == "fault" else "") for r in got)
+    assert told == [("a", "frame", ""), ("a", "heartbeat", ""), ("b", "fault", "malformed_payload"), ("b", "heartbeat", ""), ("c", "frame", ""), ("c", "heartbeat", "")]
