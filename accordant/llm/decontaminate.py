@@ -6,12 +6,14 @@ words by their lower-case form. Windows of ``WINDOW`` template tokens of the
 benchmark are put in a hash table, and each document's windows are joined
 with it. Where windows of an item lie on one diagonal (the same distance
 between places in document and item), their slots must be consistent: one value
-of the item always stands for one value of the document. Capitals tell names only
+of the item always stands for one value of the document. Windows that touch a
+value for which this doesn't hold don't count; the others do. Capitals tell names only
 where case means something, so texts and items are also matched in a second
 form, in which names are words like others: copies in upper case, title case
 or lower case are found by it. A document holds an
 item if consistent windows cover at least ``COVERAGE`` of the item's windows,
-whether its values are the item's own or others.
+whether its values are the item's own or others; it is re-parameterised if a
+value in a window that counts isn't the item's own.
 
 The table is broadcast in blocks of at most ``BLOCK_BYTES`` bytes of benchmark
 texts, so its size has a bound; a larger benchmark takes more passes over the
@@ -245,27 +247,37 @@ class Block:
         for i, diagonals in groups.items():
             covered, changed = set(), False
             for shift, starts in diagonals.items():
-                consistent, differs = self._slots(i, shift, starts, ids, written)
-                if consistent:
-                    covered.update(starts)
-                    changed |= differs
+                clear, differs = self._slots(i, shift, starts, ids, written)
+                covered.update(clear)
+                changed |= differs
             if len(covered) >= coverage * self.n_windows[i]:
                 out.append((i, len(covered), int(self.n_windows[i]), changed))
         return out
 
-    def _slots(self, item: int, shift: int, starts: list[int], ids: np.ndarray, written: list[str]) -> tuple[bool, bool]:
-        """Whether the windows' templates agree and each value stands for one value; whether a value differs."""
-        own, known, differs = self.templates[item], {}, False
-        for p in {p + k for p in starts for k in range(self.width)}:
+    def _slots(self, item: int, shift: int, starts: list[int], ids: np.ndarray, written: list[str]) -> tuple[list[int], bool]:
+        """The windows of a diagonal that touch no conflicting slot, and whether a value in them differs from the item's.
+
+        A slot conflicts if a value of the item stands for several values on
+        the diagonal, or if the templates differ there.
+        """
+        own, known, conflicts, differing = self.templates[item], {}, set(), set()
+        places = {p + k for p in starts for k in range(self.width)}
+        slot = {}
+        for p in places:
             kind = own[p]
             if ids[p + shift] != kind:
-                return False, False
-            if kind < FIRST_WORD:
+                slot[p] = p
+                conflicts.add(p)
+            elif kind < FIRST_WORD:
                 a, b = plain(self.values[item][p]), plain(written[p + shift])
+                slot[p] = (kind, a)
                 if known.setdefault((kind, a), b) != b:
-                    return False, False
-                differs |= a != b
-        return True, differs
+                    conflicts.add((kind, a))
+                if a != b:
+                    differing.add(p)
+        blocked = {p for p, s in slot.items() if s in conflicts}
+        clear = [p for p in starts if not any(p + k in blocked for k in range(self.width))]
+        return clear, any(p + k in differing for p in clear for k in range(self.width))
 
 
 MATCH = "array<struct<item: {}, matched: int, windows: int, reparameterised: boolean>>"

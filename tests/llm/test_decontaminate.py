@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -19,9 +20,56 @@ def test_copies_and_reparameterised_copies():
     assert holds(Q, Q.upper().lower().replace("alice", "she")) != []
 
 
-def test_inconsistent_slots_are_refused():
-    twice = Q.replace("12", "9", 1).replace("12", "8")
-    assert holds(Q, twice) == []
+def test_windows_with_inconsistent_slots_do_not_count():
+    """One value that stands for two spoils the windows that touch it and no other."""
+    (found,) = holds(Q, Q)
+    once = Q.replace("12", "9", 1)
+    assert once.count("12") == Q.count("12") - 1 >= 1
+    (told,) = holds(Q, once)
+    assert told[0] == 1 and found[1] / 2 <= told[1] < found[1] and told[2] == found[2] and told[3] is False
+    other = once.replace("340", "77")
+    assert [t[3] for t in holds(Q, other)] == [True]
+    # With a conflict in every window nothing is left.
+    item = "alpha 12 beta gamma 12 delta epsilon 12 zeta eta 12 theta iota 12 kappa"
+    assert holds(item, item.replace("12", "9", 3)) == [] and holds(item, item.replace("12", "9")) != []
+
+
+def reparameterised(words, rng, slip):
+    """A question made of words with numbers, a name and units, and the same with other values; with ``slip`` one place has yet another."""
+    numbers, names, units = ["12", "340", "7.5"], ["Alice", "Boris"], ["km", "hours"]
+    slots, out = [], []
+    for i, w in enumerate(words):
+        out.append(w.lower())
+        if i % 6 == 3:
+            kind = rng.choice(["number", "name", "unit"])
+            slots.append(len(out))
+            if kind == "name":
+                out.append(rng.choice(names))
+            else:
+                out.append(rng.choice(numbers))
+                if kind == "unit":
+                    out.append(rng.choice(units))
+    change = {"12": "95", "340": "1,208", "7.5": "3", "Alice": "Zoë", "Boris": "Karim", "km": "miles", "hours": "days"}
+    new = [change.get(w, w) for w in out]
+    if slip:
+        at = rng.choice([s for s in slots])
+        new[at] = "Someone" if out[at] in names else "4711"
+    return " ".join(out), " ".join(new)
+
+
+@pytest.mark.parametrize("slip", [False, True])
+def test_recall_of_reparameterised_questions(spark, slip):
+    """Of questions with other numbers, names and units at least 0.9 are found, with one inconsistent value too; each item alone."""
+    rng = random.Random(11)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if len((r.text or "").split()) >= 12]
+    pairs = [reparameterised(re.findall(r"[^\W\d_]+", t), rng, slip) for t in texts]
+    bench = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Some words before. {b}. And words after it.") for i, (_, b) in enumerate(pairs)], "doc_id long, text string")
+    got = dc.contaminated(spark, docs, bench).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(pairs) >= 20 and sum((i, i) in found for i in range(len(pairs))) >= 0.9 * len(pairs)
+    assert all(a == b or pairs[a] == pairs[b] for a, b in found)
+    assert all(r.reparameterised for r in got) or slip
 
 
 def test_what_is_clean_stays():
