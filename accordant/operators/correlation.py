@@ -15,6 +15,8 @@ from accordant.config import CorrelationConfig, DetectorConfig
 from accordant.schema import canonical
 
 EPSILON = 2.220446049250313e-16
+#: A variance of unitless values that isn't told from none.
+LEAST = 1e-300
 
 
 def aligned(wide: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...]) -> DataFrame:
@@ -105,68 +107,48 @@ def _any(xs: list[Column]) -> Column:
     return out
 
 
-#: Largest values between these can be squared and summed; beyond them, or where values vary by less than RELATIVE of
-#: the largest, a window is centred on its mid-range and scaled first.
-MILD, RELATIVE = (1e-100, 1e100), 1e-7
+def unitless(frames: DataFrame, columns: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Replace columns by their distance from the group's value of least size, in units of the largest such distance.
 
-
-def _scaled_pearson(x: str, y: str, of_x: str, of_y: str) -> Column:
-    """Correlation of two fields of the rows in ``_w``, each centred on its mid-range and divided by half its range; null if degenerate."""
-
-    def unit(field: str, of: str) -> str:
-        centre = f"(_lo_{of} / 2 + _hi_{of} / 2)"
-        return f"((s.`{field}` - {centre}) / nullif(greatest(abs(_lo_{of} - {centre}), abs(_hi_{of} - {centre})), 0D))"
-
-    u, v = f"({unit(x, of_x)} - a.mx)", f"({unit(y, of_y)} - a.my)"
-    moments = ", ".join(f"'{n}', a.{n} + {d} * {e} * a.n / (a.n + 1D)" for n, d, e in (("xx", u, u), ("yy", v, v), ("xy", u, v)))
-    step = f"named_struct('n', a.n + 1D, 'mx', a.mx + {u} / (a.n + 1D), 'my', a.my + {v} / (a.n + 1D), {moments})"
-    zero = "named_struct('n', 0D, 'mx', 0D, 'my', 0D, 'xx', 0D, 'yy', 0D, 'xy', 0D)"
-    degenerate = f"a.xx <= {EPSILON!r}D * a.n OR a.yy <= {EPSILON!r}D * a.n"
-    return F.expr(f"aggregate(_w, {zero}, (a, s) -> {step}, a -> IF({degenerate}, NULL, a.xy / (sqrt(a.xx) * sqrt(a.yy))))")
+    A correlation has no unit, so this changes none; but sums of squares then
+    neither overflow nor vanish, and a large offset takes no digits away. A
+    single huge value sets the unit and nothing else. Groups without a finite
+    value become null.
+    """
+    whole = Window.partitionBy(*keys)
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    centred = frames.withColumns({f"_c_{c}": F.min_by(finite(c), F.abs(finite(c))).over(whole) for c in columns})
+    # Halved, as the distance of two doubles may be no double.
+    moved = centred.withColumns({c: F.col(c) / 2 - F.col(f"_c_{c}") / 2 for c in columns}).drop(*(f"_c_{c}" for c in columns))
+    sized = moved.withColumns({f"_m_{c}": F.max(F.abs(finite(c))).over(whole) for c in columns})
+    return sized.withColumns({c: F.try_divide(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
 
 def pair_correlations(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:
     """Add ``w`` (aligned samples in the window) and r_<axis>_<i>_<j> for channels i < j; null where degenerate or not aligned.
 
     Each window is summed from its own rows, about their means: nothing of
-    older rows is left in it. A correlation has no unit, so neither scale nor
-    offset of the values matters: a suffix with values that can't be squared,
-    or that vary by less than their digits tell, is correlated from the values
-    of each window, centred and scaled by its own range. Constant or
-    non-finite columns are null.
+    older rows is left in it. Values are made ``unitless`` in their suffix
+    first, so neither scale nor offset matters. Constant and non-finite columns
+    are null, and so are values under 1e-150 of the suffix's largest.
     """
     mods = canonical(modalities)
-    whole = Window.partitionBy("track_id", "generation", "suffix")
-    own = whole.orderBy("seq").rowsBetween(-(cfg.window - 1), 0)
+    keys = ("track_id", "generation", "suffix")
+    own = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-(cfg.window - 1), 0)
     in_suffix = F.col("place").isNotNull()
-    field = lambda i, a: f"{mods[i]}_p{a}"
-    value = lambda i, a: F.when(in_suffix, F.col(field(i, a)))
     columns = [(a, i) for a in range(axes) for i in range(len(mods))]
     pairs = [(a, i, j) for a in range(axes) for i, j in combinations(range(len(mods)), 2)]
-    spread = {f"_v_{a}_{i}": F.var_pop(value(i, a)).over(own) for a, i in columns}
-    both = {f"_r_{a}_{i}_{j}": F.covar_pop(value(i, a), value(j, a)).over(own) for a, i, j in pairs}
-    largest = {f"_m_{a}_{i}": F.max(F.abs(value(i, a))).over(whole) for a, i in columns}
-    windowed = frames.withColumns(spread | both | largest)
-    wild = [f"NOT (_m_{a}_{i} BETWEEN {MILD[0]!r}D AND {MILD[1]!r}D)" for a, i in columns]
-    close = [f"_v_{a}_{i} < {RELATIVE**2!r}D * _m_{a}_{i} * _m_{a}_{i}" for a, i in columns]
-    # AND binds first, and squares are only taken of mild values.
-    hard = F.expr(f"coalesce({' OR '.join(wild)} OR place >= 4 AND ({' OR '.join(close)}), false)")
-    judged = windowed.withColumn("_hard", F.max(hard).over(whole))
-    rows = F.collect_list(F.when(F.col("_hard") & in_suffix, F.struct(*(field(i, a) for a, i in columns)))).over(own)
-    held = judged.withColumn("_w", F.when(F.col("_hard"), rows))
-    ends = {
-        f"_{name}_{a}_{i}": F.expr(f"{function}(transform(_w, s -> s.`{field(i, a)}`))")
-        for a, i in columns
-        for name, function in (("lo", "array_min"), ("hi", "array_max"))
-    }
+    plain = {f"_p_{a}_{i}": F.when(in_suffix, F.col(f"{mods[i]}_p{a}")) for a, i in columns}
+    scaled = unitless(frames.withColumns(plain), list(plain), keys)
+    spread = {f"_v_{a}_{i}": F.var_pop(f"_p_{a}_{i}").over(own) for a, i in columns}
+    both = {f"_r_{a}_{i}_{j}": F.covar_pop(f"_p_{a}_{i}", f"_p_{a}_{j}").over(own) for a, i, j in pairs}
+    windowed = scaled.withColumns(spread | both)
     out = {"w": F.when(in_suffix, F.least(F.col("place"), F.lit(cfg.window)))}
     for a, i, j in pairs:
-        r = F.try_divide(F.col(f"_r_{a}_{i}_{j}"), F.sqrt(f"_v_{a}_{i}") * F.sqrt(f"_v_{a}_{j}"))
-        scaled = _scaled_pearson(field(i, a), field(j, a), f"{a}_{i}", f"{a}_{j}")
-        either = F.when(F.col("_hard"), scaled).otherwise(r)
-        sound = in_suffix & either.isNotNull() & ~F.isnan(either)
-        out[f"r_{a}_{i}_{j}"] = F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), either)))
-    return held.withColumns(ends).withColumns(out).drop(*spread, *both, *largest, *ends, "_hard", "_w")
+        r = f"_r_{a}_{i}_{j} / (sqrt(_v_{a}_{i}) * sqrt(_v_{a}_{j}))"
+        sound = f"place IS NOT NULL AND _v_{a}_{i} > {LEAST!r}D AND _v_{a}_{j} > {LEAST!r}D AND NOT isnan(_r_{a}_{i}_{j})"
+        out[f"r_{a}_{i}_{j}"] = F.expr(f"CASE WHEN {sound} THEN greatest(-1D, least(1D, {r})) END")
+    return windowed.withColumns(out).drop(*plain, *spread, *both)
 
 
 def consensus(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str, ...], axes: int = 3) -> DataFrame:
@@ -182,29 +164,35 @@ def consensus(frames: DataFrame, cfg: CorrelationConfig, modalities: tuple[str,
     number = lambda x: f"{x!r}D"
     any_of = lambda xs: " OR ".join(f"({x})" for x in xs)
     floors = ", ".join(map(number, cfg.floors(c)))
-    out = frames.withColumn("_floor", F.expr(f"array({floors})[CAST(coalesce(w, 0) AS INT)]"))
-    # One parsed expression a column: many small Column calls would take longer to build than to run.
+    # Parsed expressions in one projection that refer to each other: many small Column calls, or many projections, would
+    # take longer to plan than to run.
+    steps = {"_floor": f"array({floors})[CAST(coalesce(w, 0) AS INT)]"}
     for a in range(axes):
         if c < 3:
-            out = out.withColumns({f"corr_{a}": F.lit("insufficient"), f"mask_{a}": F.lit(0)})
+            steps |= {f"corr_{a}": "'insufficient'", f"mask_{a}": "0"}
             continue
+        of = lambda name, axis=a: f"_{name}_{axis}"
         r = {p: f"r_{a}_{p[0]}_{p[1]}" for p in pairs}
-        edge = {p: f"_e_{p[0]}_{p[1]}" for p in pairs}
-        cliques = {mask: " AND ".join(edge[p] for p in combinations([i for i in range(c) if mask >> i & 1], 2)) or "true" for mask in range(1, 1 << c)}
-        best = {mask: f"{holds} AND _largest = {mask.bit_count()}" for mask, holds in cliques.items()}
-        bridged = any_of(f"{edge[i, j]} AND (_clique & {1 << i} <> 0) <> (_clique & {1 << j} <> 0)" for i, j in pairs)
-        unclear = any_of((f"_reference < {number(cfg.corr_floor)}", "_floor >= 1.0D", "_reference < _threshold", f"NOT (2 * _largest > {c} AND _ties = 1)", bridged))
+        edge = {p: of(f"e_{p[0]}_{p[1]}") for p in pairs}
+        reference, threshold, largest, ties, clique = map(of, ("reference", "threshold", "largest", "ties", "clique"))
+        members = {mask: [i for i in range(c) if mask >> i & 1] for mask in range(1, 1 << c)}
+        cliques = {mask: " AND ".join(edge[p] for p in combinations(own, 2)) or "true" for mask, own in members.items()}
+        best = {mask: f"{holds} AND {largest} = {mask.bit_count()}" for mask, holds in cliques.items()}
+        bridged = any_of(f"{edge[i, j]} AND ({clique} & {1 << i} <> 0) <> ({clique} & {1 << j} <> 0)" for i, j in pairs)
+        below = (f"{reference} < {number(cfg.corr_floor)}", "_floor >= 1.0D", f"{reference} < {threshold}")
+        unclear = any_of((*below, f"NOT (2 * {largest} > {c} AND {ties} = 1)", bridged))
         missing = any_of(f"{x} IS NULL" for x in r.values())
-        steps = (
-            {"_reference": f"greatest({', '.join(r.values())})"},
-            {"_threshold": f"greatest({number(cfg.corr_floor)}, _floor, {number(cfg.decouple_ratio)} * _reference)"},
-            {edge[p]: f"{r[p]} >= _threshold" for p in pairs},
-            {"_largest": f"greatest({', '.join(f'IF({holds}, {mask.bit_count()}, 0)' for mask, holds in cliques.items())})"},
-            {"_ties": " + ".join(f"IF({b}, 1, 0)" for b in best.values()), "_clique": f"greatest({', '.join(f'IF({b}, {mask}, 0)' for mask, b in best.items())})"},
-            {f"corr_{a}": f"CASE WHEN coalesce(w, 0) < {cfg.min_samples} THEN 'insufficient' WHEN {missing} THEN 'error' WHEN {unclear} THEN 'insufficient' WHEN _clique = {(1 << c) - 1} THEN 'nominal' ELSE 'decoupled' END"},
-            {f"mask_{a}": f"IF(corr_{a} = 'decoupled', {(1 << c) - 1} - _clique, 0)"},
-        )
-        for step in steps:
-            out = out.withColumns({name: F.expr(text) for name, text in step.items()})
-        out = out.drop("_reference", "_threshold", "_largest", "_ties", "_clique", *edge.values())
-    return out.drop("_floor")
+        everyone = (1 << c) - 1
+        steps |= {
+            reference: f"greatest({', '.join(r.values())})",
+            threshold: f"greatest({number(cfg.corr_floor)}, _floor, {number(cfg.decouple_ratio)} * {reference})",
+            **{edge[p]: f"{r[p]} >= {threshold}" for p in pairs},
+            largest: f"greatest({', '.join(f'IF({holds}, {mask.bit_count()}, 0)' for mask, holds in cliques.items())})",
+            ties: " + ".join(f"IF({b}, 1, 0)" for b in best.values()),
+            clique: f"greatest({', '.join(f'IF({b}, {mask}, 0)' for mask, b in best.items())})",
+            f"corr_{a}": f"CASE WHEN coalesce(w, 0) < {cfg.min_samples} THEN 'insufficient' WHEN {missing} THEN 'error'"
+            f" WHEN {unclear} THEN 'insufficient' WHEN {clique} = {everyone} THEN 'nominal' ELSE 'decoupled' END",
+            f"mask_{a}": f"IF(corr_{a} = 'decoupled', {everyone} - {clique}, 0)",
+        }
+    out = frames.selectExpr("*", *(f"{text} AS `{name}`" for name, text in steps.items()))
+    return out.drop(*(name for name in steps if name.startswith("_")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from accordant.config import DetectorConfig
 from accordant.functions.special import chi2_isf
-from accordant.operators import ordering
+from accordant.operators import exact, ordering
 from accordant.schema import canonical
 
 KEY = ("track_id", "generation", "modality")
@@ -46,15 +46,13 @@ def rejected(rows: DataFrame, cfg: DetectorConfig, modalities: tuple[str, ...] |
 def channel_windows(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Rows with track_id, generation, modality, seq and nis: add n, sum_nis and mean_nis of the channel's newest ``window_len`` rows.
 
-    Sums are taken over the window's own rows, so what has left a window leaves
-    no trace; a sum that no double holds is the largest double.
+    Sums are those of the window's own rows, exact and rounded once, so neither
+    the order of rows nor what has left a window leaves a trace; a sum that no
+    double holds is the largest double.
     """
     own = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(-(cfg.window_len - 1), 0)
-    largest = F.lit(ordering.LARGEST)
-    # Windows have at most 2 ** 16 rows: values over that can't overflow.
-    sums = rows.withColumns({"n": F.count(F.lit(1)).over(own), "_part": F.sum(F.col("nis") / 65536.0).over(own)})
-    whole = {"sum_nis": F.least(largest, F.col("_part") * 65536.0), "mean_nis": F.least(largest, F.col("_part") * (65536.0 / F.col("n")))}
-    return sums.withColumns(whole).drop("_part")
+    sums = exact.window_sums(rows.withColumn("n", F.count(F.lit(1)).over(own)), "nis", KEY, "seq", cfg.window_len, "sum_nis", "mean_nis")
+    return sums.drop("limbs")
 
 
 def channel_reports(rows: DataFrame, cfg: DetectorConfig, channels: int, dofs: tuple[int, ...] = (3,)) -> DataFrame:

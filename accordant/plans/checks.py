@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant import views
-from accordant.operators import correlation, coupling, monitor, ordering, statistics, traces
+from accordant.operators import correlation, coupling, identity, monitor, ordering, statistics, traces
 from accordant.plans import detectors
 from accordant.plans.detectors import MODS, SHORT_DETECTOR
+from accordant.schema import CODES
 
 RETAINED, FIRST_TRACKS, REPLICATES, SEED = 100, 8, 200, 7
 
@@ -90,6 +91,15 @@ def health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("track_id", state).agg(F.count("*").alias("n_rows"), F.count_if("is_reset").alias("n_reset"))
 
 
+SUITE = identity.suite_digest((SHORT_DETECTOR, detectors.SHORT_CORR), MODS)
+
+
+def stream_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the verdicts of each track of the capture are bound to: its admitted observations in order, and the parameters."""
+    rows = ordering.checked(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS).filter("reject IS NULL")
+    return identity.bindings(rows, SUITE)
+
+
 def alarm_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detectors._reports(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
     rank = statistics.alarm_rank(F.col("anomalous"), F.col("mean_nis") / 20)
@@ -120,6 +130,33 @@ def sequential_cusums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # SQL -----------------------------------------------------------------------
 
+
+def _bindings_sql() -> str:
+    """CTEs from gen to ``bound``; the bytes as hexadecimal text."""
+    head = lambda name, kind, length: f"'{identity._prefix(name, kind, length).hex()}'"
+    u64 = lambda name, x: f"{head(name, identity.U64, 8)} || format('{{:016x}}', ({x})::BIGINT)"
+    u8 = lambda name, x: f"{head(name, identity.U8, 1)} || format('{{:02x}}', ({x})::BIGINT)"
+    f64 = lambda name: f"{head(name, identity.F64, 8)} || hex(({name} + 0.0)::DOUBLE::BIT::BLOB)"
+    domain = lambda name: f"'{identity._domain(name).hex()}'"
+    code = "CASE modality " + " ".join(f"WHEN '{m}' THEN {CODES[m] + 1}" for m in MODS) + " END"
+    there = [u8("projection", "1"), *(f64(c) for c in identity.PROJECTION), *(u64(c, c) for c in identity.PROVENANCE)]
+    scalar = [domain("observation"), *(u64(c, c) for c in ("track_id", "timestamp_ms", "seq")), u8("modality", code), f64("nis"), u8("dof", "dof")]
+    text = " || ".join([*scalar, f"CASE WHEN p0 IS NULL THEN {u8('projection', '0')} ELSE {' || '.join(there)} END"])
+    levels, below = [], "l0"
+    for step in range(identity.LEVELS):
+        group = f"(nth - 1) // {identity.FAN_OUT}" if step < identity.LEVELS - 1 else "0"
+        levels.append(f"""l{step + 1} AS (SELECT track_id, g + 1 AS nth, sha256(unhex({domain(f"level-{step}")} || {u64("count", "c")} || t)) AS d, n
+  FROM (SELECT track_id, {group} AS g, count(*) AS c, string_agg(d, '' ORDER BY nth) AS t, sum(n)::BIGINT AS n FROM {below} GROUP BY ALL))""")
+        below = f"l{step + 1}"
+    suite = (identity._domain("binding") + identity._prefix("suite", identity.DIGEST, 32)).hex() + SUITE
+    tree = head("tree", identity.DIGEST, 32)
+    return f"""l0 AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq, code, timestamp_ms, dof, nis) AS nth, 1 AS n,
+  sha256(unhex({text})) AS d FROM gen),
+{", ".join(levels)},
+bound AS (SELECT track_id, n, sha256(unhex('{suite}' || {u64("observations", "n")} || {tree} || d)) AS binding FROM {below})"""
+
+
+
 _MISS = ", ".join(f"'{m}'" for m in (*monitor.MISS_REASONS, "other"))
 _DRAWN = f"(replicate * 1000003 + d * 7919 + s * 104729 + {SEED}) % {statistics.DRAW_PRIME}"
 _REFUSED = detectors.ORACLES["refused_rows"]
@@ -133,7 +170,7 @@ QUERIES = {
     "mixed_origins": mixed_origins,
     "ordered_rows": ordered_rows,
     "first_tracks": first_tracks,
-    "health_counts": health_counts,
+    "health_counts": health_counts, "stream_bindings": stream_bindings,
     "alarm_ranks": alarm_ranks,
     "auc_intervals": auc_intervals,
     "sequential_cusums": sequential_cusums,
@@ -161,6 +198,7 @@ SELECT origin, track_id, modality, count(*) AS n_rows, count(DISTINCT seq) AS n_
     "health_counts": "WITH told AS (" + _REFUSED + "), kept AS (" + detectors.ORACLES["generations"] + """)
 SELECT track_id, reject AS state, count(*) AS n_rows, 0::BIGINT AS n_reset FROM told GROUP BY ALL
 UNION ALL SELECT track_id, 'admitted', count(*), count(*) FILTER (is_reset) FROM kept GROUP BY ALL""",
+    "stream_bindings": detectors._captured_until(_bindings_sql()) + " SELECT track_id, n AS observations, binding FROM bound",
     "alarm_ranks": detectors._captured_until(detectors.reports_sql(SHORT_DETECTOR, 3))
     + " SELECT track_id, modality, seq, round(CASE WHEN anomalous THEN 2.0 ELSE 0.0 END + greatest(0.0, least(1.0, mean_nis / 20)), 6) AS rank FROM rep",
     "auc_intervals": f"""WITH l AS (SELECT doc_id, toxic = 1 AS pos, n_chars::DOUBLE AS n_chars, quality::DOUBLE AS quality FROM labels JOIN documents USING (doc_id)),

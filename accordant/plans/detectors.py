@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant import views
 from accordant.config import CorrelationConfig, DetectorConfig
-from accordant.operators import correlation, fusion, magnitude
+from accordant.operators import correlation, exact, fusion, magnitude
 from accordant.schema import canonical
 
 MODS = canonical(views.CHANNELS)
@@ -47,6 +47,14 @@ def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track_id", "generation", "modality", "seq", "n", "huge", *mild, "elevated", "high", "low")
 
 
+def exact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window sums of the capture as whole numbers of 40 bits, the lowest in units of 2^-83, and the doubles nearest to them."""
+    sound = magnitude.generations(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
+    out = exact.window_sums(sound, "nis", magnitude.KEY, "seq", SHORT_DETECTOR.window_len, "sum_nis")
+    mild = F.when(F.col("sum_nis") < 1e9, F.round("sum_nis", 6)).alias("sum_nis")
+    return out.select("track_id", "generation", "modality", "seq", mild, *(c.alias(n) for n, c in exact.limb_columns(F.col("limbs")).items()))
+
+
 def refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the capture that are no evidence, and why."""
     out = magnitude.rejected(views.captured(spark, sf_dir), SHORT_DETECTOR, MODS)
@@ -236,7 +244,7 @@ _EVENT_MODS = canonical(tuple(views.EVENT_MODALITY.values()))
 _FUSED_SQL = ", ".join(FUSED)
 
 QUERIES = {
-    "channel_order": channel_order, "nis_windows": nis_windows, "cusum": cusum, "captured_windows": captured_windows, "refused_rows": refused_rows, "generations": generations, "magnitude_verdicts": magnitude_verdicts, "user_verdicts": user_verdicts,
+    "channel_order": channel_order, "nis_windows": nis_windows, "cusum": cusum, "captured_windows": captured_windows, "exact_windows": exact_windows, "refused_rows": refused_rows, "generations": generations, "magnitude_verdicts": magnitude_verdicts, "user_verdicts": user_verdicts,
     "aligned_frames": aligned_frames, "pair_correlations": pair_correlations, "correlation_verdicts": correlation_verdicts, "fused_verdicts": fused_verdicts, "captured_verdicts": captured_verdicts,
 }
 
@@ -256,6 +264,14 @@ run AS (SELECT track_id, modality, seq, greatest(0, d - {DETECTOR.cusum_slack!r}
 SELECT track_id, modality, seq, round(hi, 6) AS cusum_hi, round(lo, 6) AS cusum_lo, hi >= {DETECTOR.cusum_threshold!r} AS high, lo >= {DETECTOR.cusum_threshold!r} AS low FROM run""",
     "captured_windows": _captured_until(reports_sql(SHORT_DETECTOR, 3)) + f""" SELECT track_id, generation, modality, seq, n, sum_nis >= {views.HUGE!r} AS huge, round(CASE WHEN sum_nis < 1e9 THEN sum_nis END, 6) AS sum_nis,
   round(CASE WHEN cusum_hi < 1e9 THEN cusum_hi END, 6) AS cusum_hi, round(CASE WHEN cusum_lo < 1e9 THEN cusum_lo END, 6) AS cusum_lo, elevated, high, low_alarm AS low FROM rep""",
+    # Whole numbers: the part from 2^-3 up and the part below, each in units that make it whole, summed and put together again.
+    "exact_windows": _captured_until("""parts AS (SELECT *, floor(nis * 8)::HUGEINT AS up, ((nis * 8 - floor(nis * 8)) * 2.0 ** 80)::HUGEINT AS down FROM gen),
+tot AS (SELECT *, sum(up) OVER w AS ups, sum(down) OVER w AS downs, sum(nis) OVER w AS total FROM parts
+  WINDOW w AS (PARTITION BY track_id, generation, modality ORDER BY seq ROWS WIDTH PRECEDING)),
+car AS (SELECT *, ups + (downs >> 80) AS high, downs & ((1::HUGEINT << 80) - 1) AS low FROM tot)""".replace("WIDTH", str(SHORT_DETECTOR.window_len - 1)))
+    + """ SELECT track_id, generation::BIGINT AS generation, modality, seq, round(CASE WHEN total < 1e9 THEN total END, 6) AS sum_nis,
+  (low & 1099511627775)::BIGINT AS limb_0, (low >> 40)::BIGINT AS limb_1, (high & 1099511627775)::BIGINT AS limb_2,
+  ((high >> 40) & 1099511627775)::BIGINT AS limb_3, (high >> 80)::BIGINT AS limb_4 FROM car""",
     # Refused are those that the fold didn't pick; why is told from the state before the frame.
     "refused_rows": _captured_until() + """, held AS (SELECT r.*, f.s, f.t, f.d, g.rid AS took FROM ranked r
   JOIN sent x USING (track_id, seq) JOIN (UNPIVOT_HERE) f ON f.track_id = r.track_id AND f.k = x.k - 1 AND f.modality = r.modality
