@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant import views
 from accordant.config import CorrelationConfig, DetectorConfig
+from accordant.functions.tails import chi2_right
 from accordant.operators import correlation, exact, fusion, magnitude
 from accordant.schema import canonical
 
@@ -32,7 +33,9 @@ def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _reports(views.scenario(spark, sf_dir), DETECTOR, MODS)
-    return out.select("track_id", "modality", "seq", "n", *_r("sum_nis", "mean_nis"), "elevated")
+    tail = chi2_right("sum_nis", "degrees")
+    told = out.withColumn("degrees", F.col("n") * F.col("dof")).withColumn("p_right", F.round(tail, 9))
+    return told.select("track_id", "modality", "seq", "n", *_r("sum_nis", "mean_nis"), "p_right", "elevated")
 
 
 def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +246,11 @@ _SCENARIO_REPORTS = "WITH RECURSIVE " + ",\n".join((views.scenario_sql(), genera
 _EVENT_MODS = canonical(tuple(views.EVENT_MODALITY.values()))
 _FUSED_SQL = ", ".join(FUSED)
 
+# Another way than the columns': Poisson terms by their gamma functions for even degrees; for odd ones, less the series of the left tail.
+_TERM = "exp((i + {half}) * ln(sum_nis / 2) - sum_nis / 2 - lgamma(i + 1 + {half}))"
+_TAIL = f"""round(CASE WHEN (n * dof) % 2 = 0 THEN list_sum(list_transform(range(n * dof // 2), lambda i: {_TERM.format(half="0.0")}))
+  ELSE 1 - list_sum(list_transform(range(n * dof // 2, n * dof // 2 + 800), lambda i: {_TERM.format(half="0.5")})) END, 9)"""
+
 QUERIES = {
     "channel_order": channel_order, "nis_windows": nis_windows, "cusum": cusum, "captured_windows": captured_windows, "exact_windows": exact_windows, "refused_rows": refused_rows, "generations": generations, "magnitude_verdicts": magnitude_verdicts, "user_verdicts": user_verdicts,
     "aligned_frames": aligned_frames, "pair_correlations": pair_correlations, "correlation_verdicts": correlation_verdicts, "fused_verdicts": fused_verdicts, "captured_verdicts": captured_verdicts,
@@ -256,7 +264,7 @@ j AS (SELECT track_id, modality, k, day, 'sound' AS reject, false AS discontinuo
   CASE WHEN l.day > p AND timestamp_ms > t THEN l.day ELSE p END, CASE WHEN l.day > p AND timestamp_ms > t THEN timestamp_ms ELSE t END
   FROM j JOIN l ON l.track_id = j.track_id AND l.modality = j.modality AND l.k = j.k + 1)
 SELECT modality, reject, discontinuous, count(*) AS n_rows, min(day) AS first_seq, max(day) AS last_seq FROM j GROUP BY ALL""",
-    "nis_windows": f"{_SCENARIO_REPORTS} SELECT track_id, modality, seq, n, round(sum_nis, 6) AS sum_nis, round(mean_nis, 6) AS mean_nis, elevated FROM rep",
+    "nis_windows": f"{_SCENARIO_REPORTS} SELECT track_id, modality, seq, n, round(sum_nis, 6) AS sum_nis, round(mean_nis, 6) AS mean_nis, {_TAIL} AS p_right, elevated FROM rep",
     # the recursion itself, row by row
     "cusum": f"""WITH RECURSIVE {views.scenario_sql()}, x AS MATERIALIZED (SELECT track_id, modality, seq, nis / sqrt(6.0) - 3 / sqrt(6.0) AS d FROM obs),
 run AS (SELECT track_id, modality, seq, greatest(0, d - {DETECTOR.cusum_slack!r}) AS hi, greatest(0, -d - {DETECTOR.cusum_slack!r}) AS lo FROM x WHERE seq = 0
