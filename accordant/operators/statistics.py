@@ -13,6 +13,11 @@ from accordant.functions.special import Z95
 def auc(rows: DataFrame, group: list[str], score: str, positive: Column) -> DataFrame:
     """Mann-Whitney AUC with half credit for ties; null where a class is empty. Null scores are left out."""
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*group, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
+    return _auc_of_counts(counts, group, score)
+
+
+def _auc_of_counts(counts: DataFrame, group: list[str], score: str) -> DataFrame:
+    """AUC from positives ``_p`` and negatives ``_n`` of each distinct score."""
     below = F.sum("_n").over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     won = counts.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
     return won.groupBy(*group).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_won").alias("_won")).withColumn("auc", F.try_divide("_won", F.col("n_pos").cast("double") * F.col("n_neg"))).drop("_won")
@@ -88,21 +93,33 @@ def drawn(replicate: Column, draw: Column, stratum: Column, n: Column, seed: int
     return (again * again + h) % DRAW_PRIME % n
 
 
+def poisson_cuts(n: int = 12) -> list[int]:
+    """Draws from which on a row counts once, twice and so on: the distribution function of a Poisson number of mean 1."""
+    total, cuts = 0.0, []
+    for k in range(n):
+        total += math.exp(-1) / math.factorial(k)
+        cuts.append(math.ceil(total * DRAW_PRIME))
+    return cuts
+
+
 def bootstrap_auc(rows: DataFrame, key: str, positive: Column, scores: tuple[str, ...], replicates: int = 200, seed: int = 7) -> DataFrame:
-    """One row a (replicate, score): the AUC of a resample in which each class is drawn from anew, as often as it has rows.
+    """One row a (replicate, score): the AUC of a resample in which each row counts a Poisson number of times, of mean 1.
 
-    All scores of a replicate share its draws, so their differences are paired.
-    Draws are made where the rows are, one a row and replicate, and only counts
-    of equal scores are gathered.
+    That number is told by replicate and key (a whole number) alone, where the
+    row is: no row needs a place among the others and none is joined or
+    shuffled; counts of equal scores are summed before they are. All scores of
+    a replicate share its numbers, so their differences are paired. Rows of one
+    key count alike; a null key counts as 0. Null scores are left out.
     """
-    stratum = F.when(positive, 1).otherwise(0)
-    known = rows.select(stratum.alias("_s"), F.col(key).alias("_key"), *scores)
-    numbered = known.withColumn("_j", (F.row_number().over(Window.partitionBy("_s").orderBy("_key")) - 1).cast("long"))
-    sizes = known.groupBy("_s").agg(F.count("*").alias("_n"))
-    each = numbered.select("_s", F.col("_j").alias("_d")).join(F.broadcast(sizes), "_s")  # two rows
-    drawn_rows = each.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    picked = drawn_rows.select("replicate", "_s", drawn(F.col("replicate"), F.col("_d"), F.col("_s"), F.col("_n"), seed).alias("_j"))
-    sampled = picked.join(numbered, ["_s", "_j"])
-    values = F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).cast("double").alias("value")) for s in scores)))
-    long = sampled.select("replicate", "_s", values.alias("v")).select("replicate", "_s", F.col("v.name").alias("score"), "v.value")
-    return auc(long, ["replicate", "score"], "value", F.col("_s") == 1)
+    values = F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).cast("double").alias("value")) for s in scores))
+    known = rows.select(positive.alias("_pos"), F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(DRAW_PRIME)).alias("_d"), values.alias("_v"))
+    each = known.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    u = drawn(F.col("replicate"), F.col("_d"), F.lit(0), F.lit(DRAW_PRIME), seed)
+    cuts = F.array(*(F.lit(c).cast("long") for c in poisson_cuts()))
+    told = each.select("replicate", "_pos", u.alias("_u"), "_v").withColumn("_times", F.size(F.filter(cuts, lambda c: F.col("_u") >= c)))
+    long = told.filter("_times > 0").select("replicate", "_pos", "_times", F.explode("_v").alias("v")).filter("v.value IS NOT NULL")
+    of = lambda holds: F.sum(F.when(holds, F.col("_times")).otherwise(0))
+    counts = long.groupBy("replicate", F.col("v.name").alias("score"), F.col("v.value").alias("value")).agg(
+        of(F.col("_pos")).alias("_p"), of(~F.col("_pos")).alias("_n")
+    )
+    return _auc_of_counts(counts, ["replicate", "score"], "value")

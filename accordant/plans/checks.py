@@ -202,10 +202,10 @@ UNION ALL SELECT track_id, 'admitted', count(*), count(*) FILTER (is_reset) FROM
     "alarm_ranks": detectors._captured_until(detectors.reports_sql(SHORT_DETECTOR, 3))
     + " SELECT track_id, modality, seq, round(CASE WHEN anomalous THEN 2.0 ELSE 0.0 END + greatest(0.0, least(1.0, mean_nis / 20)), 6) AS rank FROM rep",
     "auc_intervals": f"""WITH l AS (SELECT doc_id, toxic = 1 AS pos, n_chars::DOUBLE AS n_chars, quality::DOUBLE AS quality FROM labels JOIN documents USING (doc_id)),
-k AS (SELECT *, pos::INT AS s, row_number() OVER (PARTITION BY pos ORDER BY doc_id) - 1 AS j, count(*) OVER (PARTITION BY pos) AS n FROM l),
-h AS (SELECT r.replicate, k.s, k.n, (k.replicate0 + {_DRAWN.replace("d *", "k.j *").replace("s *", "k.s *")}) AS h FROM (SELECT *, 0 AS replicate0 FROM k) k, range({REPLICATES}) r(replicate)),
-d AS (SELECT replicate, s, (((h * h + 12345) % {statistics.DRAW_PRIME}) * ((h * h + 12345) % {statistics.DRAW_PRIME}) + h) % {statistics.DRAW_PRIME} % n AS j FROM h),
-x AS (SELECT d.replicate, k.pos, u.score, u.value FROM d JOIN k USING (s, j), LATERAL (VALUES ('n_chars', k.n_chars), ('quality', k.quality)) u(score, value)),
+h AS (SELECT r.replicate, doc_id, pos, n_chars, quality, {_DRAWN.replace("d *", f"(doc_id % {statistics.DRAW_PRIME}) *").replace("s *", "0 *")} AS h FROM l, range({REPLICATES}) r(replicate)),
+d AS (SELECT *, (((h * h + 12345) % {statistics.DRAW_PRIME}) * ((h * h + 12345) % {statistics.DRAW_PRIME}) + h) % {statistics.DRAW_PRIME} AS u FROM h),
+z AS (SELECT *, unnest(range(list_sum(list_transform({statistics.poisson_cuts()}, lambda c: (u >= c)::INT))::INT)) AS again FROM d),
+x AS (SELECT z.replicate, z.pos, v.score, v.value FROM z, LATERAL (VALUES ('n_chars', z.n_chars), ('quality', z.quality)) v(score, value)),
 m AS (SELECT replicate, score, pos, rank() OVER w + (count(*) OVER (PARTITION BY replicate, score, value) - 1) / 2 AS mid FROM x WINDOW w AS (PARTITION BY replicate, score ORDER BY value)),
 a AS (SELECT replicate, score, round((sum(mid) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos)::DOUBLE * count(*) FILTER (NOT pos)), 12) AS auc FROM m GROUP BY ALL),
 e AS (SELECT score, auc FROM a UNION ALL SELECT 'difference', b.auc - c.auc FROM a b JOIN a c USING (replicate) WHERE b.score = 'n_chars' AND c.score = 'quality'),
