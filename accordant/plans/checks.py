@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant import views
-from accordant.operators import correlation, coupling, identity, monitor, ordering, statistics, traces
+from accordant.operators import atoms, correlation, coupling, identity, monitor, ordering, statistics, traces
 from accordant.plans import detectors
 from accordant.plans.detectors import MODS, SHORT_DETECTOR
 from accordant.schema import CODES
@@ -119,6 +119,13 @@ def auc_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("score", F.col("n").alias("n_replicates"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+def label_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What language and quality of documents say about toxicity, together and each alone, in bits."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    out = atoms.atoms(rows, "lang", "quality", "toxic")
+    return out.select(*((F.round(c, 9) + 0.0).alias(c) for c in atoms.ATOMS))
+
+
 def sequential_cusums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of product and pointwise information of two channels, with each track's first third as reference."""
     pick = lambda m: F.max(F.when(F.col("modality") == m, F.col("p0")))
@@ -173,7 +180,7 @@ QUERIES = {
     "health_counts": health_counts, "stream_bindings": stream_bindings,
     "alarm_ranks": alarm_ranks,
     "auc_intervals": auc_intervals,
-    "sequential_cusums": sequential_cusums,
+    "sequential_cusums": sequential_cusums, "label_atoms": label_atoms,
 }
 
 ORACLES = {
@@ -211,6 +218,13 @@ a AS (SELECT replicate, score, round((sum(mid) FILTER (pos) - count(*) FILTER (p
 e AS (SELECT score, auc FROM a UNION ALL SELECT 'difference', b.auc - c.auc FROM a b JOIN a c USING (replicate) WHERE b.score = 'n_chars' AND c.score = 'quality'),
 o AS (SELECT score, list_sort(list(round(auc, 9))) AS v, count(*) AS n FROM e GROUP BY score)
 SELECT score, n AS n_replicates, round(v[floor(0.025 * (n - 1) + 0.5)::INT + 1], 6) AS low, round(v[floor(0.975 * (n - 1) + 0.5)::INT + 1], 6) AS high FROM o""",
+    # by self-joins of the cells: each cell with all cells of its x, of its y and of its target
+    "label_atoms": """WITH c AS (SELECT coalesce(lang, '-') AS x, coalesce(quality, -1) AS y, coalesce(toxic, -1) AS t, count(*)::DOUBLE AS c FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+p AS (SELECT a.x, a.y, a.t, a.c, sum(b.c) AS n, sum(b.c) FILTER (b.t = a.t) AS nt, sum(b.c) FILTER (b.x = a.x) AS nx, sum(b.c) FILTER (b.y = a.y) AS ny,
+  sum(b.c) FILTER (b.x = a.x AND b.t = a.t) AS nxt, sum(b.c) FILTER (b.y = a.y AND b.t = a.t) AS nyt, sum(b.c) FILTER (b.x = a.x AND b.y = a.y) AS nxy,
+  sum(b.c) FILTER (b.x = a.x OR b.y = a.y) AS ne, sum(b.c) FILTER ((b.x = a.x OR b.y = a.y) AND b.t = a.t) AS net FROM c a, c b GROUP BY ALL),
+i AS (SELECT sum(c / n * log2(nxt * n / nx / nt)) AS ix, sum(c / n * log2(nyt * n / ny / nt)) AS iy, sum(c / n * log2(c * n / nxy / nt)) AS ixy, sum(c / n * log2(net * n / ne / nt)) AS r FROM p)
+SELECT round(ix, 9) + 0.0 AS i_x, round(iy, 9) + 0.0 AS i_y, round(ixy, 9) + 0.0 AS i_xy, round(r, 9) + 0.0 AS redundancy, round(ix - r, 9) + 0.0 AS unique_x, round(iy - r, 9) + 0.0 AS unique_y, round(ixy - ix - iy + r, 9) + 0.0 AS synergy FROM i""",
     # the recursion itself, row by row
     "sequential_cusums": f"""WITH RECURSIVE {views.scenario_sql()}, w AS (SELECT track_id, seq, max(p0) FILTER (modality = 'visual') AS x, max(p0) FILTER (modality = 'acoustic') AS y FROM obs GROUP BY ALL),
 n AS (SELECT track_id, floor(count(*) / 3) AS ref FROM w GROUP BY 1),
