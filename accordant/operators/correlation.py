@@ -87,10 +87,29 @@ def prior_reuse(rows: DataFrame) -> DataFrame:
 MAX_RETAINED_FRAMES = 65_536
 
 
-def retained(rows: DataFrame, frames: int = MAX_RETAINED_FRAMES) -> DataFrame:
-    """The rows of each track's newest ``frames`` sequences."""
-    newest = F.dense_rank().over(Window.partitionBy("track_id").orderBy(F.desc("seq")))
-    return rows.withColumn("_rank", newest).filter(F.col("_rank") <= frames).drop("_rank")
+#: Sequences that are counted together when the cut is looked for.
+BUCKET = 4_096
+
+
+def retained(rows: DataFrame, frames: int = MAX_RETAINED_FRAMES, bucket: int = BUCKET) -> DataFrame:
+    """The rows of each track's newest ``frames`` sequences; rows without a track or a sequence are none of them.
+
+    Two passes find each track's cut, and no track is sorted whole: distinct
+    sequences are counted by bucket, and only those of the bucket in which the
+    count is reached are ranked. Then rows are compared with the cut.
+    """
+    known = rows.filter("seq IS NOT NULL AND track_id IS NOT NULL")
+    part = F.floor(F.col("seq") / bucket)
+    seen = known.select("track_id", "seq").distinct().withColumn("_part", part)
+    counts = seen.groupBy("track_id", "_part").agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy("track_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    edge = above.filter((F.col("_above") < frames) & (F.col("_above") + F.col("_n") >= frames)).drop("_n")
+    inside = seen.join(edge, ["track_id", "_part"])
+    rank = F.row_number().over(Window.partitionBy("track_id", "_part").orderBy(F.desc("seq")))
+    cut = inside.withColumn("_nth", rank + F.col("_above")).filter(F.col("_nth") == frames).select(F.col("track_id").alias("_of"), F.col("seq").alias("_cut"))
+    told = known.join(cut, F.col("track_id") == F.col("_of"), "left")
+    return told.filter(F.col("_cut").isNull() | (F.col("seq") >= F.col("_cut"))).drop("_of", "_cut")
 
 
 def _all(xs: list[Column]) -> Column:

@@ -290,3 +290,16 @@ def test_many_rows_without_sequence_are_told_as_they_come(spark):
     rows = good.unionByName(lost.withColumn("seq", F.lit(None).cast("long"))).unionByName(lost)
     told = {(r.reject, r["count"]) for r in ordering.checked(rows, CFG, MODS).groupBy("reject").count().collect()}
     assert told == {(None, 9), ("incomplete", 12000), ("sequence_not_increasing", 12000)}
+
+
+def test_retained_frames_are_the_newest(spark):
+    """By buckets or by whole tracks, the same rows; rows without a sequence are none."""
+    rng_ = random.Random(9)
+    rows = [(t, s, m) for t in (1, 2, 3) for s in rng_.sample(range(200), 20 * t) for m in ("radar", "visual")] + [(1, None, "radar")]
+    frame = spark.createDataFrame(rows, "track_id long, seq long, modality string")
+    for frames, bucket in ((1, 7), (25, 10), (40, 1), (60, 1_000), (1_000, 16)):
+        want = []
+        for t in (1, 2, 3):
+            newest = sorted({s for u, s, _ in rows if u == t and s is not None})[-frames:]
+            want += [r for r in rows if r[0] == t and r[1] in newest]
+        assert sorted(map(tuple, correlation.retained(frame, frames, bucket).collect())) == sorted(want)
