@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from accordant.streaming.registries import Registries, Violation, check_events, check_summary, held
+
 
 @dataclass(frozen=True)
 class AssemblerLimits:
@@ -60,6 +62,7 @@ class Fault(Exception):
 _WHOLE, _TEXT = "whole", "text"
 _IDENTITY = {"fusion_seq": _WHOLE, "fusion_timestamp_ms": _WHOLE, "frame_id": _WHOLE, "context_id": _WHOLE, "prior_id": _WHOLE}
 #: What the machine reads of each kind of payload, and of which type it must be.
+_COUNTS = ("attempt_index", "candidate_count", "measurement_index", "active_track_count", "input_count", "queue_capacity")
 _OBSERVATION = {"seq": _WHOLE, "track_id": _WHOLE, "timestamp_ms": _WHOLE, "modality": _TEXT}
 _SUMMARY = _IDENTITY | {"outcome_count": _WHOLE, "v1_expected_count": _WHOLE}
 _OUTCOME = _IDENTITY | {"track_id": _WHOLE, "modality": _TEXT}
@@ -79,6 +82,8 @@ def is_envelope(route: object, e: object) -> bool:
     if route != "monitor" or not _has(e, {"event_seq": _WHOLE, "type": _TEXT}) or not isinstance(e.get("data"), dict):
         return False
     d = e["data"]
+    if any(d.get(c) is not None and not _has(d, {c: _WHOLE}) for c in _COUNTS):
+        return False
     if e["type"] == "heartbeat":
         return d.get("last_fusion_seq") is None or _has(d, {"last_fusion_seq": _WHOLE})
     if e["type"] != "frame_summary":
@@ -111,8 +116,9 @@ def decoded(payload: object, limits: AssemblerLimits) -> object:
 class Assembler:
     """One (session, producer)."""
 
-    def __init__(self, limits: AssemblerLimits | None = None, saved: str | None = None):
+    def __init__(self, limits: AssemblerLimits | None = None, saved: str | None = None, registries: Registries | None = None):
         self.limits = limits or AssemblerLimits()
+        self.registries = registries
         d = json.loads(saved) if saved else {}
         self.next_event = d.get("next_event", 0)
         self.pending = {int(k): v for k, v in d.get("pending", {}).items()}
@@ -125,9 +131,12 @@ class Assembler:
         self.started_at = d.get("started_at")
         self.gap_since = d.get("gap_since")
         self.fault = d.get("fault")
+        self.registry_digest = d.get("registry_digest")
+        self.registry_version = d.get("registry_version", -1)
 
     def save(self) -> str:
-        return json.dumps({k: ({n: asdict(f) for n, f in v.items()} if k == "frames" else v) for k, v in vars(self).items() if k != "limits"})
+        kept = {k: v for k, v in vars(self).items() if k not in ("limits", "registries")}
+        return json.dumps(kept | {"frames": {n: asdict(f) for n, f in self.frames.items()}})
 
     def offer(self, route: str, payload: dict, now: int) -> list[dict]:
         """Monitor events carry event_seq, type and data; observations their fields. Gives frames, heartbeats and at most one fault."""
@@ -140,7 +149,7 @@ class Assembler:
             if not is_envelope(route, payload):
                 raise Fault("invalid_envelope")
             out = self._monitor(payload, now) if route == "monitor" else self._observation(payload, now)
-        except Fault as fault:
+        except (Fault, Violation) as fault:
             out = self._fail(str(fault))
         return out
 
@@ -234,6 +243,9 @@ class Assembler:
             last = d.get("last_fusion_seq")
             if last is not None and last != self.last_summary:
                 raise Fault("heartbeat_behind" if last < self.last_summary else "heartbeat_ahead")
+            if self.registry_digest is not None:
+                queue = d.get("queue_capacity") or 0
+                held(self.registries.find(self.registry_digest).document, max_monitor_queue_events=queue, max_active_tracks=d.get("active_track_count") or 0)
             self.heartbeat_at = now
             return [{"kind": "heartbeat", "fusion_seq": last if last is not None else -1, "detail": ""}]
         seq = d["fusion_seq"]
@@ -251,6 +263,8 @@ class Assembler:
         self.last_summary = seq
         if d.get("degraded") or d.get("truncated"):
             raise Fault("degraded_frame")
+        if self.registries is not None:
+            self._registered(d, frame.events)
         if d["outcome_count"] != len(frame.events):
             raise Fault("outcome_count_mismatch")
         pairs = {(x["track_id"], x["modality"]) for x in frame.events}
@@ -265,6 +279,17 @@ class Assembler:
             self._joined(frame, o)
         return []
 
+    def _registered(self, summary: dict, events: list[dict]) -> None:
+        """A frame against the registry that it names; versions never go back."""
+        document = self.registries.find(summary.get("registry_digest")).document
+        if document.get("version", 0) < self.registry_version or (
+            document.get("version", 0) == self.registry_version and summary["registry_digest"] != self.registry_digest
+        ):
+            raise Violation("registry_regressed")
+        check_summary(document, summary)
+        check_events(document, summary, events)
+        self.registry_digest, self.registry_version = summary["registry_digest"], document.get("version", 0)
+
     def _joined(self, frame: Frame, o: dict) -> None:
         key = f"{o['track_id']}/{o['modality']}"
         if key not in frame.expected:
@@ -300,7 +325,7 @@ class Assembler:
         return out
 
 
-def assembled(stream: DataFrame, limits: AssemblerLimits | None = None) -> DataFrame:
+def assembled(stream: DataFrame, limits: AssemblerLimits | None = None, registries: Registries | None = None) -> DataFrame:
     """Rows (session_id, producer_id, ordinal, received_ms, route, payload as JSON) to frames, heartbeats and faults.
 
     A payload that can't be read, is too long or lacks a field ends the stream
@@ -310,12 +335,15 @@ def assembled(stream: DataFrame, limits: AssemblerLimits | None = None) -> DataF
     which the source gives; deadlines of rows are judged by ``received_ms``.
     While no row comes, time goes on by the engine's clock from the last one,
     and a timer of the key wakes it at its next deadline.
+    With ``registries``, each summary names its registry by digest, and what
+    it or its events break of it is a fault whose word begins with
+    ``registry_``; a heartbeat is held against the last frame's registry.
     """
     names = ["kind", "fusion_seq", "detail"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved, received, clock = state.get if state.exists else (None, None, None)
-        machine = Assembler(limits, saved)
+        machine = Assembler(limits, saved, registries)
         wall = state.getCurrentProcessingTimeMs()
         out: list[dict] = []
         if state.hasTimedOut:
