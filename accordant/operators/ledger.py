@@ -73,3 +73,30 @@ def unprojected(expected: DataFrame, observations: DataFrame) -> DataFrame:
 def only_frozen(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     """Rows of tracks that the frame froze."""
     return rows.join(frozen.select("track_id"), "track_id", "left_semi")
+
+
+def frozen_faults(observations: DataFrame, frames: DataFrame, frozen: DataFrame, order: str) -> DataFrame:
+    """Each observation with the first ``fault`` that it has against its frame's frozen ledger, null if it has none.
+
+    ``frames`` has one row a fusion_seq with its time, modalities and identity,
+    ``frozen`` the tracks of each; of repeated channels all but the first by
+    ``order``, then by all other columns, are told. Projections are held to the frame's identity. All
+    keys begin with the frame, which a frame's ceiling bounds.
+    """
+    ids = ("frame_id", "context_id", "prior_id")
+    of = frames.select("fusion_seq", F.col("fusion_timestamp_ms").alias("_ts"), F.col("expected_modalities").alias("_mods"), *(F.col(c).alias(f"_{c}") for c in ids))
+    known = frozen.select("fusion_seq", "track_id", F.lit(True).alias("_frozen")).distinct()
+    nth = F.row_number().over(Window.partitionBy("fusion_seq", "track_id", "modality").orderBy(order, *(c for c in observations.columns if c != order)))
+    rows = observations.withColumn("_nth", nth).join(of, "fusion_seq", "left").join(known, ["fusion_seq", "track_id"], "left")
+    differs = [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+    fault = first_broken(
+        [
+            ("unknown_frame", F.col("_mods").isNull()),
+            ("track_not_frozen", F.col("_frozen").isNull()),
+            ("unexpected_modality", ~F.array_contains("_mods", F.col("modality"))),
+            ("repeated_observation", F.col("_nth") > 1),
+            ("observation_position", (F.col("seq") != F.col("fusion_seq")) | (F.col("timestamp_ms") != F.col("_ts"))),
+            ("projection_provenance", F.col("projection").isNotNull() & (differs[0] | differs[1] | differs[2])),
+        ]
+    )
+    return rows.withColumn("fault", fault).select(*observations.columns, "fault")

@@ -50,14 +50,14 @@ def _coordinate(code: int, axis: int, spoofed: bool) -> Column:
     return SCALE * (math.sqrt(RHO) * latent + math.sqrt(1 - RHO) * at(3 * code + axis))
 
 
-def _observations(vectors: DataFrame, dt_ms: int) -> DataFrame:
-    channels = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(CODES[m]).alias("code"), *(_coordinate(CODES[m], a, m == SPOOFED).alias(f"p{a}") for a in range(AXES))) for m in CHANNELS))
+def _observations(vectors: DataFrame, dt_ms: int, spoofed: bool = True) -> DataFrame:
+    channels = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(CODES[m]).alias("code"), *(_coordinate(CODES[m], a, spoofed and m == SPOOFED).alias(f"p{a}") for a in range(AXES))) for m in CHANNELS))
     rows = vectors.select("track_id", "seq", F.explode(channels).alias("c")).select("track_id", "seq", (F.col("seq") * dt_ms + F.col("c.code")).alias("timestamp_ms"), "c.modality", "c.code", *(f"c.p{a}" for a in range(AXES)))
     return rows.select("track_id", "seq", "timestamp_ms", "modality", "code", (F.col("p0") * F.col("p0") + F.col("p1") * F.col("p1") + F.col("p2") * F.col("p2")).alias("nis"), F.lit(3).alias("dof"), "p0", "p1", "p2", F.lit(1).cast("long").alias("frame_id"), F.lit(1).cast("long").alias("context_id"), (F.col("seq") + 1).alias("prior_id"))
 
 
-def scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(_vectors(spark, sf_dir), DT_MS)
+def scenario(spark: SparkSession, sf_dir: str, spoofed: bool = True) -> DataFrame:
+    return _observations(_vectors(spark, sf_dir), DT_MS, spoofed)
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
