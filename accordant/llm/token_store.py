@@ -41,8 +41,8 @@ SHARD_BYTES, READ_BYTES = 64 << 20, 4 << 20
 REMEMBERED_WORDS = 500_000
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2
-#: The key under which documents without an id are kept.
-NO_KEY = np.iinfo(np.int64).min
+#: The key of records without one: they have shards of their own, so it is nobody else's.
+NO_KEY = 0
 
 
 def default_tokenizer() -> str:
@@ -108,11 +108,12 @@ SECTIONS = (
 class ShardWriter:
     """A shard file that is written record by record, under a name of its own until it is whole.
 
-    Keys ascend; the records of a repeated key lie together.
+    Keys ascend; the records of a repeated key lie together. Records without a
+    key have shards of their own (``keyless``).
     """
 
-    def __init__(self, uri: str, dtype: str):
-        self.dtype, self.width = dtype, np.dtype(dtype).itemsize
+    def __init__(self, uri: str, dtype: str, keyless: bool = False):
+        self.dtype, self.width, self.keyless = dtype, np.dtype(dtype).itemsize, keyless
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"
@@ -140,7 +141,7 @@ class ShardWriter:
         }
         raw = {name: np.ascontiguousarray(parts[name], kind).tobytes() for name, kind in SECTIONS if kind}
         sizes = {"ids": self.size} | {k: len(v) for k, v in raw.items()}
-        head = {"dtype": self.dtype, "documents": len(self.keys), "levels": mph.levels, "bytes": sizes}
+        head = {"dtype": self.dtype, "documents": len(self.keys), "levels": mph.levels, "bytes": sizes, "keyless": self.keyless}
         line = json.dumps(head).encode() + b"\n"
         for name, kind in SECTIONS:
             if kind:
@@ -309,8 +310,8 @@ def encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, dtype)
 
 
-INDEX = pa.schema([("name", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("key", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())])
-INDEX_DDL = "name string, part int, no int, key bigint, tokens bigint, documents bigint"
+INDEX = pa.schema([("name", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("key", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64()), ("keyless", pa.bool_())])
+INDEX_DDL = "name string, part int, no int, key bigint, tokens bigint, documents bigint, keyless boolean"
 
 
 def write_shards(
@@ -325,7 +326,7 @@ def write_shards(
 
     A row a shard has its ``tokens`` and ``documents``, in the order of (part,
     no); a row a key of a shard has ``key`` and neither. A null text counts as
-    empty. A null key sorts first and is kept under NO_KEY. Repeated keys are
+    empty. Null keys sort first and have ``keyless`` shards. Repeated keys are
     all kept. Other columns are left out. Texts are dealt to ranges of (key,
     text's hash) and encoded where they arrive, so ids are never shuffled and a
     hot key spreads over shards. Nothing comes to the driver.
@@ -334,8 +335,7 @@ def write_shards(
     wide = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), END_ID + 1) > 65_536
     dtype = "<u4" if wide else "<u2"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_KEY)))
-    rows = docs.select(own.alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     ordered = rows.repartitionByRange(parts, "_key", "_h").sortWithinPartitions("_key", "_h").select("_key", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,16 +350,18 @@ def write_shards(
                 pa.array([shard.path.rpartition("/")[2]] * n), pa.array([part] * n, pa.int32()), pa.array([no] * n, pa.int32()),
                 pa.array([None, *keys.tolist()], pa.int64()),
                 pa.concat_arrays([pa.array([shard.size // shard.width], pa.int64()), none]),
-                pa.concat_arrays([pa.array([len(shard.keys)], pa.int64()), none]),
+                pa.concat_arrays([pa.array([len(shard.keys)], pa.int64()), none]), pa.array([shard.keyless] * n),
             ]
             no, shard = no + 1, None
             return pa.RecordBatch.from_arrays(columns, schema=INDEX)
 
         for batch in slices(batches):
             for k, ids in zip(batch.column(0).to_pylist(), encoder(path, dtype).encode(batch.column(1).to_pylist()), strict=True):
+                if shard is not None and shard.keyless != (k is None):
+                    yield told()
                 if shard is None:
-                    shard = ShardWriter(f"{folder}/shard-{part:06d}-{no:05d}.tok", dtype)
-                shard.add(k, ids)
+                    shard = ShardWriter(f"{folder}/shard-{part:06d}-{no:05d}.tok", dtype, k is None)
+                shard.add(NO_KEY if k is None else k, ids)
                 if shard.size >= shard_bytes:
                     yield told()
         if shard is not None:
@@ -372,12 +374,14 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record.
 
     Each key of the index is looked up in its shard, through hash, fingerprint
-    and place; a key that isn't found raises an error.
+    and place; a key that isn't found raises an error. A shard's keys come to
+    one task, one after another, so that it is opened once.
     """
     before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
     # One row a shard: a window without keys over these few rows is no bottleneck.
     shards = index.filter("tokens IS NOT NULL").select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    wanted = index.filter("tokens IS NULL").select("name", "key").join(shards, "name").select("name", "base", "key")
+    keys = index.filter("tokens IS NULL").select("name", "key", "keyless").repartition("name")
+    wanted = keys.join(shards, "name").select("name", "base", "key", "keyless").sortWithinPartitions("name", "key")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +389,8 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, bases, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            names, bases, keyless = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            keys = batch.column(2).to_numpy()
             cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 uri = f"{folder}/{names[a]}"
@@ -395,11 +400,11 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
                 if not repeats.all():
                     raise KeyError(f"{uri} hasn't the key {keys[a:b][repeats == 0][0]}")
                 numbers = np.repeat(first - np.cumsum(repeats) + repeats, repeats) + np.arange(repeats.sum())
-                told = np.repeat(keys[a:b], repeats).tolist()
+                told = np.repeat(keys[a:b], repeats).tolist() if not keyless[a] else [None] * len(numbers)
                 for at in range(0, len(numbers), SLICE_ROWS):
                     found = list(shard.records(numbers[at : at + SLICE_ROWS]))
                     columns = [
-                        [None if k == NO_KEY else k for k in told[at : at + SLICE_ROWS]],
+                        told[at : at + SLICE_ROWS],
                         [bases[a] + place for place, _ in found],
                         [len(ids) for _, ids in found],
                         [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in found],
@@ -411,8 +416,8 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
 
 def lookup(index: DataFrame, folder: str, key: int | None) -> list[np.ndarray]:
     """Ids of each record of a key, from the one or few shards that have it."""
-    k = int(NO_KEY) if key is None else key
-    shards = index.filter(F.col("tokens").isNull() & (F.col("key") == k)).orderBy("part", "no").select("name").toLocalIterator()
+    k = NO_KEY if key is None else key
+    shards = index.filter(F.col("tokens").isNull() & (F.col("key") == k) & (F.col("keyless") == (key is None))).orderBy("part", "no").select("name").toLocalIterator()
     return [ids for r in shards for ids in Shard(f"{folder}/{r.name}").get(k)]
 
 

@@ -39,7 +39,7 @@ def test_hash_is_minimal_and_perfect(n):
 def test_files_round_trip(spark, shard_bytes):
     rng = np.random.default_rng(3)
     rows = [(int(i), "word " * int(n) + f"nr {i}") for i, n in zip(rng.permutation(300) * 7, rng.integers(0, 30, 300), strict=True)]
-    rows += [(None, "no id"), (None, None), (7, "twice"), (7, "twice"), (14, None), (21, "")] + [(35, f"hot {i}") for i in range(40)]
+    rows += [(None, "no id"), (None, None), (7, "twice"), (7, "twice"), (14, None), (21, ""), (0, "zero"), (-(2**63), "least"), (2**63 - 1, "most")] + [(35, f"hot {i}") for i in range(40)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, _text string")
     folder = workspace(spark, "t")
     index = ts.write_shards(docs, folder, shard_bytes=shard_bytes)
@@ -52,7 +52,7 @@ def test_files_round_trip(spark, shard_bytes):
     want = sorted((k is not None, k, zlib.crc32(np.array([*TOK.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for k, t in rows)
     assert sorted((r[0] is not None, r[0], r[3]) for r in got) == want
     assert len(ts.lookup(index, folder, 35)) == 41 and len(ts.lookup(index, folder, None)) == 2
-    assert ts.lookup(index, folder, 36) == []
+    assert ts.lookup(index, folder, 36) == [] and len(ts.lookup(index, folder, 0)) == 2 and len(ts.lookup(index, folder, -(2**63))) == 1
     assert ts.lookup(index, folder, 14)[0].tolist()[-1] == 1
     shards = index.filter("tokens is not null")
     assert shards.agg({"documents": "sum"}).first()[0] == len(rows) and (shards.count() > 100) == (shard_bytes == 1)
