@@ -380,7 +380,9 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
     # One row a shard: a window without keys over these few rows is no bottleneck.
     shards = index.filter("tokens IS NOT NULL").select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    keys = index.filter("tokens IS NULL").select("name", "key", "keyless").repartition("name")
+    # A number of parts, as an index's own size tells nothing of what its shards hold.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = index.filter("tokens IS NULL").select("name", "key", "keyless").repartition(parts, "name")
     wanted = keys.join(shards, "name").select("name", "base", "key", "keyless").sortWithinPartitions("name", "key")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
