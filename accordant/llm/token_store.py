@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ MAGIC = b"ACCTOK1\n"
 END_ID = 1
 #: Bytes of ids after which a task begins another shard, and that are read at once.
 SHARD_BYTES, READ_BYTES = 64 << 20, 4 << 20
-#: Distinct words whose ids a worker remembers at most; the memory is then emptied.
+#: Distinct words whose ids a worker remembers at most; those that came only once are then forgotten.
 REMEMBERED_WORDS = 500_000
 #: Bits of a level of the hash for each key that is left.
 GAMMA = 2
@@ -230,6 +231,8 @@ class Encoder:
     #: The tokenizer's own pre-tokens (a fixed value), written for these characters.
     PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
     TOGETHER = 200
+    #: Words whose ids are put together at once.
+    AT_ONCE = 100_000
 
     def __init__(self, path: str, dtype: str):
         self.dtype = dtype
@@ -241,11 +244,14 @@ class Encoder:
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # Byte-level letters: printable bytes stand for themselves, the others for letters from 256 on.
+        # Byte-level letters: printable bytes stand for themselves, the others for letters from 256 on; blanks part words here.
         own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        self.letters = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
-        self.parts: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        self.letters = np.arange(256, dtype="<u4")
+        self.letters[[b for b in range(256) if b not in own]] = np.arange(256, 512 - len(own))
+        self.letters[0x20] = 0x20
+        # The memory: a word's number n, its ids, which are ids[starts[n] : starts[n + 1]], and whether it was asked for again.
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.used = np.empty(1 << 12, dtype), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, bool)
 
     @classmethod
     def is_known(cls, rules: dict) -> bool:
@@ -260,48 +266,110 @@ class Encoder:
             and all(t["content"].startswith("<|") and t["special"] for t in rules["added_tokens"])
         )
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _merge(self, new: list[str]) -> None:
-        for at in range(0, len(new), self.TOGETHER):
-            some = new[at : at + self.TOGETHER]
-            mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some]
-            ids = np.array(self.merges.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, self.dtype)
+    def _merged(self, pre_tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of pre-tokens, one after another, and how many each one has."""
+        for at in range(0, len(pre_tokens), self.TOGETHER):
+            some = pre_tokens[at : at + self.TOGETHER]
+            line = " ".join(some)
+            if not line.isascii():
+                line = self.letters[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
-                raw, width = ids.tobytes(), ids.itemsize
-                for w, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self.pre_tokens[w] = raw[a * width : b * width]
+                yield ids[: ends[-1]], np.diff(ends, prepend=0)
             else:
-                for w in some:
-                    self.pre_tokens[w] = self._bytes(self.whole.encode(w, add_special_tokens=False).ids)
-
-    def _learn(self, new: set[str]) -> None:
-        split = {}
+                yield from self._each(some)
+
+    def _each(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same of words that go to the whole tokenizer."""
+        for w in words:
+            ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.dtype)
+            yield ids, np.array([len(ids)])
+
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Give new words the next numbers, and their ids the next places."""
+        n = len(self.known)
+        at, end = int(self.starts[n]), int(self.starts[n]) + len(ids)
+        self.ids, self.starts, self.used = roomy(self.ids, end), roomy(self.starts, n + len(words) + 1), roomy(self.used, n + len(words))
+        self.ids[at:end] = ids
+        self.used[n : n + len(words)] = False
+        self.starts[n + 1 : n + 1 + len(words)] = at + np.cumsum(counts)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _forget(self) -> None:
+        """Words that weren't asked for again go; all go if the others would leave too little room."""
+        words, stay = list(self.known), np.flatnonzero(self.used[: len(self.known)])
+        ids, ends = self._told(stay)
+        self.known.clear()
+        if len(stay) <= REMEMBERED_WORDS // 2:
+            self._keep([words[i] for i in stay.tolist()], ids, np.diff(ends, prepend=0))
+
+    def _told(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by number, one word after another, and where each one's end."""
+        parts, ends, before = [self.ids[:0]], np.empty(len(numbers), np.int64), 0
+        for at in range(0, len(numbers), self.AT_ONCE):
+            some = numbers[at : at + self.AT_ONCE]
+            first = self.starts[some]
+            counts = self.starts[some + 1] - first
+            own = np.cumsum(counts)
+            parts.append(self.ids[np.repeat(first - own + counts, counts) + np.arange(own[-1])])
+            ends[at : at + len(some)] = before + own
+            before += own[-1]
+        return np.concatenate(parts), ends
+
+    def _learn(self, new: list[str]) -> None:
+        """Pre-tokens are words of the memory, too: split once more they stay as they are."""
+        before, merge, whole, several = len(self.known), {}, [], {}
         for w in new:
-            if self.PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = self.PRE_TOKEN.findall(w.lower())
+            if w.isalpha() and (w.isascii() or self.PLAIN.fullmatch(w)):
+                low = w.lower()
+                merge[low] = None
+                if low != w:
+                    several[w] = (low,)
+            elif self.PLAIN.fullmatch(w) and "<|" not in w:
+                parts = self.PRE_TOKEN.findall(w.lower())
+                for x in parts:
+                    merge[x] = None
+                if parts[0] != w:
+                    several[w] = parts
             else:
-                self.parts[w] = self._bytes(self.whole.encode(w, add_special_tokens=False).ids)
-        self._merge(list({x for xs in split.values() for x in xs if x not in self.pre_tokens}))
-        for w, xs in split.items():
-            self.parts[w] = self.pre_tokens[xs[0]] if len(xs) == 1 else b"".join([self.pre_tokens[x] for x in xs])
-
-    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        """Ids of each text and ``end_id``, as bytes."""
+                whole.append(w)
+        merge = [x for x in merge if x not in self.known]
+        for words, told in ((merge, self._merged(merge)), (whole, self._each(whole))):
+            if words:
+                self._keep(words, *map(np.concatenate, zip(*told, strict=True)))
+        if several:
+            numbers = np.array([self.known[x] for xs in several.values() for x in xs])
+            self.used[numbers[numbers < before]] = True
+            ids, ends = self._told(numbers)
+            self._keep(list(several), ids, np.diff(ends[np.cumsum([len(xs) for xs in several.values()]) - 1], prepend=0))
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int = END_ID) -> list[bytes]:
+        """Ids of each text and ``end_id``, as bytes. Each distinct word of the texts is looked up once."""
         if not self.splits:
-            return [self._bytes([*e.ids, end_id]) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        for known in (self.parts, self.pre_tokens):
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.parts
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+            return [np.array([*e.ids, end_id], self.dtype).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.known) > REMEMBERED_WORDS:
+            self._forget()
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.array([self.known.get(w, -1) for w in distinct], np.int32)
+        self.used[numbers[numbers >= 0]] = True
+        if len(unknown := np.flatnonzero(numbers < 0)):
+            new = [distinct[i] for i in unknown.tolist()]
             self._learn(new)
-        end = self._bytes([end_id])
-        return [b"".join([known[w] for w in ws]) + end for ws in split]
+            numbers[unknown] = [self.known[w] for w in new]
+        ids, ends = self._told(numbers[words.indices.to_numpy()])
+        cuts = (ends[np.cumsum(pc.list_value_length(split).to_numpy()) - 1] * ids.itemsize).tolist()
+        raw, end = ids.tobytes(), np.array([end_id], self.dtype).tobytes()
+        return [raw[a:b] + end for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def roomy(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy of twice its size at least, that has so many places."""
+    return array if size <= len(array) else np.concatenate([array, np.empty(max(size - len(array), len(array)), array.dtype)])
 
 
 @functools.lru_cache(maxsize=1)
@@ -356,7 +424,7 @@ def write_shards(
             return pa.RecordBatch.from_arrays(columns, schema=INDEX)
 
         for batch in slices(batches):
-            for k, ids in zip(batch.column(0).to_pylist(), encoder(path, dtype).encode(batch.column(1).to_pylist()), strict=True):
+            for k, ids in zip(batch.column(0).to_pylist(), encoder(path, dtype).encode(batch.column(1)), strict=True):
                 if shard is not None and shard.keyless != (k is None):
                     yield told()
                 if shard is None:

@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -91,3 +93,30 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = workspace(spark, "t")
     assert ts.read_shards(ts.write_shards(docs, folder), folder).count() == 0
+
+
+def test_words_that_recur_are_remembered(monkeypatch):
+    """A full memory forgets only what came once, and ids stay right whatever goes."""
+    monkeypatch.setattr(ts, "REMEMBERED_WORDS", 40)
+    enc = ts.Encoder(ts.default_tokenizer(), "<u2")
+    for i in range(30):
+        texts = [f"Often seen, Été {'x' * i}y", f"rare{i} Rare{i}'s odd{i}日", ""]
+        assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(texts)] == [[*TOK.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert len(enc.known) <= 40 + 20
+    assert {"Often", "seen,", "Été"} <= set(enc.known) and "Rare1's" not in enc.known
+    every = [f"w{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8]}" for i in range(64)]
+    for _ in range(3):
+        enc.encode([" ".join(every)])
+    enc.encode(["one"])
+    assert set(enc.known) == {"one"}
+
+
+def test_a_long_text_is_not_taken_apart_into_objects():
+    """Memory follows the text's bytes; string objects for words took 26 times these."""
+    code = (
+        "import resource, sys; from accordant.llm import token_store as ts; e = ts.Encoder(ts.default_tokenizer(), '<u2'); text = 'many words ' * 4_000_000\n"
+        "e.encode(['many words']); peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = peak(); n = len(e.encode([text])[0]); print(n, (peak() - a) * 1024 / len(text))"
+    )
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(ts.__file__).parents[2])
+    n, times = said.stdout.split()
+    assert int(n) == 2 * 8_000_000 + 2 and float(times) < 9, said
