@@ -233,6 +233,8 @@ class Encoder:
     TOGETHER = 200
     #: Words whose ids are put together at once.
     AT_ONCE = 100_000
+    #: Characters under which texts aren't worth a column.
+    FEW = 4_000
 
     def __init__(self, path: str, dtype: str):
         self.dtype = dtype
@@ -344,6 +346,17 @@ class Encoder:
             ids, ends = self._told(numbers)
             self._keep(list(several), ids, np.diff(ends[np.cumsum([len(xs) for xs in several.values()]) - 1], prepend=0))
 
+    def _few(self, text: str) -> bytes:
+        """Ids of a short text, without columns."""
+        words = text.replace("\n", " ").split(" ")
+        numbers = [n for w in words if (n := self.known.get(w)) is not None]
+        self.used[numbers] = True
+        if len(numbers) < len(words):
+            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            numbers = [self.known[w] for w in words]
+        raw, at, width = self.ids.view(np.uint8).data, self.starts.item, self.ids.itemsize
+        return b"".join([raw[at(n) * width : at(n + 1) * width] for n in numbers])
+
     def encode(self, texts: list[str] | pa.Array, end_id: int = END_ID) -> list[bytes]:
         """Ids of each text and ``end_id``, as bytes. Each distinct word of the texts is looked up once."""
         if not self.splits:
@@ -351,6 +364,9 @@ class Encoder:
             return [np.array([*e.ids, end_id], self.dtype).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > REMEMBERED_WORDS:
             self._forget()
+        end = np.array([end_id], self.dtype).tobytes()
+        if not isinstance(texts, pa.Array) and sum(map(len, texts)) < self.FEW:
+            return [self._few(x) + end for x in texts]
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
@@ -363,7 +379,7 @@ class Encoder:
             numbers[unknown] = [self.known[w] for w in new]
         ids, ends = self._told(numbers[words.indices.to_numpy()])
         cuts = (ends[np.cumsum(pc.list_value_length(split).to_numpy()) - 1] * ids.itemsize).tolist()
-        raw, end = ids.tobytes(), np.array([end_id], self.dtype).tobytes()
+        raw = ids.tobytes()
         return [raw[a:b] + end for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
