@@ -29,3 +29,14 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def state_provider_put_back(request):
+    """A test that sets the streams' state provider doesn't set it for those after it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    session = request.getfixturevalue("spark") if "spark" in request.fixturenames else None
+    before = session.conf.get(name, None) if session else None
+    yield
+    if session:
+        session.conf.set(name, before) if before else session.conf.unset(name)
